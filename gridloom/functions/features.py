@@ -48,7 +48,7 @@ def threshold_flags(f: str | Column, low: float = 49.8, very_low: float = 49.5,
     }
 
 
-def slug_year_week(ts: str | Column) -> dict[str, Column]:
+def year_week(ts: str | Column) -> dict[str, Column]:
     """Partition keys: calendar year with ISO week, zero-padded; ``unknown``/``00`` without a time.
 
     The pair is a pruning key only: the last days of a year can carry week 01 of the next.

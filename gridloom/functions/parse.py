@@ -76,8 +76,10 @@ def parse_detected(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def month_label(text: str | Column) -> Column:
-    """``Apr-23`` as the first of that month."""
-    return F.try_to_timestamp(F.trim(_c(text)), F.lit("MMM-yy"))
+    """``Apr-23`` as the first of that month; years 69 to 99 belong to the last century."""
+    found = F.try_to_timestamp(F.trim(_c(text)), F.lit("MMM-yy"))
+    earlier = F.add_months(found, -1200).cast("timestamp")
+    return F.when(F.year(found) >= 2069, earlier).otherwise(found)
 
 
 def fiscal_start(text: str | Column) -> Column:
