@@ -7,4 +7,5 @@ from gridloom.queries import (  # noqa: F401
     joining,
     ordering,
     reading,
+    streams,
 )
