@@ -163,28 +163,32 @@ def running_total(
     )
 
 
-def row_index(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
-    """Zero-based global position in the given order.
+def range_ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in range partitions of the given order, with ``_slice`` and the position inside it.
 
     Range partitioning on all the order columns copes with equal timestamps; the position inside
-    a sorted partition is free (``monotonically_increasing_id``). The ranged rows are written
-    once, so partition numbers cannot change between the two uses. Offsets are one row per
-    partition and are broadcast.
+    a sorted partition is free (``monotonically_increasing_id``). The rows are written once, so
+    partition numbers cannot change between two uses of the result.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(parts, *[F.col(c).asc_nulls_last() for c in order])
-        .sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in order])
-        .withColumn("_mid", F.monotonically_increasing_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    fixed = settle(placed.withColumn("_mid", F.monotonically_increasing_id()))
+    return (
+        fixed.withColumn(SLICE, F.shiftright("_mid", _MID_BITS))
+        .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _MID_BITS) - 1)))
+        .drop("_mid")
     )
-    fixed = settle(ranged).withColumn("_part", F.shiftright("_mid", _MID_BITS))
-    sizes = fixed.groupBy("_part").count()
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    local = F.col("_mid").bitwiseAND(F.lit((1 << _MID_BITS) - 1))
+
+
+def row_index(df: DataFrame, order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """Zero-based global position in the given order; offsets are one row per range partition."""
+    placed = range_ordered(df, order)
+    sizes = placed.groupBy(SLICE).count()
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(SLICE, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     return (
-        fixed.join(F.broadcast(offsets), "_part")
-        .withColumn(name, local + F.col("_before"))
-        .drop("_mid", "_part", "_before")
+        placed.join(F.broadcast(offsets), SLICE)
+        .withColumn(name, F.col("_local") + F.col("_before"))
+        .drop(SLICE, "_local", "_before")
     )

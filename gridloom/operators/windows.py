@@ -12,7 +12,7 @@ from gridloom.operators.timeorder import (
     micros,
     ordered,
     plan_slices,
-    row_index,
+    range_ordered,
     running_total,
     seconds_between,
 )
@@ -137,10 +137,9 @@ def with_difference(
 
 
 def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Running total of a column in a total order, over blocks of the global row index."""
-    block = F.floor(F.col("row_no") / 1_000_000)
-    rows = row_index(df, order).withColumn("_slice", block)
-    return running_total(rows, ["row_no"], F.col(value), name).drop("_slice")
+    """Running total of a column in a total order, ties in the timestamp included."""
+    placed = range_ordered(df, order).withColumnRenamed("_local", "_at")
+    return running_total(placed, ["_at"], F.col(value), name).drop(SLICE, "_at")
 
 
 def label_changes(df: DataFrame, ts: str, label: str, tie: Sequence[str] = (), calm: str = "STABLE") -> DataFrame:

@@ -3,8 +3,11 @@
 from gridloom.queries import (  # noqa: F401
     aggregates,
     cleaning,
+    contracts,
     detection,
+    domain,
     joining,
+    learning,
     ordering,
     reading,
     streams,

@@ -139,7 +139,7 @@ def wide_load_rows(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     stamp = parse.timestamp_multi(F.get("cells", F.lit(0)))
     cells = cells.withColumn("ts", stamp)
     start = cells.where("ts is not null").groupBy("file").agg(F.min("line_no").alias("start"))
-    placed = cells.join(F.broadcast(start), "file")
+    placed = cells.join(start, "file")
 
     def header(offset: int, name: str) -> DataFrame:
         row = placed.where(F.col("line_no") == F.col("start") - offset)
@@ -164,6 +164,6 @@ def wide_load_rows(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     )
     return (
         data.where("pos > 0")
-        .join(F.broadcast(named), ["file", "pos"])
+        .join(named, ["file", "pos"])
         .select("file", "ts", "name", parse.number("text").alias("value"))
     )
