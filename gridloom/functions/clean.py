@@ -53,12 +53,6 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*")
 
 
-def impute_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Fill nulls with the exact column median (one row, broadcast by value)."""
-    medians = df.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in columns})
-
-
 def autoscale(df: DataFrame, column: str) -> DataFrame:
     """Scale a MW column to MW, GW or TW by its largest magnitude; the unit becomes a column."""
     peak = df.agg(F.max(F.abs(F.col(column)))).first()[0] or 0.0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -41,9 +42,35 @@ def _c(value: str | Column) -> Column:
 
 
 def timestamp_multi(text: str | Column, formats: Sequence[str] = TS_FORMATS) -> Column:
-    """First format that parses wins; null when none does."""
+    """First format that parses wins; null when none does.
+
+    A format is tried only on texts of its shape: a failed parse raises an exception inside
+    Spark and costs far more than a match against a short pattern.
+    """
     text = F.trim(_c(text))
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
+
+
+def _shape(layout: str) -> str:
+    """Pattern of the texts a layout can match."""
+    out, i = "", 0
+    while i < len(layout):
+        letter = layout[i]
+        run = len(layout[i:]) - len(layout[i:].lstrip(letter))
+        if letter == "'":
+            end = layout.index("'", i + 1)
+            out += re.escape(layout[i + 1 : end])
+            run = end + 1 - i
+        elif letter == "M" and run == 3:
+            out += "[A-Za-z]{3}"
+        elif letter == "X":
+            out += r"(Z|[+-]\d{2}:\d{2})"
+        elif letter.isalpha():
+            out += rf"\d{{{run}}}"
+        else:
+            out += re.escape(letter) * run
+        i += run
+    return f"^{out}$"
 
 
 def date_multi(text: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Column:

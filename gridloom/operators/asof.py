@@ -8,7 +8,8 @@ may lie any number of slices away and no tolerance is needed for the plan to be
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,7 +36,6 @@ class Source:
     tolerance: float | None = None
     tie: str = "earlier"
     seq: str | None = None
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.direction not in ("nearest", "backward", "forward"):
@@ -44,6 +44,11 @@ class Source:
             raise ValueError(f"tie {self.tie!r}")
 
 
+def time_axis(tables: Sequence[tuple[DataFrame, str]]) -> DataFrame:
+    """All instants of several tables in one column, to cut their common time axis."""
+    return reduce(lambda a, b: a.unionByName(b), [df.select(micros(ts).alias("_k")) for df, ts in tables])
+
+
 def _compact(source: Source, by: Sequence[str]) -> DataFrame:
     """One row per (by, instant) with the first and the last of the rows sharing it."""
     payload = F.struct(F.col(source.ts).alias("at"), *[F.col(c) for c in source.columns])
@@ -121,10 +126,7 @@ def fuse(
         keys = left.select(*by, micros(ts).alias(_T)).where(F.col(_T).isNotNull()).distinct()
     rights = [_compact(s, by) for s in sources]
     if slices is None:
-        axis = keys.select(_T)
-        for right in rights:
-            axis = axis.unionByName(right.select(_T))
-        slices = plan_slices(axis, F.col(_T))
+        slices = plan_slices(left, micros(ts), axis=time_axis([(left, ts), *[(s.df, s.ts) for s in sources]]))
     keys = slices.assign(keys, F.col(_T))
 
     union = keys.withColumn(_SIDE, F.lit(1))

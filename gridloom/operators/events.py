@@ -97,7 +97,7 @@ def excursions(
     beyond = v < low if mode == "under" else v > high
     period = F.year(ts) if period is None else period
     signal = df.select(ts, value, *tie).na.drop(subset=[ts, value]).withColumn("period", period)
-    slices = plan_slices(signal, micros(ts), min_rows=1)
+    slices = plan_slices(signal, micros(ts), next(iter(tie), None), count=True)
     rows = number_runs(signal, ts, beyond, tie, ["period"], slices)
     # A run takes the slice of its first row, so the second pass needs no new cut points.
     runs = rows.groupBy("run", "period").agg(
@@ -159,7 +159,7 @@ def rate_clusters(
     The jump and the time of the previous exceedance are both found per slice: the first by one
     lent row, the second on the few exceedances alone, cut by the same slices.
     """
-    slices = plan_slices(df, micros(ts), min_rows=1)
+    slices = plan_slices(df, micros(ts), next(iter(tie), None), count=True)
 
     def jump(frame: DataFrame, w) -> DataFrame:
         return frame.withColumn("jump", F.col(value) - F.lag(value).over(w))

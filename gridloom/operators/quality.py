@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.timeorder import position_in_group
+
 PLACEHOLDER = "all raw columns"
 # Punctuation and the words that replace it.
 PUNCTUATION_WORDS = {"%": " percent ", "#": " number ", "&": " and "}
@@ -45,10 +47,10 @@ def snake(text: str | Column) -> Column:
 def unique_headers(df: DataFrame, dataset: str, header: str, position: str, name: str = "unique_name") -> DataFrame:
     """``__k`` after the k-th use of a header in a dataset; blank headers are ``unnamed``."""
     base = F.coalesce(F.nullif(F.trim(F.col(header)), F.lit("")), F.lit("unnamed"))
-    nth = F.row_number().over(Window.partitionBy(dataset, base).orderBy(position))
-    return df.withColumn("_nth", nth).withColumn(
-        name, F.when(F.col("_nth") == 1, base).otherwise(F.concat(base, F.lit("__"), F.col("_nth")))
-    ).drop("_nth")
+    numbered = position_in_group(df.withColumn("_base", base), [dataset, "_base"], [position], "_at")
+    nth = F.col("_at") + 1
+    unique = F.when(nth == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("__"), nth.cast("string")))
+    return numbered.withColumn(name, unique).drop("_base", "_at")
 
 
 # Header tokens that hint at a type, tried in this order.
@@ -160,48 +162,49 @@ def distinct_headers(catalogue: DataFrame) -> DataFrame:
     return catalogue.select("dataset", "name").distinct()
 
 
-def ordered_header(catalogue: DataFrame, dataset: str, position: str, name: str, alias: str) -> DataFrame:
-    cells = F.array_sort(F.collect_list(F.struct(position, name)))
-    return catalogue.groupBy(dataset).agg(F.transform(cells, lambda c: c[name]).alias(alias))
+def _compare_headers(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per dataset: header cells before and after, and cells that do not agree.
+
+    Two headers are equal when they have the same names at the same positions. Cells are counted
+    with opposite signs and combined before the shuffle; no header is gathered in one place.
+    """
+    cells = before.select("dataset", "position", "name", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        after.select("dataset", "position", "name", F.lit(0).alias("a"), F.lit(1).alias("b"))
+    )
+    counted = cells.groupBy("dataset", "position", "name").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return counted.groupBy("dataset").agg(
+        F.sum("a").alias("before"), F.sum("b").alias("after"), F.count_if(F.col("a") != F.col("b")).alias("unequal")
+    )
 
 
 def header_roundtrip(source: DataFrame, output: DataFrame) -> DataFrame:
-    """Whether each dataset's header came through unchanged and in order."""
-    a = ordered_header(source, "dataset", "position", "name", "source_header")
-    b = ordered_header(output, "dataset", "position", "name", "output_header")
-    same = F.coalesce(F.col("source_header") == F.col("output_header"), F.lit(False))
-    return a.join(b, "dataset", "left").select(
-        "dataset", F.size("source_header").alias("columns"), same.cast("int").alias("same")
+    """Whether each source header came through unchanged and in order."""
+    compared = _compare_headers(source, output).where("before > 0")
+    return compared.select(
+        "dataset", F.col("before").alias("columns"), (F.col("unequal") == 0).cast("int").alias("same")
     )
 
 
 def header_drift(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """changed / removed / added / same per path, by a hash of the header in order."""
-
-    def hashed(catalogue: DataFrame, alias: str) -> DataFrame:
-        headers = ordered_header(catalogue, "dataset", "position", "name", "_h")
-        return headers.select("dataset", F.sha2(F.array_join("_h", "\n"), 256).alias(alias))
-
-    both = hashed(previous, "old_hash").join(hashed(current, "new_hash"), "dataset", "full")
+    """changed / removed / added / same per dataset."""
     state = (
-        F.when(F.col("new_hash").isNull(), "removed")
-        .when(F.col("old_hash").isNull(), "added")
-        .when(F.col("old_hash") != F.col("new_hash"), "changed")
+        F.when(F.col("after") == 0, "removed")
+        .when(F.col("before") == 0, "added")
+        .when(F.col("unequal") > 0, "changed")
         .otherwise("same")
     )
-    return both.withColumn("state", state)
+    return _compare_headers(previous, current).select("dataset", state.alias("state"))
 
 
 def merge_mapping(fresh: DataFrame, earlier: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Automatic mapping with every non-blank earlier value kept, matched on the k-th use of a header."""
-    nth = F.row_number().over(Window.partitionBy("dataset", "header").orderBy("position"))
-    new = fresh.withColumn("nth", nth)
-    old = earlier.withColumn("nth", nth).select(
+    new = position_in_group(fresh, ["dataset", "header"], ["position"], "nth")
+    old = position_in_group(earlier, ["dataset", "header"], ["position"], "nth").select(
         "dataset", "header", "nth", *[F.col(f).alias(f"_old_{f}") for f in fields]
     )
     joined = new.join(old, ["dataset", "header", "nth"], "left")
     kept = {f: F.coalesce(F.nullif(F.trim(f"_old_{f}"), F.lit("")), F.col(f)) for f in fields}
-    return joined.withColumns(kept).drop(*[f"_old_{f}" for f in fields])
+    return joined.withColumns(kept).withColumn("nth", F.col("nth") + 1).drop(*[f"_old_{f}" for f in fields])
 
 
 def freshness(inputs: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.quantiles import medians
 from gridloom.operators.timeorder import micros, ordered
 
 SECOND = 1_000_000
@@ -79,8 +80,8 @@ def bucket_targets(
 def instability(targets: DataFrame, weights: Mapping[str, float]) -> DataFrame:
     """Weighted sum of robust z-scores: (x - median) / (MAD + 1e-9) per column."""
     columns = list(weights)
-    medians = targets.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first()
-    centred = {c: F.col(c) - F.lit(medians[c]) for c in columns}
-    spreads = targets.agg(*[F.percentile(F.abs(centred[c]), 0.5).alias(c) for c in columns]).first()
+    middle = medians(targets, columns)
+    centred = {c: F.col(c) - F.lit(middle[c]) for c in columns}
+    spreads = medians(targets.select(*[F.abs(centred[c]).alias(c) for c in columns]), columns)
     score = sum((centred[c] / (F.lit(spreads[c]) + 1e-9) * w for c, w in weights.items()), F.lit(0.0))
     return targets.withColumn("instability_score", score)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.timeorder import row_index
+from gridloom.operators.timeorder import position_in_group, row_index
 
 
 def head_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
@@ -30,20 +30,9 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties:
 
 
 def row_stride(df: DataFrame, order: Sequence[str], stride: int, source: str | None = None) -> DataFrame:
-    """Every n-th row in order, counted anew for each source.
-
-    Positions come from one global index ordered by (source, order); subtracting the position of
-    a source's first row counts inside the source, so a source of any size stays spread out.
-    """
+    """Every n-th row in order, counted anew for each source."""
     keys = [source] if source else []
-    indexed = row_index(df, [*keys, *order])
-    if source:
-        # nulls form a source of their own, so the join must match them
-        starts = indexed.groupBy(F.col(source).alias("_src")).agg(F.min("row_no").alias("_start"))
-        indexed = indexed.join(starts, F.col(source).eqNullSafe(F.col("_src"))).withColumn(
-            "row_no", F.col("row_no") - F.col("_start")
-        )
-        indexed = indexed.drop("_start", "_src")
+    indexed = position_in_group(df, keys, order)
     return indexed.where(F.col("row_no") % stride == 0).drop("row_no")
 
 

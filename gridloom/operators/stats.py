@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.quantiles import quantile_values, quantiles
 from gridloom.operators.timeorder import seconds_between
 from gridloom.operators.windows import rolling_std, sample_durations, with_difference
 
@@ -37,7 +38,7 @@ def jump_count(df: DataFrame, ts: str, value: str, period: str, delta: float, ti
 
 def jump_quantile(df: DataFrame, ts: str, value: str, period: str, q: float, tie: Sequence[str] = ()) -> DataFrame:
     stepped = with_difference(df, ts, value, tie, [period])
-    return stepped.groupBy(period).agg(F.percentile(F.abs("diff"), q).alias("jump_q"))
+    return quantiles(stepped, F.abs("diff"), [q], ["jump_q"], [period])
 
 
 def time_in_band(
@@ -135,32 +136,47 @@ def zero_share(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg((F.avg((F.col(value) == 0).cast("int")) * 100.0).alias("zero_pct"))
 
 
-def energy_summary(df: DataFrame, ts: str, sources: Sequence[str], links: Sequence[str], tie: Sequence[str] = ()) -> DataFrame:
-    """Mean power of two families times the most common time step (the smallest on a tie)."""
-    stepped = sample_durations(df, ts, tie)
-    step = F.mode(F.when(F.col("dt_s") > 0, F.col("dt_s")), True)
-    power = lambda names: sum((F.coalesce(F.avg(c), F.lit(0.0)) for c in names), F.lit(0.0))
-    return stepped.agg(
-        step.alias("step_s"), power(sources).alias("source_mw"), power(links).alias("link_mw"), F.count(F.lit(1)).alias("rows")
-    ).withColumns(
+def modal_step(df: DataFrame, step: str) -> DataFrame:
+    """Most common positive value, the smallest on a tie: one row."""
+    counted = df.where(F.col(step) > 0).groupBy(F.col(step).alias("step_s")).count()
+    return counted.orderBy(F.col("count").desc(), "step_s").limit(1).select("step_s")
+
+
+def energy_summary(
+    df: DataFrame, ts: str, sources: Sequence[str], links: Sequence[str], tie: Sequence[str] = ()
+) -> DataFrame:
+    """Mean power of two families times the most common time step."""
+    found = modal_step(sample_durations(df, ts, tie), "dt_s").first()
+    step = F.lit(found["step_s"] if found else None).cast("double")
+
+    def power(names: Sequence[str]) -> Column:
+        return sum((F.coalesce(F.avg(c), F.lit(0.0)) for c in names), F.lit(0.0))
+
+    whole = df.agg(
+        power(sources).alias("source_mw"), power(links).alias("link_mw"), F.count(F.lit(1)).alias("rows")
+    )
+    return whole.withColumns(
         {
-            "source_mwh_per_step": F.col("source_mw") * F.col("step_s") / 3600.0,
-            "link_mwh_per_step": F.col("link_mw") * F.col("step_s") / 3600.0,
+            "step_s": step,
+            "source_mwh_per_step": F.col("source_mw") * step / 3600.0,
+            "link_mwh_per_step": F.col("link_mw") * step / 3600.0,
         }
     )
 
 
 def describe(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.percentile(value, 0.25).alias("q25"),
-        F.percentile(value, 0.5).alias("q50"),
-        F.percentile(value, 0.75).alias("q75"),
-        F.max(value).alias("max"),
+    """count, mean, std, min, quartiles and max."""
+    keys = list(by) or ["_all"]
+    rows = df.select(*by, value.alias("_x")) if by else df.select(F.lit(0).alias("_all"), value.alias("_x"))
+    moments = rows.groupBy(*keys).agg(
+        F.count("_x").alias("count"),
+        F.avg("_x").alias("mean"),
+        F.stddev_samp("_x").alias("std"),
+        F.min("_x").alias("min"),
+        F.max("_x").alias("max"),
     )
+    quarters = quantiles(rows, F.col("_x"), [0.25, 0.5, 0.75], ["q25", "q50", "q75"], keys)
+    return moments.join(quarters, keys, "left").drop("_all")
 
 
 def guarded_ratio(a: str, b: str) -> Column:
@@ -202,28 +218,23 @@ def quantile_bins(
     """Bins between the quantiles of x (right-closed, equal edges merged) with target statistics."""
     pairs = df.select(x, target).na.drop()
     marks = [i / bins for i in range(bins + 1)]
-    row = pairs.agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct(x).alias("d"), F.percentile(x, marks).alias("edges")
-    ).first()
-    distinct = row["d"]
-    if distinct < 4 * min_distinct:
-        distinct = len(pairs.select(x).distinct().limit(min_distinct).collect())
-    if row["n"] < min_rows or distinct < min_distinct:
+    enough = len(pairs.limit(min_rows).select(F.lit(1)).collect()) >= min_rows
+    varied = len(pairs.select(x).distinct().limit(min_distinct).collect()) >= min_distinct
+    if not (enough and varied):
         return pairs.limit(0).select(
             F.lit(0).alias("bin"),
             F.lit(0).cast("bigint").alias("window_count"),
             *[F.lit(0.0).alias(f"target_{s}") for s in ("mean", "median", "max")],
         )
-    edges = sorted(set(row["edges"]))
+    edges = sorted(set(quantile_values(pairs, F.col(x), marks)))
     bin_no = F.lit(1)
     for i, edge in enumerate(edges[1:-1], start=2):
         bin_no = F.when(F.col(x) > edge, i).otherwise(bin_no)
-    return pairs.groupBy(bin_no.alias("bin")).agg(
-        F.count(F.lit(1)).alias("window_count"),
-        F.avg(target).alias("target_mean"),
-        F.percentile(target, 0.5).alias("target_median"),
-        F.max(target).alias("target_max"),
+    binned = pairs.withColumn("bin", bin_no)
+    moments = binned.groupBy("bin").agg(
+        F.count(F.lit(1)).alias("window_count"), F.avg(target).alias("target_mean"), F.max(target).alias("target_max")
     )
+    return moments.join(quantiles(binned, F.col(target), [0.5], ["target_median"], ["bin"]), "bin", "left")
 
 
 def histogram2d(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
@@ -355,7 +366,7 @@ def rate_summary(df: DataFrame, rate: str = "rocof_hz_per_s", ts: str = "rocof_t
     hit = F.count(matched) if matched else F.lit(0).cast("bigint")
     size = F.abs(F.col(rate))
     rows = F.count(F.lit(1))
-    return df.agg(
+    moments = df.agg(
         rows.alias("rows"),
         hit.alias("matched_rows"),
         F.when(rows > 0, hit / rows).otherwise(0.0).alias("match_rate"),
@@ -363,9 +374,9 @@ def rate_summary(df: DataFrame, rate: str = "rocof_hz_per_s", ts: str = "rocof_t
         F.max(ts).alias("time_end"),
         F.avg(rate).alias("rocof_mean"),
         F.stddev_samp(rate).alias("rocof_std"),
-        F.percentile(size, 0.95).alias("rocof_abs_p95"),
         F.max(size).alias("rocof_abs_max"),
     )
+    return moments.withColumn("rocof_abs_p95", F.lit(quantile_values(df.select(rate), size, [0.95])[0]).cast("double"))
 
 
 def regression_metrics(df: DataFrame, truth: str, guess: str, by: Sequence[str] = ()) -> DataFrame:

@@ -8,12 +8,15 @@ literals in the plan: every branch and every retry assigns a row to the same sli
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gridloom.session import settle
 
@@ -23,6 +26,7 @@ ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 8192
 _FIRST_SKETCH = 256
 _SMALL_SLICE = 500
+_CROWD_SHARE = 0.02
 _MID_BITS = 33
 
 
@@ -38,72 +42,140 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
 
 @dataclass(frozen=True)
 class Slices:
-    """Cut points over a long key; a key equal to a cut belongs to the slice on its right."""
+    """Cut points over a long key; a key equal to a cut belongs to the slice on its right.
+
+    A key value that alone holds many rows (a crowd of equal timestamps) forms its own slice,
+    which ``crowded`` cuts again along the tie-breaker: (number of the slice, tie cuts).
+    """
 
     cuts: tuple[int, ...]
     rows: int
+    crowded: tuple[tuple[int, tuple[float, ...]], ...] = ()
     counts: tuple[int, ...] = ()
 
     @property
     def n(self) -> int:
-        return len(self.cuts) + 1
+        return len(self.cuts) + 1 + sum(len(t) for _, t in self.crowded)
 
-    def assign(self, df: DataFrame, key: Column, name: str = SLICE) -> DataFrame:
-        """Add the slice number: a binary search over the cuts inside the JVM."""
+    def assign(self, df: DataFrame, key: Column, tie: str | None = None, name: str = SLICE) -> DataFrame:
+        """Add the slice number: binary searches over the cuts inside the JVM."""
         if not self.cuts:
             return df.withColumn(name, F.lit(0))
-        finder = Bucketizer(
-            splits=[float("-inf"), *map(float, self.cuts), float("inf")],
-            inputCol="_cut_key",
-            outputCol="_cut_slice",
-        )
-        keyed = finder.transform(df.withColumn("_cut_key", key.cast("double")))
-        return keyed.withColumn(name, F.col("_cut_slice").cast("int")).drop("_cut_key", "_cut_slice")
+        out = _locate(df, key, self.cuts, "_base")
+        base, number = F.col("_base"), F.col("_base")
+        for i, (at, tie_cuts) in enumerate(self.crowded):
+            out = _locate(out, F.when(base == at, F.col(tie)).otherwise(F.lit(float("-inf"))), tie_cuts, f"_sub{i}")
+            number = number + F.when(base > at, len(tie_cuts)).otherwise(F.col(f"_sub{i}"))
+        return out.withColumn(name, number).drop("_base", *[f"_sub{i}" for i in range(len(self.crowded))])
 
+    def lending(self, back: int) -> list[tuple[int, int, int]]:
+        """(from, to, rows between): slices whose newest rows another slice needs behind it."""
+        lent = []
+        for start in range(len(self.counts)):
+            between = 0
+            for to in range(start + 1, len(self.counts)):
+                if between >= back:
+                    break
+                if self.counts[to]:
+                    lent.append((start, to, between))
+                between += self.counts[to]
+        return lent
 
-def _sketch(df: DataFrame, key: Column, parts: int) -> tuple[int, list[int]]:
-    shares = ",".join(f"{i / parts:.10f}D" for i in range(1, parts))
-    row = (
-        df.select(key.alias("_k"))
-        .agg(F.count("_k").alias("n"), F.expr(f"percentile_approx(_k, array({shares}), {parts * 20})").alias("q"))
-        .first()
+
+def _locate(df: DataFrame, key: Column, cuts: Sequence[float], name: str) -> DataFrame:
+    finder = Bucketizer(
+        splits=[float("-inf"), *map(float, cuts), float("inf")], inputCol="_cut_key", outputCol="_cut_slice"
     )
+    keyed = finder.transform(df.withColumn("_cut_key", key.cast("double")))
+    return keyed.withColumn(name, F.col("_cut_slice").cast("int")).drop("_cut_key", "_cut_slice")
+
+
+def _marks(column: str, parts: int) -> Column:
+    shares = ",".join(f"{i / parts:.10f}D" for i in range(1, parts))
+    return F.expr(f"percentile_approx({column}, array({shares}), {parts * 20})")
+
+
+def _sketch(df: DataFrame, key: Column, parts: int) -> tuple[int, list[int]]:
+    row = df.select(key.alias("_k")).agg(F.count("_k").alias("n"), _marks("_k", parts).alias("q")).first()
     return row["n"], list(row["q"] or [])
 
 
 def plan_slices(
-    df: DataFrame, key: Column, min_rows: int = 0, rows_per_slice: int | None = None
+    df: DataFrame,
+    key: Column,
+    tie: str | None = None,
+    count: bool = False,
+    rows_per_slice: int | None = None,
+    axis: DataFrame | None = None,
 ) -> Slices:
-    """Choose the cuts. With ``min_rows`` every slice is checked to hold at least that many rows.
+    """Choose the cuts; with ``count`` the rows of every slice are counted too.
 
-    The driver receives at most ``MAX_SLICES`` numbers whatever the size of the table.
+    ``axis`` (one column ``_k``) sets the cuts from other rows than the counted ones. The driver
+    receives at most ``MAX_SLICES`` numbers whatever the size of the table.
     """
     target = rows_per_slice or ROWS_PER_SLICE
-    rows, marks = _sketch(df, key, _FIRST_SKETCH)
+    tie = _numeric(df, tie)
+    whole = df.select(key.alias("_k")) if axis is None else axis
+    rows, marks = _sketch(whole, F.col("_k"), _FIRST_SKETCH)
     cores = df.sparkSession.sparkContext.defaultParallelism
     wanted = max(-(-rows // target), min(cores, rows // _SMALL_SLICE), 1)
     wanted = min(wanted, MAX_SLICES)
     if wanted > _FIRST_SKETCH:
-        _, marks = _sketch(df, key, wanted)
+        _, marks = _sketch(whole, F.col("_k"), wanted)
     elif marks:
         marks = [marks[(i * _FIRST_SKETCH) // wanted - 1] for i in range(1, wanted)]
-    cuts = tuple(sorted(set(marks)))
-    if not min_rows:
-        return Slices(cuts, rows)
-    counted = (
-        Slices(cuts, rows).assign(df.select(key.alias("_k")).na.drop(), F.col("_k")).groupBy(SLICE).count().collect()
-    )
-    sizes = {r[SLICE]: r["count"] for r in counted}
-    kept: list[int] = []
-    counts = [sizes.get(0, 0)]
-    for i, cut in enumerate(cuts):
-        size = sizes.get(i + 1, 0)
-        if counts[-1] >= min_rows and size:
-            kept.append(cut)
-            counts.append(size)
-        else:
-            counts[-1] += size
-    return Slices(tuple(kept), rows, tuple(counts))
+    seen = Counter(marks)
+    crowds = [v for v, c in seen.items() if c >= max(2, len(marks) * _CROWD_SHARE)] if tie else []
+    cuts = tuple(sorted(set(marks) | {v + 1 for v in crowds}))
+    crowded = []
+    if crowds:
+        parts = max(seen[v] for v in crowds) + 1
+        found = df.where(key.isin(crowds)).groupBy(key.alias("_k")).agg(_marks(f"`{tie}`", parts).alias("q")).collect()
+        for r in sorted(found, key=lambda r: r["_k"]):
+            crowded.append((cuts.index(r["_k"]) + 1, tuple(float(v) for v in sorted(set(r["q"])))))
+    slices = Slices(cuts, rows, tuple(crowded))
+    if not count:
+        return slices
+    sizes = slices.assign(df.where(key.isNotNull()), key, tie).groupBy(SLICE).count().collect()
+    by_slice = {r[SLICE]: r["count"] for r in sizes}
+    return replace(slices, counts=tuple(by_slice.get(i, 0) for i in range(slices.n)))
+
+
+def cut_with_halo(
+    df: DataFrame, ts: str, back: int, tie: Sequence[str] = (), slices: Slices | None = None
+) -> DataFrame:
+    """Rows with their slice, and copies of the ``back`` rows before each slice marked ``_halo``.
+
+    How far back a slice must reach is known from the row counts, so slices with fewer than
+    ``back`` rows, or none, are handled.
+    """
+    first_tie = tie[0] if tie else None
+    if slices is None:
+        slices = plan_slices(df, micros(ts), first_tie, count=back > 0)
+    cut = slices.assign(df.where(F.col(ts).isNotNull()), micros(ts), first_tie)
+    own = cut.withColumn(HALO, F.lit(False))
+    lent = slices.lending(back)
+    if not back or not lent:
+        return own
+    newest = Window.partitionBy(SLICE).orderBy(*[F.col(c).desc() for c in (ts, *tie)])
+    tails = cut.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") <= back)
+    if all(to == start + 1 for start, to, _ in lent):
+        moved = tails.where(F.col(SLICE) < slices.n - 1).withColumn(SLICE, F.col(SLICE) + 1)
+    else:
+        plan = df.sparkSession.createDataFrame(lent, f"{SLICE} int, _to int, _between int")
+        moved = (
+            tails.join(F.broadcast(plan), SLICE)
+            .where(F.col("_rank") + F.col("_between") <= back)
+            .withColumn(SLICE, F.col("_to"))
+            .drop("_to", "_between")
+        )
+    return own.unionByName(moved.drop("_rank").withColumn(HALO, F.lit(True)))
+
+
+def _numeric(df: DataFrame, column: str | None) -> str | None:
+    if column is None:
+        return None
+    return column if dict(df.dtypes)[column] in ("int", "bigint", "double", "float", "smallint") else None
 
 
 def ordered(
@@ -117,29 +189,48 @@ def ordered(
 ) -> DataFrame:
     """Run a time-ordered window that looks at most ``back`` rows behind.
 
-    ``build(frame, window)`` adds its columns over ``window``. The last ``back`` rows of each
-    slice are lent to the next slice and taken away afterwards. ``restart`` names columns that
+    ``build(frame, window)`` adds its columns over ``window``. ``restart`` names columns that
     follow from the timestamp (a year, a day): windows never cross a change of theirs.
     """
-    slices = slices or plan_slices(df, micros(ts), min_rows=max(back, 1))
-    order = [F.col(ts), *map(F.col, tie)]
-    cut = slices.assign(df.where(F.col(ts).isNotNull()), micros(ts))
-    if back and slices.n > 1:
-        newest = Window.partitionBy(SLICE).orderBy(*[c.desc() for c in order])
-        lent = (
-            cut.withColumn("_rank", F.row_number().over(newest))
-            .where(F.col("_rank") <= back)
-            .drop("_rank")
-            .withColumn(SLICE, F.col(SLICE) + 1)
-            .withColumn(HALO, F.lit(True))
-        )
-        cut = cut.withColumn(HALO, F.lit(False)).unionByName(lent)
-    else:
-        cut = cut.withColumn(HALO, F.lit(False))
-    window = Window.partitionBy(SLICE, *restart).orderBy(*order)
+    cut = cut_with_halo(df, ts, back, tie, slices)
+    window = Window.partitionBy(SLICE, *restart).orderBy(*[F.col(c) for c in (ts, *tie)])
     return build(cut, window).where(~F.col(HALO)).drop(HALO)
 
 
+def scan_ordered(
+    df: DataFrame,
+    ts: str,
+    back: int,
+    step: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: StructType,
+    tie: Sequence[str] = (),
+) -> DataFrame:
+    """Like :func:`ordered` for windows too wide for the JVM frames, which recompute every row.
+
+    Slices are sorted by Spark and pass through ``step`` as Arrow batches; only the last ``back``
+    rows of a slice stay in memory between batches. ``step`` gets consecutive rows of one slice,
+    a lead-in of up to ``back`` rows first, and returns one row for each row it got.
+    """
+    cut = cut_with_halo(df, ts, back, tie)
+    order = [ts, *tie]
+    placed = cut.repartition(SLICE).sortWithinPartitions(SLICE, *order)
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, lead = None, None
+        for batch in batches:
+            for number, rows in batch.groupby(SLICE, sort=True):
+                if number != current:
+                    current, lead = number, rows.iloc[:0]
+                whole = pd.concat([lead, rows], ignore_index=True) if len(lead) else rows.reset_index(drop=True)
+                done = step(whole)
+                fresh = done.iloc[len(lead) :]
+                lead = whole.iloc[max(0, len(whole) - back) :]
+                yield fresh.loc[~fresh[HALO].astype(bool), names]
+
+    return placed.mapInPandas(run, schema)
+
+
 def running_total(
     df: DataFrame, order: Sequence[str], add: Column, name: str, inclusive: bool = True
 ) -> DataFrame:
@@ -192,3 +283,23 @@ def row_index(df: DataFrame, order: Sequence[str], name: str = "row_no") -> Data
         .withColumn(name, F.col("_local") + F.col("_before"))
         .drop(SLICE, "_local", "_before")
     )
+
+
+def position_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """Zero-based position inside each group, for groups of any size.
+
+    One global index over (keys, order), less the index of the first row of the group: a group
+    holding a third of the table still spans a third of the range partitions.
+    """
+    indexed = row_index(df, [*keys, *order], name)
+    if not keys:
+        return indexed
+    starts = indexed.groupBy(*[F.col(k).alias(f"_start_{k}") for k in keys]).agg(F.min(name).alias("_first"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_start_{k}"))
+    return (
+        indexed.join(starts, same)
+        .withColumn(name, F.col(name) - F.col("_first"))
+        .drop("_first", *[f"_start_{k}" for k in keys])
+    )

@@ -4,29 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.operators.timeorder import (
     SLICE,
+    Slices,
     micros,
     ordered,
     plan_slices,
     range_ordered,
     running_total,
+    scan_ordered,
     seconds_between,
 )
 
 
 def rocof(
-    df: DataFrame, ts: str = "ts", value: str = "value", stamp: str = "midpoint", tie: Sequence[str] = ()
+    df: DataFrame,
+    ts: str = "ts",
+    value: str = "value",
+    stamp: str = "midpoint",
+    tie: Sequence[str] = (),
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Sample-to-sample rate of change; rows without a usable predecessor are left out."""
 
     def build(frame: DataFrame, w) -> DataFrame:
         return frame.withColumns({"_ts0": F.lag(ts).over(w), "_v0": F.lag(value).over(w)})
 
-    pairs = ordered(df.select(ts, value, *tie), ts, 1, build, tie)
+    pairs = ordered(df.select(ts, value, *tie), ts, 1, build, tie, slices=slices)
     dt = seconds_between("_ts0", ts)
     out = pairs.select(
         F.col("_ts0").alias("sample_start_ts"),
@@ -76,17 +85,20 @@ def rolling_stats(
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """Differences and rolling mean/std/min/max; null until max(2, w // 3) samples are there."""
+    kinds = ("mean", "std", "min", "max")
+    added = [f"diff_{k}" for k in diffs] + [f"roll{n}_{kind}" for n in windows for kind in kinds]
 
-    def build(frame: DataFrame, w) -> DataFrame:
-        added: dict[str, Column] = {f"diff_{k}": F.col(value) - F.lag(value, k).over(w) for k in diffs}
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        v = rows[value]
+        new = {f"diff_{k}": v.diff(k) for k in diffs}
         for n in windows:
-            frameset = w.rowsBetween(-(n - 1), 0)
-            enough = F.count(value).over(frameset) >= max(2, n // 3)
-            for label, fn in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
-                added[f"roll{n}_{label}"] = F.when(enough, fn(value).over(frameset))
-        return frame.withColumns(added)
+            rolled = v.rolling(n, min_periods=max(2, n // 3))
+            new.update({f"roll{n}_{kind}": getattr(rolled, kind)() for kind in kinds})
+        return rows.assign(**new)
 
-    return ordered(df, ts, max(*diffs, *[n - 1 for n in windows]), build, tie).drop("_slice")
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in added]])
+    out = scan_ordered(df, ts, max(*diffs, *[n - 1 for n in windows]), step, schema, tie)
+    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in added})
 
 
 def rolling_quantile_excess(
@@ -94,13 +106,14 @@ def rolling_quantile_excess(
 ) -> DataFrame:
     """How far the signal lies under its rolling quantile, never negative."""
 
-    def build(frame: DataFrame, w) -> DataFrame:
-        frameset = w.rowsBetween(-(rows - 1), 0)
-        level = F.when(F.count(value).over(frameset) >= min_rows, F.percentile(value, q).over(frameset))
-        return frame.withColumn("rolling_q", level)
+    def step(part: pd.DataFrame) -> pd.DataFrame:
+        return part.assign(rolling_q=part[value].rolling(rows, min_periods=min_rows).quantile(q))
 
-    out = ordered(df, ts, rows - 1, build, tie)
-    return out.withColumn("proxy", F.greatest(F.lit(0.0), F.col("rolling_q") - F.col(value))).drop("_slice")
+    schema = StructType([*df.schema.fields, StructField("rolling_q", DoubleType())])
+    out = scan_ordered(df, ts, rows - 1, step, schema, tie)
+    level = F.nanvl("rolling_q", F.lit(None).cast("double"))
+    below = F.greatest(F.lit(0.0), F.col("rolling_q") - F.col(value))
+    return out.withColumn("rolling_q", level).withColumn("proxy", F.when(F.col("rolling_q").isNotNull(), below))
 
 
 def rolling_std(
@@ -165,8 +178,9 @@ def fill_forward(df: DataFrame, ts: str, columns: Sequence[str], tie: Sequence[s
     Inside a slice a window fills; what a slice lacks comes from the nearest slice that has a
     value, found on a table with one row per slice.
     """
-    slices = plan_slices(df, micros(ts))
-    cut = slices.assign(df, micros(ts))
+    first_tie = next(iter(tie), None)
+    slices = plan_slices(df, micros(ts), first_tie)
+    cut = slices.assign(df, micros(ts), first_tie)
     moment = F.struct(F.col(ts), *[F.col(c) for c in tie])
     edges = cut.groupBy(SLICE).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), moment)).alias(f"_tail_{c}") for c in columns],

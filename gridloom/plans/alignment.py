@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.asof import Source, fuse
+from gridloom.operators.asof import Source, fuse, time_axis
 from gridloom.operators.stats import rate_summary
+from gridloom.operators.timeorder import micros, plan_slices
 from gridloom.operators.windows import rocof
 
 
@@ -25,11 +26,14 @@ def aligned_rocof(
 ) -> DataFrame:
     """Rate of change per sample with the nearest context row within the tolerance.
 
-    Midpoints of one signal are distinct, so the samples go through the join without a lookup back.
+    Midpoints of one signal are distinct, so the samples go through the join without a lookup
+    back. Both steps use one set of cuts, taken from the raw time columns.
     """
-    rates = rocof(signal, ts, value, stamp, tie)
+    axis = time_axis([(signal, ts), (context, context_ts)])
+    slices = plan_slices(signal, micros(ts), count=True, axis=axis)
+    rates = rocof(signal, ts, value, stamp, tie, slices)
     source = Source(context, context_ts, columns, "matched_", tolerance=tolerance_s)
-    return fuse(rates, "rocof_timestamp", [source], unique_left=True)
+    return fuse(rates, "rocof_timestamp", [source], unique_left=True, slices=slices)
 
 
 def summarise(aligned: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions.clean import finite, impute_median
+from gridloom.functions.clean import finite
+from gridloom.operators.quantiles import impute_median
 from gridloom.operators.stats import regression_metrics
 from gridloom.operators.timeorder import micros
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import clean, features, parse
+from gridloom.operators import quantiles
 from gridloom.operators.windows import fill_forward
 from gridloom.queries.registry import MIX_SQL, Tables, query, rounded
 
@@ -163,7 +164,7 @@ def fill_chain(t: Tables) -> DataFrame:
 )
 def impute_median(t: Tables) -> DataFrame:
     raw = t.events.select("event_id", F.when(F.col("event_type") != "view", F.col("value")).alias("v"))
-    return rounded(clean.impute_median(raw, ["v"]))
+    return rounded(quantiles.impute_median(raw, ["v"]))
 
 
 @query(

@@ -143,7 +143,7 @@ OUTPUT = "CASE WHEN l_orderkey % 5 = 0 THEN l_linestatus ELSE l_returnflag END"
     "header_roundtrip",
     f"""WITH a AS (SELECT l_orderkey AS dataset, list(l_returnflag ORDER BY l_linenumber, l_returnflag) AS h FROM lineitem GROUP BY 1),
         b AS (SELECT l_orderkey AS dataset, list({OUTPUT} ORDER BY l_linenumber, {OUTPUT}) AS h FROM lineitem WHERE l_orderkey % 7 <> 0 GROUP BY 1)
-        SELECT a.dataset, CAST(len(a.h) AS INTEGER) AS columns, CAST(coalesce(a.h = b.h, FALSE) AS INTEGER) AS same FROM a LEFT JOIN b USING (dataset)""",
+        SELECT a.dataset, len(a.h) AS columns, CAST(coalesce(a.h = b.h, FALSE) AS INTEGER) AS same FROM a LEFT JOIN b USING (dataset)""",
 )
 def header_roundtrip(t: Tables) -> DataFrame:
     return quality.header_roundtrip(headers(t, "l_returnflag"), headers(t, OUTPUT).where("dataset % 7 <> 0"))
@@ -159,7 +159,7 @@ def header_roundtrip(t: Tables) -> DataFrame:
 def header_drift(t: Tables) -> DataFrame:
     previous = headers(t, "l_returnflag").where("dataset % 11 <> 0")
     current = headers(t, OUTPUT).where("dataset % 7 <> 0")
-    return quality.header_drift(previous, current).select("dataset", "state")
+    return quality.header_drift(previous, current)
 
 
 @query(
@@ -168,7 +168,7 @@ def header_drift(t: Tables) -> DataFrame:
        n AS (SELECT *, row_number() OVER (PARTITION BY dataset, header ORDER BY position) AS nth FROM f),
        o AS (SELECT o_custkey AS dataset, o_orderpriority AS header, CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE ' manual ' END AS p, 'note ' || o_orderkey AS q,
                row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderkey % 2 = 0)
-       SELECT dataset, header, CAST(nth AS INTEGER) AS nth, position, coalesce(nullif(trim(p), ''), parquet_name) AS parquet_name,
+       SELECT dataset, header, nth, position, coalesce(nullif(trim(p), ''), parquet_name) AS parquet_name,
          coalesce(nullif(trim(q), ''), notes) AS notes FROM n LEFT JOIN o USING (dataset, header, nth)""",
 )
 def mapping_merge(t: Tables) -> DataFrame:

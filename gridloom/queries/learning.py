@@ -82,13 +82,13 @@ def ml_rounds(t: Tables) -> DataFrame:
 
 @query(
     "ml_blend",
-    """SELECT l_orderkey, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS blended, round(stddev_pop(l_extendedprice), 4) AS uncertainty,
+    """SELECT l_orderkey, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 6) AS blended, round(stddev_pop(l_extendedprice), 6) AS uncertainty,
          count(*) AS members FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1""",
 )
 def ml_blend(t: Tables) -> DataFrame:
     prediction = F.when(F.col("l_linenumber") != 3, F.col("l_extendedprice"))
     members = t.lineitem.select("l_orderkey", F.col("l_quantity").alias("weight"), prediction.alias("prediction"))
-    return rounded(learning.blend(members, ["l_orderkey"]), 4)
+    return rounded(learning.blend(members, ["l_orderkey"]))
 
 
 @query("ml_stack")

@@ -56,7 +56,7 @@ def rolling_stats(t: Tables) -> DataFrame:
 @query(
     "rolling_quantile",
     """SELECT ts, event_id, value, CASE WHEN n >= 48 THEN round(q, 6) END AS rolling_q,
-         round(greatest(0.0, CASE WHEN n >= 48 THEN q - value END), 6) AS proxy
+         CASE WHEN n >= 48 THEN round(greatest(0.0, q - value), 6) END AS proxy
        FROM (SELECT ts, event_id, value, count(value) OVER w AS n, quantile_cont(value, 0.95) OVER w AS q FROM events
              WINDOW w AS (ORDER BY ts, event_id ROWS 335 PRECEDING))""",
 )

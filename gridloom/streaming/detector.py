@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,32 +15,37 @@ OUTPUT = "site string, start_us bigint, end_us bigint, open_tail boolean, durati
 STATE = "active boolean, start_us bigint, beyond_rows int, inside_rows int, run_us bigint, last_us bigint"
 
 
-def step(state: dict, at: int, beyond: bool, start_rows: int, end_rows: int) -> tuple[int, int] | None:
-    """Move the counters by one sample; returns (start, end) when an excursion closes."""
-    state["last_us"] = at
-    if beyond:
-        if state["beyond_rows"] == 0:
-            state["run_us"] = at
-        state["beyond_rows"] += 1
-        state["inside_rows"] = 0
-        if not state["active"] and state["beyond_rows"] >= start_rows:
-            state["active"], state["start_us"] = True, state["run_us"]
-        return None
-    state["beyond_rows"] = 0
-    if not state["active"]:
-        return None
-    if state["inside_rows"] == 0:
-        state["run_us"] = at
-    state["inside_rows"] += 1
-    if state["inside_rows"] < end_rows:
-        return None
-    closed = (state["start_us"], state["run_us"])
-    state.update(active=False, inside_rows=0)
-    return closed
+def runs_of(at: np.ndarray, beyond: np.ndarray) -> list[tuple[bool, int, int, int]]:
+    """Runs of equal flags in time order: (flag, rows, first instant, last instant)."""
+    order = np.argsort(at, kind="stable")
+    at, beyond = at[order], beyond[order]
+    edges = np.flatnonzero(np.diff(beyond)) + 1
+    starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(at)]))
+    return [(bool(beyond[a]), int(b - a), int(at[a]), int(at[b - 1])) for a, b in zip(starts, ends)]
+
+
+def advance(state: dict, run: tuple[bool, int, int, int], start_rows: int, end_rows: int) -> tuple[int, int] | None:
+    """Move the counters by one run of samples; returns (start, end) when an excursion closes."""
+    beyond, rows, first, last = run
+    count = "beyond_rows" if beyond else "inside_rows"
+    if state["last_us"] == 0 or state[count] == 0:
+        state["run_us"] = first
+    state["beyond_rows"] = state["beyond_rows"] + rows if beyond else 0
+    state["inside_rows"] = 0 if beyond else state["inside_rows"] + rows
+    state["last_us"] = last
+    if beyond and not state["active"] and state["beyond_rows"] >= start_rows:
+        state["active"], state["start_us"] = True, state["run_us"]
+    if not beyond and state["active"] and state["inside_rows"] >= end_rows:
+        state["active"] = False
+        return state["start_us"], state["run_us"]
+    return None
 
 
 class ExcursionProcessor(StatefulProcessor):
-    """Samples of a site are sorted inside a micro-batch; the size of those is set by the source."""
+    """Samples of a site (an instant and a flag each) are sorted inside a micro-batch.
+
+    The size of a micro-batch is set at the source (files per trigger), not by the stream's length.
+    """
 
     def __init__(self, start_rows: int, end_rows: int, min_duration_s: int, idle_s: int):
         self.start_rows, self.end_rows = start_rows, end_rows
@@ -60,10 +66,11 @@ class ExcursionProcessor(StatefulProcessor):
         return pd.DataFrame(kept, columns=["site", "start_us", "end_us", "open_tail", "duration_s"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("at_us", kind="stable")
+        parts = [(f["at_us"].to_numpy(), f["beyond"].to_numpy(dtype=bool)) for f in rows]
+        at, beyond = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
         state, spans = self._load(), []
-        for at, beyond in zip(batch["at_us"].tolist(), batch["beyond"].tolist()):
-            closed = step(state, at, beyond, self.start_rows, self.end_rows)
+        for run in runs_of(at, beyond):
+            closed = advance(state, run, self.start_rows, self.end_rows)
             if closed:
                 spans.append((*closed, False))
         self.state.update(tuple(state.values()))

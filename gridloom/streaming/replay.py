@@ -24,9 +24,9 @@ def stream_rocof(stream: DataFrame, ts: str, value: str) -> DataFrame:
     signal = stream.select(ts, value).where(F.col(value).isNotNull())
 
     def each(batch: DataFrame, batch_id: int, folder: str) -> None:
-        past = earlier_batches(spark, folder, "last", batch_id)
-        if past is not None:
-            batch = batch.unionByName(past.select(ts, value).orderBy(F.col(ts).desc()).limit(1))
+        if batch_id:
+            # The batch before always wrote its newest sample, its own or one it took over.
+            batch = batch.unionByName(spark.read.schema(signal.schema).parquet(batch_path(folder, "last", batch_id - 1)))
         rocof(batch, ts, value).write.mode("overwrite").parquet(batch_path(folder, "rows", batch_id))
         newest = batch.orderBy(F.col(ts).desc()).limit(1)
         newest.write.mode("overwrite").parquet(batch_path(folder, "last", batch_id))
