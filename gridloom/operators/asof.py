@@ -18,6 +18,7 @@ from gridloom.operators.timeorder import SLICE, Slices, micros, plan_slices
 
 _T = "_t"
 _SIDE = "_side"
+_EDGE = "_edge"
 
 
 @dataclass(frozen=True)
@@ -59,30 +60,26 @@ def _compact(source: Source, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _carry(keys: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """For each (by, slice) holding left rows: the right row just before and just after it."""
-    edges = right.groupBy(*by, SLICE).agg(
-        F.max_by(F.struct(_T, "last"), _T).alias("tail"), F.min_by(F.struct(_T, "first"), _T).alias("head")
+def _carry(keys: DataFrame, rights: DataFrame, by: Sequence[str], n: int, slices: int) -> DataFrame:
+    """For each (by, slice) holding left rows: the rows of every source just before and after it."""
+    edges = rights.groupBy(*by, SLICE).agg(
+        *[F.max_by(f"_last{i}", F.when(F.col(f"_last{i}").isNotNull(), F.col(_T))).alias(f"_last{i}") for i in range(n)],
+        *[F.min_by(f"_first{i}", F.when(F.col(f"_first{i}").isNotNull(), F.col(_T))).alias(f"_first{i}") for i in range(n)],
     )
-    wanted = keys.select(*by, SLICE).distinct().withColumn("_want", F.lit(True))
+    # Without by-columns every slice gets its carry row; no need to look which ones hold left rows.
+    pairs = keys.select(*by, SLICE).distinct() if by else keys.sparkSession.range(slices).select(F.col("id").cast("int").alias(SLICE))
+    wanted = pairs.withColumn("_want", F.lit(True))
     both = edges.withColumn("_want", F.lit(False)).unionByName(wanted, allowMissingColumns=True)
     # At most two rows per slice and by-value, so these windows stay small.
     past = Window.partitionBy(*by).orderBy(SLICE).rangeBetween(Window.unboundedPreceding, -1)
     future = Window.partitionBy(*by).orderBy(F.col(SLICE).desc()).rangeBetween(Window.unboundedPreceding, -1)
-    found = both.select(
+    return both.select(
         *by,
         SLICE,
         "_want",
-        F.last("tail", True).over(past).alias("tail"),
-        F.last("head", True).over(future).alias("head"),
-    ).where("_want")
-    before = found.where("tail is not null").select(
-        *by, SLICE, F.col(f"tail.{_T}").alias(_T), F.col("tail.last").alias("last"), F.lit(None).alias("first")
-    )
-    after = found.where("head is not null").select(
-        *by, SLICE, F.col(f"head.{_T}").alias(_T), F.lit(None).alias("last"), F.col("head.first").alias("first")
-    )
-    return before.unionByName(after)
+        *[F.last(f"_last{i}", True).over(past).alias(f"_last{i}") for i in range(n)],
+        *[F.last(f"_first{i}", True).over(future).alias(f"_first{i}") for i in range(n)],
+    ).where("_want").drop("_want")
 
 
 def _pick(source: Source, i: int) -> Column:
@@ -128,20 +125,25 @@ def fuse(
     if slices is None:
         slices = plan_slices(left, micros(ts), axis=time_axis([(left, ts), *[(s.df, s.ts) for s in sources]]))
     keys = slices.assign(keys, F.col(_T))
+    renamed = [
+        r.withColumnsRenamed({"last": f"_last{i}", "first": f"_first{i}"}) for i, r in enumerate(rights)
+    ]
+    context = slices.assign(
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), renamed), F.col(_T)
+    )
+    union = keys.withColumns({_SIDE: F.lit(1), _EDGE: F.lit(0)}).unionByName(
+        context.withColumns({_SIDE: F.lit(0), _EDGE: F.lit(0)}), allowMissingColumns=True
+    )
+    if slices.n > 1:
+        edge = _carry(keys, context, by, len(sources), slices.n).withColumns({_SIDE: F.lit(0), _EDGE: F.lit(1)})
+        union = union.unionByName(edge, allowMissingColumns=True)
 
-    union = keys.withColumn(_SIDE, F.lit(1))
-    for i, right in enumerate(rights):
-        cut = slices.assign(right, F.col(_T))
-        rows = cut.select(*by, SLICE, _T, "last", "first")
-        if slices.n > 1:
-            rows = rows.unionByName(_carry(keys, cut, by))
-        rows = rows.withColumnsRenamed({"last": f"_last{i}", "first": f"_first{i}"})
-        union = union.unionByName(rows.withColumn(_SIDE, F.lit(0)), allowMissingColumns=True)
-
-    # Looking ahead is looking back on the reversed axis: both frames grow row by row.
+    # Looking ahead is looking back on the reversed axis: both frames grow row by row. The carry
+    # row comes first on either axis.
     group = Window.partitionBy(*by, SLICE)
-    back = group.orderBy(_T, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = group.orderBy(F.col(_T).desc(), _SIDE).rowsBetween(Window.unboundedPreceding, 0)
+    edge_first = F.col(_EDGE).desc()
+    back = group.orderBy(edge_first, _T, _SIDE).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = group.orderBy(edge_first, F.col(_T).desc(), _SIDE).rowsBetween(Window.unboundedPreceding, 0)
     looked = union
     for i, source in enumerate(sources):
         if source.direction != "forward":

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.quantiles import quantile_values, quantiles
+from gridloom.operators.quantiles import DIRECT_ROWS, quantile_values, quantiles
 from gridloom.operators.timeorder import seconds_between
 from gridloom.operators.windows import rolling_std, sample_durations, with_difference
 
@@ -361,12 +361,20 @@ def select_features(
     return picked.select("column", "known", "ratio")
 
 
-def rate_summary(df: DataFrame, rate: str = "rocof_hz_per_s", ts: str = "rocof_timestamp", matched: str | None = None) -> DataFrame:
+def rate_summary(
+    df: DataFrame,
+    rate: str = "rocof_hz_per_s",
+    ts: str = "rocof_timestamp",
+    matched: str | None = None,
+    at_most: int | None = None,
+) -> DataFrame:
     """Rows, match rate, bounds, and mean/std/p95/max of the rate."""
     hit = F.count(matched) if matched else F.lit(0).cast("bigint")
     size = F.abs(F.col(rate))
     rows = F.count(F.lit(1))
+    small = at_most is not None and at_most <= DIRECT_ROWS
     moments = df.agg(
+        *([F.percentile(size, 0.95).alias("rocof_abs_p95")] if small else []),
         rows.alias("rows"),
         hit.alias("matched_rows"),
         F.when(rows > 0, hit / rows).otherwise(0.0).alias("match_rate"),
@@ -376,6 +384,8 @@ def rate_summary(df: DataFrame, rate: str = "rocof_hz_per_s", ts: str = "rocof_t
         F.stddev_samp(rate).alias("rocof_std"),
         F.max(size).alias("rocof_abs_max"),
     )
+    if small:
+        return moments
     return moments.withColumn("rocof_abs_p95", F.lit(quantile_values(df.select(rate), size, [0.95])[0]).cast("double"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.asof import Source, fuse, time_axis
 from gridloom.operators.stats import rate_summary
-from gridloom.operators.timeorder import micros, plan_slices
+from gridloom.operators.timeorder import Slices, micros, plan_slices
 from gridloom.operators.windows import rocof
 
 
@@ -23,21 +23,30 @@ def aligned_rocof(
     tolerance_s: float = 1800.0,
     stamp: str = "midpoint",
     tie: Sequence[str] = (),
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Rate of change per sample with the nearest context row within the tolerance.
 
     Midpoints of one signal are distinct, so the samples go through the join without a lookup
     back. Both steps use one set of cuts, taken from the raw time columns.
     """
-    axis = time_axis([(signal, ts), (context, context_ts)])
-    slices = plan_slices(signal, micros(ts), count=True, axis=axis)
+    if slices is None:
+        slices = shared_slices(signal, ts, context, context_ts)
     rates = rocof(signal, ts, value, stamp, tie, slices)
     source = Source(context, context_ts, columns, "matched_", tolerance=tolerance_s)
     return fuse(rates, "rocof_timestamp", [source], unique_left=True, slices=slices)
 
 
-def summarise(aligned: DataFrame) -> DataFrame:
-    return rate_summary(aligned, matched="matched_ts")
+def shared_slices(signal: DataFrame, ts: str, context: DataFrame, context_ts: str) -> Slices:
+    axis = time_axis([(signal, ts), (context, context_ts)])
+    return plan_slices(signal, micros(ts), count=True, axis=axis)
+
+
+def rocof_report(signal: DataFrame, context: DataFrame, ts: str, value: str, context_ts: str, **how) -> DataFrame:
+    """Summary of the aligned rates; only the match itself is carried through the join."""
+    slices = shared_slices(signal, ts, context, context_ts)
+    aligned = aligned_rocof(signal, context, ts, value, context_ts, [], slices=slices, **how)
+    return rate_summary(aligned, matched="matched_ts", at_most=slices.rows)
 
 
 def estimated_demand(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import frames, physics
 from gridloom.functions.clean import family_sum
 from gridloom.operators import asof
-from gridloom.plans.alignment import aligned_rocof, summarise
+from gridloom.plans.alignment import rocof_report
 from gridloom.queries.aggregates import YEAR, yearly
 from gridloom.queries.ordering import ROCOF_SQL
 from gridloom.queries.registry import MIX_SQL, Tables, query, rounded
@@ -235,6 +235,5 @@ ALIGNED_SQL = f"""WITH s AS (SELECT make_timestamp(epoch_us(sample_start_ts) + d
 
 @query("rocof_summary", ALIGNED_SQL)
 def rocof_summary(t: Tables) -> DataFrame:
-    aligned = aligned_rocof(t.signal(), t.kind("error"), "ts", "value", "ts", ["value"], tolerance_s=600.0, tie=["event_id"])
-    out = summarise(aligned)
+    out = rocof_report(t.signal(), t.kind("error"), "ts", "value", "ts", tolerance_s=600.0, tie=["event_id"])
     return rounded(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("time_start", "time_end")}))
