@@ -8,29 +8,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import physics
-from gridloom.operators.timeorder import SLICE, micros, ordered, plan_slices, running_total, seconds_between
+from gridloom.operators.timeorder import HALO, SLICE, micros, ordered, plan_slices, running_total, seconds_between
+from gridloom.session import settle
 
 
-def number_runs(
+def find_runs(
     df: DataFrame,
     ts: str,
+    value: str,
     label: Column,
     tie: Sequence[str] = (),
     restart: Sequence[str] = (),
-    slices=None,
 ) -> DataFrame:
-    """Add ``label`` and ``run``, a number that grows whenever the label changes.
+    """Runs of consecutive rows with one label: ``run``, ``label``, points, start, end, low, high.
 
-    ``restart`` columns also end a run. The number is global over the whole time axis: a
-    running sum of change flags inside each slice plus the changes of all earlier slices.
+    A change of a ``restart`` column ends a run too. Each slice aggregates its own pieces, behind
+    the one shuffle that brings a slice together. The pieces are written; a piece that continues
+    the slice before gets that run's number from the piece counts of the earlier slices, and the
+    pieces of a run are merged.
     """
 
     def build(frame: DataFrame, w) -> DataFrame:
-        return frame.withColumn("_was", F.lag(F.struct("label")).over(w))
-
-    flagged = ordered(df.withColumn("label", label), ts, 1, build, tie, restart, slices)
-    changed = F.when(F.col("_was").isNull() | ~F.col("_was.label").eqNullSafe(F.col("label")), 1).otherwise(0)
-    return running_total(flagged.withColumn("_new", changed), [ts, *tie], F.col("_new"), "run").drop("_was", "_new")
+        state = F.struct("label", *restart)
+        changed = F.lag(state).over(w)
+        frame = frame.withColumn("label", label).withColumn("_was", changed)
+        fresh = F.when(F.col(HALO) | F.col("_was").eqNullSafe(state), 0).otherwise(1)
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        return frame.withColumn("_new", fresh).withColumn("_piece", F.sum("_new").over(upto))
+
+    numbered = ordered(df.select(ts, value, *tie, *restart), ts, 1, build, tie)
+    v = F.col(value)
+    pieces = settle(
+        numbered.groupBy(SLICE, "_piece", "label", *restart).agg(
+            F.count(F.lit(1)).alias("points"),
+            F.min(ts).alias("start"),
+            F.max(ts).alias("end"),
+            F.min(v).alias("low"),
+            F.max(v).alias("high"),
+        )
+    )
+    counts = pieces.groupBy(SLICE).agg(F.max("_piece").alias("_n"))
+    before = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(SLICE, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = pieces.join(F.broadcast(offsets), SLICE).withColumn("run", F.col("_piece") + F.col("_before"))
+    return placed.groupBy("run", "label", *restart).agg(
+        F.sum("points").alias("points"),
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        F.min(SLICE).alias(SLICE),
+    )
 
 
 def breach_windows(
@@ -49,21 +77,18 @@ def breach_windows(
         side = F.when(v > high, "over").otherwise(side)
     if low is not None:
         side = F.when(v < low, "under").otherwise(side)
-    runs = number_runs(df.select(ts, value, *tie), ts, side, tie).where("label is not null")
-    found = runs.groupBy("run", F.col("label").alias("breach_type")).agg(
-        F.min(ts).alias("start"),
-        F.max(ts).alias("end"),
-        F.count(F.lit(1)).alias("points"),
-        F.min(v).alias("min_hz"),
-        F.max(v).alias("max_hz"),
-    )
-    worst = F.when(F.col("breach_type") == "under", F.col("min_hz")).otherwise(F.col("max_hz"))
-    return (
-        found.withColumn("duration_s", seconds_between("start", "end"))
-        .withColumn("worst_hz", worst)
-        .where(F.col("duration_s") >= min_duration_s)
-        .drop("run")
-    )
+    runs = find_runs(df, ts, value, side, tie).where("label is not null")
+    worst = F.when(F.col("label") == "under", F.col("low")).otherwise(F.col("high"))
+    return runs.select(
+        F.col("label").alias("breach_type"),
+        "start",
+        "end",
+        "points",
+        F.col("low").alias("min_hz"),
+        F.col("high").alias("max_hz"),
+        seconds_between("start", "end").alias("duration_s"),
+        worst.alias("worst_hz"),
+    ).where(F.col("duration_s") >= min_duration_s)
 
 
 def low_value_events(
@@ -97,16 +122,9 @@ def excursions(
     beyond = v < low if mode == "under" else v > high
     period = F.year(ts) if period is None else period
     signal = df.select(ts, value, *tie).na.drop(subset=[ts, value]).withColumn("period", period)
-    slices = plan_slices(signal, micros(ts), next(iter(tie), None), count=True)
-    rows = number_runs(signal, ts, beyond, tie, ["period"], slices)
-    # A run takes the slice of its first row, so the second pass needs no new cut points.
-    runs = rows.groupBy("run", "period").agg(
-        F.first("label").alias("beyond"),
-        F.count(F.lit(1)).alias("n"),
-        F.min(ts).alias("start"),
-        F.max(ts).alias("end"),
-        F.min(SLICE).alias(SLICE),
-    )
+    # A run keeps the slice of its first piece, so the second pass needs no new cut points.
+    runs = find_runs(signal, ts, value, beyond, tie, ["period"])
+    runs = runs.withColumnsRenamed({"label": "beyond", "points": "n"})
     divider = ~F.col("beyond") & (F.col("n") >= end_rows)
     runs = runs.withColumn("_cut", F.when(divider, 1).otherwise(0))
     groups = running_total(runs, ["run"], F.col("_cut"), "grp")
@@ -156,8 +174,8 @@ def rate_clusters(
 ) -> DataFrame:
     """Clusters of samples whose jump exceeds ``delta``; a pause longer than ``gap_s`` splits.
 
-    The jump and the time of the previous exceedance are both found per slice: the first by one
-    lent row, the second on the few exceedances alone, cut by the same slices.
+    The jump is found per slice with one lent row. The exceedances alone are written; the time of
+    the one before, across slices, comes from a table with one row per slice.
     """
     slices = plan_slices(df, micros(ts), next(iter(tie), None), count=True)
 
@@ -165,7 +183,7 @@ def rate_clusters(
         return frame.withColumn("jump", F.col(value) - F.lag(value).over(w))
 
     hits = ordered(df.select(ts, value, *tie, *restart), ts, 1, jump, tie, restart, slices)
-    hits = hits.where(F.abs("jump") > delta).select(ts, *tie, *restart, "jump", SLICE)
+    hits = settle(hits.where(F.abs("jump") > delta).select(ts, *tie, *restart, "jump", SLICE))
     latest = hits.groupBy(SLICE, *restart).agg(F.max(ts).alias("_tail"))
     past = Window.partitionBy(*restart).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = latest.select(SLICE, *restart, F.max("_tail").over(past).alias("_carry"))

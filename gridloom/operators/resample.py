@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.quantiles import medians
-from gridloom.operators.timeorder import micros, ordered
+from gridloom.operators.quantiles import DIRECT_ROWS, medians, quantiles
+from gridloom.operators.timeorder import micros, ordered, plan_slices
 
 SECOND = 1_000_000
 
@@ -61,10 +61,12 @@ def bucket_targets(
     def build(frame: DataFrame, w) -> DataFrame:
         return frame.withColumn("_diff", F.abs(F.col(value) - F.lag(value).over(w)))
 
-    stepped = ordered(framed, ts, 1, build, tie, ["bucket"])
+    slices = plan_slices(framed, micros(ts), next(iter(tie), None), count=True)
+    stepped = ordered(framed, ts, 1, build, tie, ["bucket"], slices)
     v = F.col(value)
     rows = F.count(F.lit(1))
-    return stepped.groupBy("bucket").agg(
+    small = slices.rows <= DIRECT_ROWS
+    grouped = stepped.groupBy("bucket").agg(
         F.avg(v).alias("freq_mean"),
         F.stddev_samp(v).alias("freq_std"),
         F.min(v).alias("freq_min"),
@@ -72,9 +74,14 @@ def bucket_targets(
         F.count(v).alias("freq_count"),
         F.avg(F.abs(v - nominal)).alias("abs_dev_mean"),
         F.avg(((v < low) | (v > high)).cast("int")).alias("outside_share"),
-        F.when(rows > 2, F.percentile("_diff", 0.95)).alias("rocof_abs_p95"),
         F.when(rows > 1, F.max("_diff")).alias("rocof_abs_max"),
+        rows.alias("_rows"),
+        *([F.percentile("_diff", 0.95).alias("_p95")] if small else []),
     )
+    if not small:
+        tail = quantiles(stepped, F.col("_diff"), [0.95], ["_p95"], ["bucket"], at_most=slices.rows)
+        grouped = grouped.join(tail, "bucket", "left")
+    return grouped.withColumn("rocof_abs_p95", F.when(F.col("_rows") > 2, F.col("_p95"))).drop("_rows", "_p95")
 
 
 def instability(targets: DataFrame, weights: Mapping[str, float]) -> DataFrame:

@@ -87,7 +87,8 @@ def _locate(df: DataFrame, key: Column, cuts: Sequence[float], name: str) -> Dat
         splits=[float("-inf"), *map(float, cuts), float("inf")], inputCol="_cut_key", outputCol="_cut_slice"
     )
     keyed = finder.transform(df.withColumn("_cut_key", key.cast("double")))
-    return keyed.withColumn(name, F.col("_cut_slice").cast("int")).drop("_cut_key", "_cut_slice")
+    # A missing key goes to the first slice; a column without nulls spares the filters of later joins.
+    return keyed.withColumn(name, F.coalesce(F.col("_cut_slice").cast("int"), F.lit(0))).drop("_cut_key", "_cut_slice")
 
 
 def _marks(column: str, parts: int) -> Column:
@@ -261,9 +262,8 @@ def range_ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
     a sorted partition is free (``monotonically_increasing_id``). The rows are written once, so
     partition numbers cannot change between two uses of the result.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c).asc_nulls_last() for c in order]
-    placed = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     fixed = settle(placed.withColumn("_mid", F.monotonically_increasing_id()))
     return (
         fixed.withColumn(SLICE, F.shiftright("_mid", _MID_BITS))

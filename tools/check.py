@@ -1,6 +1,7 @@
 """Compare registered queries with their SQL in DuckDB: rows, columns and values.
 
-Usage: python tools/check.py [key ...]; SF_DIR names the scale folder.
+Usage: python tools/check.py [key ...]; SF_DIR names the scale folder, PLAIN=1 takes a session
+without any of our settings.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb
+from pyspark.sql import SparkSession
 
 from gridloom.session import build_session
 
@@ -69,9 +71,11 @@ def main() -> int:
     from gridloom.queries import ORACLES, QUERIES
 
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session(
-        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
-    )
+    if os.environ.get("PLAIN"):
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+    else:
+        conf = {"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        spark = build_session("check", "local[8]", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     failed = 0
