@@ -23,17 +23,18 @@ TS_FORMATS = (
 )
 # Accepted settlement date layouts.
 DATE_FORMATS = (
-    "yyyy-MM-dd",
     "dd-MMM-yyyy",
-    "dd-MMM-yy",
+    "yyyy-MM-dd",
     "dd/MM/yyyy",
     "yyyy/MM/dd",
     "dd-MM-yyyy",
-    "yyyyMMdd",
-    "dd MMM yyyy",
-    "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss",
+    "yyyy/MM/dd HH:mm:ss",
+    "dd/MM/yyyy HH:mm:ss",
+    "dd-MMM-yyyy HH:mm:ss",
 )
-ISO_LIKE = r"^\s*\d{4}-\d{2}-\d{2}"
+# Pattern of ISO dates and the share of them that rules day-first out.
+ISO_LIKE = r"^\s*\d{4}-\d{2}-\d{2}([ T].*)?\s*$"
 DAYFIRST_SHARE = 0.7
 
 
@@ -103,15 +104,19 @@ def parse_detected(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def month_label(text: str | Column) -> Column:
-    """``Apr-23`` as the first of that month; years 69 to 99 belong to the last century."""
-    found = F.try_to_timestamp(F.trim(_c(text)), F.lit("MMM-yy"))
+    """``Apr-23`` as the first of that month; years 69 to 99 belong to the last century.
+
+    Other texts are tried as full dates.
+    """
+    label = F.trim(_c(text))
+    found = F.when(label.rlike(_shape("MMM-yy")), F.try_to_timestamp(label, F.lit("MMM-yy")))
     earlier = F.add_months(found, -1200).cast("timestamp")
-    return F.when(F.year(found) >= 2069, earlier).otherwise(found)
+    return F.coalesce(F.when(F.year(found) >= 2069, earlier).otherwise(found), timestamp_multi(text))
 
 
 def fiscal_start(text: str | Column) -> Column:
     """1 April of the first four-digit year in a financial-year label."""
-    year = F.nullif(F.regexp_extract(_c(text), r"(\d{4})", 1), F.lit("")).cast("int")
+    year = F.nullif(F.regexp_extract(_c(text), r"((19|20)\d{2})", 1), F.lit("")).cast("int")
     return F.make_date(year, F.lit(4), F.lit(1))
 
 
@@ -131,13 +136,15 @@ def infer_year(df: DataFrame, group: str, date_text: str, name: str, order: str)
 
 def nominal_kv(site: str | Column) -> Column:
     """Voltage named in a site label, 33 where none is."""
-    found = F.nullif(F.regexp_extract(_c(site), r"(?i)(\d{2,3})\s*kV", 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(_c(site), r"(?i)(\d{2,3})\s*k\s*v", 1), F.lit(""))
     return F.coalesce(found.cast("int"), F.lit(33))
 
 
-def slug(text: str | Column, joiner: str = "_") -> Column:
+def slug(text: str | Column, joiner: str = "_", fallback: str = "unknown") -> Column:
+    """Lower case, everything else joined; ``fallback`` when nothing is left."""
     body = F.regexp_replace(F.lower(F.trim(_c(text))), "[^a-z0-9]+", joiner)
-    return F.regexp_replace(body, f"^{joiner}+|{joiner}+$", "")
+    bare = F.regexp_replace(body, f"^{joiner}+|{joiner}+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit(fallback))
 
 
 def iso_z(ts: str | Column) -> Column:

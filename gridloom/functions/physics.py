@@ -39,6 +39,35 @@ TARGET_GVA = 150.0
 CO2_T_PER_MWH = 0.38
 STABILITY_DEADBAND_MW = 500.0
 GAS_MARGIN_PCT = 15.0
+# Highest output ever seen per fuel, MW, and the fuel groups.
+FUEL_MAX_MW: dict[str, float] = {
+    "GAS": 27868.0,
+    "COAL": 26044.0,
+    "NUCLEAR": 9342.0,
+    "WIND": 18382.0,
+    "WIND_EMB": 5947.0,
+    "SOLAR": 14035.0,
+    "HYDRO": 1403.0,
+    "BIOMASS": 3393.0,
+    "STORAGE": 2660.0,
+    "IMPORTS": 9148.0,
+    "OTHER": 3187.0,
+}
+FOSSIL = ("GAS", "COAL", "OTHER")
+RENEWABLE = ("WIND", "WIND_EMB", "SOLAR", "HYDRO", "BIOMASS", "STORAGE")
+# Labels and their upper limits (exclusive); the last label has none.
+EVENT_CLASSES = (
+    (500.0, "Balancing / minor fluctuation"),
+    (1500.0, "Medium event (possible gen trip or wind block)"),
+    (None, "Major event (likely generator or interconnector loss)"),
+)
+RATE_LABELS = ((0.005, "STABLE"), (0.05, "SHIVERING"), (0.75, "STRESSED"), (None, "LFDD ARMED"))
+# Frequency bands in Hz, innermost first (inclusive); outside all of them the last label.
+FREQUENCY_BANDS = ((49.95, 50.05, "STABLE"), (49.5, 50.5, "STRESSED"), (49.1, 50.9, "OUTSIDE STAT LIMIT"))
+FREQUENCY_OUTSIDE = "LFDD ARMED"
+# Flow limit in MW, ideal inertia band in GVA.
+FLOW_LIMIT_MW = 500.0
+IDEAL_GVA = 10.0
 
 
 def _c(value: str | Column) -> Column:
@@ -55,13 +84,16 @@ def required_inertia(dp_mw: Column, limit: Column, f0: float = 50.0) -> Column:
     return dp_mw * f0 / (limit * 2.0) / 1000.0
 
 
+def _ladder(value: Column, steps: Sequence[tuple[float | None, str]]) -> Column:
+    """Label of the first step whose upper limit lies above the value."""
+    out = F.lit(steps[-1][1])
+    for limit, label in reversed(steps[:-1]):
+        out = F.when(value < limit, label).otherwise(out)
+    return out
+
+
 def event_class(dp_mw: Column) -> Column:
-    # Class texts and their limits in MW.
-    return (
-        F.when(dp_mw < 500, "Balancing / minor fluctuation")
-        .when(dp_mw < 1500, "Medium event (possible gen trip or wind block)")
-        .otherwise("Major event (likely generator or interconnector loss)")
-    )
+    return _ladder(dp_mw, EVENT_CLASSES)
 
 
 def shortfall(extreme: Column, capacity: Column | float, f0: float = 50.0) -> Column:
@@ -122,34 +154,26 @@ def quiet_rate(rate: Column, deadband: float = DEADBAND) -> Column:
 
 def rate_label(rate: Column) -> Column:
     size = F.abs(rate)
-    return (
-        F.when(size.isNull() | F.isnan(size) | (size < 0.005), "STABLE")
-        .when(size < 0.05, "SHIVERING")
-        .when(size < 0.75, "STRESSED")
-        .otherwise("LFDD ARMED")
-    )
+    return F.when(size.isNull() | F.isnan(size), RATE_LABELS[0][1]).otherwise(_ladder(size, RATE_LABELS))
 
 
 def frequency_label(f: Column) -> Column:
-    return (
-        F.when(f.isNull() | F.isnan(f), "UNKNOWN")
-        .when((f < 49.1) | (f > 50.9), "LFDD ARMED")
-        .when((f < 49.5) | (f > 50.5), "OUTSIDE STAT LIMIT")
-        .when(f.between(49.95, 50.05), "STABLE")
-        .otherwise("STRESSED")
-    )
+    out = F.lit(FREQUENCY_OUTSIDE)
+    for low, high, label in reversed(FREQUENCY_BANDS):
+        out = F.when(f.between(low, high), label).otherwise(out)
+    return F.when(f.isNull() | F.isnan(f), "UNKNOWN").otherwise(out)
 
 
 def flow_label(generation: Column, demand: Column) -> Column:
     delta = F.coalesce(generation, F.lit(0.0)) - F.coalesce(demand, F.lit(0.0))
-    return F.when(delta > 500, "EXPORTING").when(delta < -500, "IMPORTING").otherwise("BALANCED")
+    return F.when(delta > FLOW_LIMIT_MW, "EXPORTING").when(delta < -FLOW_LIMIT_MW, "IMPORTING").otherwise("BALANCED")
 
 
 def instant_label(delta: Column) -> Column:
     return (
         F.when(delta.isNull() | F.isnan(delta), "UNKNOWN")
-        .when(delta > 500, "INSTANT EXPORT")
-        .when(delta < -500, "INSTANT IMPORT")
+        .when(delta > FLOW_LIMIT_MW, "INSTANT EXPORT")
+        .when(delta < -FLOW_LIMIT_MW, "INSTANT IMPORT")
         .otherwise("BALANCED")
     )
 
@@ -157,7 +181,7 @@ def instant_label(delta: Column) -> Column:
 def inertia_label(delta_gva: Column) -> Column:
     return (
         F.when(delta_gva.isNull() | F.isnan(delta_gva), "UNKNOWN")
-        .when(F.abs(delta_gva) <= 10, "IDEAL")
+        .when(F.abs(delta_gva) <= IDEAL_GVA, "IDEAL")
         .when(delta_gva < 0, "LIGHT")
         .otherwise("HEAVY")
     )

@@ -218,6 +218,8 @@ def event_summary(windows: DataFrame) -> DataFrame:
     return windows.agg(
         F.count(F.lit(1)).alias("events"),
         F.coalesce(F.sum("duration_s"), F.lit(0.0)).alias("total_s"),
+        F.coalesce(F.sum(F.when(under, F.col("duration_s"))), F.lit(0.0)).alias("under_s"),
+        F.coalesce(F.sum(F.when(over, F.col("duration_s"))), F.lit(0.0)).alias("over_s"),
         F.coalesce(F.max("duration_s"), F.lit(0.0)).alias("longest_s"),
         F.count_if(under).alias("under_events"),
         F.count_if(over).alias("over_events"),

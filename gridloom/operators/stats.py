@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,6 +103,7 @@ def burden(df: DataFrame, period: str, columns: Sequence[str], meters: float, ho
     whole = sum((F.col(f"{c}_per_meter") for c in columns), F.lit(0.0))
     return sums.withColumns(
         {
+            "hours": F.col("periods") * F.lit(float(hours_per_row)),
             "per_meter_total": whole,
             "per_meter_per_period": whole / F.col("periods"),
             "per_meter_per_hour": whole / (F.col("periods") * hours_per_row),
@@ -111,13 +112,16 @@ def burden(df: DataFrame, period: str, columns: Sequence[str], meters: float, ho
 
 
 def cost_summary(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Rows, zero and non-zero counts, mean of the non-zero (0 when none), total."""
+    """Rows, zero and positive counts, means over all and over the positive (0 when none), extremes, total."""
     v = F.col(value)
     return df.groupBy(*by).agg(
-        F.count(v).alias("days"),
+        F.count(F.lit(1)).alias("days"),
         F.count_if(v == 0).alias("zero_days"),
-        F.count_if(v != 0).alias("nonzero_days"),
-        F.coalesce(F.avg(F.when(v != 0, v)), F.lit(0.0)).alias("nonzero_avg"),
+        F.count_if(v > 0).alias("nonzero_days"),
+        F.avg(v).alias("avg"),
+        F.coalesce(F.avg(F.when(v > 0, v)), F.lit(0.0)).alias("nonzero_avg"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
         F.coalesce(F.sum(v), F.lit(0.0)).alias("total"),
     )
 
@@ -136,32 +140,37 @@ def zero_share(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg((F.avg((F.col(value) == 0).cast("int")) * 100.0).alias("zero_pct"))
 
 
-def modal_step(df: DataFrame, step: str) -> DataFrame:
-    """Most common positive value, the smallest on a tie: one row."""
-    counted = df.where(F.col(step) > 0).groupBy(F.col(step).alias("step_s")).count()
-    return counted.orderBy(F.col("count").desc(), "step_s").limit(1).select("step_s")
+def modal_step(df: DataFrame, by: Sequence[str], step: str) -> DataFrame:
+    """Most common positive value per group, the smallest on a tie.
+
+    Values are counted across the cluster; a group then keeps one candidate per task.
+    """
+    counted = df.where(F.col(step) > 0).groupBy(*by, step).agg(F.count(F.lit(1)).alias("_c"))
+    best = F.max(F.struct(F.col("_c"), (-F.col(step)).alias("_s")))
+    return counted.groupBy(*by).agg((-best["_s"]).alias("step_s"))
 
 
 def energy_summary(
-    df: DataFrame, ts: str, sources: Sequence[str], links: Sequence[str], tie: Sequence[str] = ()
+    df: DataFrame,
+    ts: str,
+    families: Mapping[str, Sequence[str]],
+    period: str,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean power of two families times the most common time step."""
-    found = modal_step(sample_durations(df, ts, tie), "dt_s").first()
-    step = F.lit(found["step_s"] if found else None).cast("double")
+    """Per period and family: mean power in GW, and energy in TWh as mean power x rows x usual step."""
+    steps = modal_step(sample_durations(df.select(ts, *tie, period), ts, tie, [period]), [period], "dt_s")
 
     def power(names: Sequence[str]) -> Column:
         return sum((F.coalesce(F.avg(c), F.lit(0.0)) for c in names), F.lit(0.0))
 
-    whole = df.agg(
-        power(sources).alias("source_mw"), power(links).alias("link_mw"), F.count(F.lit(1)).alias("rows")
-    )
-    return whole.withColumns(
-        {
-            "step_s": step,
-            "source_mwh_per_step": F.col("source_mw") * step / 3600.0,
-            "link_mwh_per_step": F.col("link_mw") * step / 3600.0,
-        }
+    means = df.groupBy(period).agg(
+        F.count(F.lit(1)).alias("rows"), *[power(names).alias(f"_{f}") for f, names in families.items()]
     )
+    hours = F.col("rows") * F.col("step_s") / 3600.0
+    out = means.join(steps, period, "left")
+    for f in families:
+        out = out.withColumn(f"{f}_gw", F.col(f"_{f}") / 1000.0).withColumn(f"{f}_twh", F.col(f"_{f}") * hours / 1e6)
+    return out.drop(*[f"_{f}" for f in families])
 
 
 def describe(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -192,8 +201,8 @@ def correlation_rank(df: DataFrame, target: str, columns: Sequence[str], n: int)
 
 
 def width_bins(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
-    """Equal-width, right-closed bins of x with statistics of y; empty bins are kept."""
-    low, high = df.where(F.col(y).isNotNull()).agg(F.min(x), F.max(x)).first()
+    """Equal-width, right-closed bins of x with statistics of y and x; empty bins are kept."""
+    low, high = df.agg(F.min(x), F.max(x)).first()
     ids = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     if low is None:
         low, high = 0.0, 1.0
@@ -208,6 +217,9 @@ def width_bins(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
         F.stddev_samp(y).alias("std"),
         F.min(y).alias("min"),
         F.max(y).alias("max"),
+        F.avg(x).alias("x_mean"),
+        F.min(x).alias("x_min"),
+        F.max(x).alias("x_max"),
     )
     return ids.join(F.broadcast(grouped), "bin", "left").withColumn("count", F.coalesce("count", F.lit(0)))
 
@@ -435,12 +447,14 @@ def bounds(df: DataFrame, ts: str) -> DataFrame:
 
 
 def file_totals(files: DataFrame, columns_col: str = "columns") -> DataFrame:
-    """Rows and datapoints per file with rank and running sum.
+    """Rows and datapoints per file with rank, running sum and status; files without a row count failed.
 
     ``files`` has one row per file (file, rows, columns): the size of a listing, not of the data.
     """
-    points = files.withColumn("datapoints", F.col("rows") * F.col(columns_col))
-    by_size = Window.orderBy(F.col("datapoints").desc(), "file")
+    points = files.withColumn("datapoints", F.col("rows") * F.col(columns_col)).withColumn(
+        "status", F.when(F.col("rows").isNull(), "failed").otherwise("ok")
+    )
+    by_size = Window.orderBy(F.col("datapoints").desc_nulls_last(), "file")
     return points.withColumns(
         {
             "rank": F.row_number().over(by_size),

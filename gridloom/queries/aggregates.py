@@ -146,7 +146,7 @@ def overview_rollup(t: Tables) -> DataFrame:
 
 @query(
     "burden",
-    f"""SELECT year, round(p, 6) AS o_totalprice_per_meter, n AS periods, round(p, 6) AS per_meter_total,
+    f"""SELECT year, round(p, 6) AS o_totalprice_per_meter, n AS periods, n * 0.5::DOUBLE AS hours, round(p, 6) AS per_meter_total,
           round(p / n, 9) AS per_meter_per_period, round(p / (n * 0.5), 9) AS per_meter_per_hour
         FROM (SELECT {YEAR}, sum(o_totalprice) / 29000000.0 AS p, count(*) AS n FROM orders GROUP BY 1)""",
 )
@@ -204,8 +204,8 @@ def costs(t: Tables) -> DataFrame:
 
 @query(
     "cost_summary",
-    f"""SELECT year, count(cost) AS days, count(*) FILTER (WHERE cost = 0) AS zero_days,
-          count(*) FILTER (WHERE cost <> 0) AS nonzero_days, round(coalesce(avg(cost) FILTER (WHERE cost <> 0), 0), 6) AS nonzero_avg,
+    f"""SELECT year, count(*) AS days, count(*) FILTER (WHERE cost = 0) AS zero_days, round(avg(cost), 6) AS avg, min(cost) AS min, max(cost) AS max,
+          count(*) FILTER (WHERE cost > 0) AS nonzero_days, round(coalesce(avg(cost) FILTER (WHERE cost > 0), 0), 6) AS nonzero_avg,
           round(sum(cost), 4) AS total FROM {COST_SQL} GROUP BY 1""",
 )
 def cost_summary(t: Tables) -> DataFrame:
@@ -246,15 +246,20 @@ def family_totals(t: Tables) -> DataFrame:
 
 @query(
     "energy_summary",
-    f"""WITH mix AS ({MIX_SQL}), d AS (SELECT *, (epoch_us(hour) - epoch_us(lag(hour) OVER (ORDER BY hour))) / 1e6 AS dt FROM mix),
-        m AS (SELECT dt FROM d WHERE dt > 0 GROUP BY dt ORDER BY count(*) DESC, dt LIMIT 1),
-        s AS (SELECT coalesce(avg(click),0) + coalesce(avg(error),0) + coalesce(avg(purchase),0) AS src,
-                     coalesce(avg(signup),0) + coalesce(avg(view),0) AS lnk, count(*) AS n FROM mix)
-        SELECT dt AS step_s, round(src, 4) AS source_mw, round(lnk, 4) AS link_mw, n AS rows,
-          round(src * dt / 3600, 4) AS source_mwh_per_step, round(lnk * dt / 3600, 4) AS link_mwh_per_step FROM m, s""",
+    f"""WITH mix AS (SELECT date_trunc('day', hour) AS day, * FROM ({MIX_SQL})),
+        d AS (SELECT day, (epoch_us(hour) - epoch_us(lag(hour) OVER (PARTITION BY day ORDER BY hour))) / 1e6 AS dt FROM mix),
+        m AS (SELECT day, dt FROM (SELECT day, dt, row_number() OVER (PARTITION BY day ORDER BY count(*) DESC, dt) AS rn FROM d WHERE dt > 0 GROUP BY day, dt) WHERE rn = 1),
+        s AS (SELECT day, coalesce(avg(click),0) + coalesce(avg(error),0) AS src, coalesce(avg(signup),0) + coalesce(avg(view),0) AS lnk,
+                coalesce(avg(purchase), 0) AS dem, count(*) AS n FROM mix GROUP BY day)
+        SELECT day, n AS rows, dt AS step_s, round(src / 1000, 6) AS generation_gw, round(src * n * dt / 3600 / 1e6, 9) AS generation_twh,
+          round(lnk / 1000, 6) AS imports_gw, round(lnk * n * dt / 3600 / 1e6, 9) AS imports_twh,
+          round(dem / 1000, 6) AS demand_gw, round(dem * n * dt / 3600 / 1e6, 9) AS demand_twh FROM s LEFT JOIN m USING (day)""",
 )
 def energy_summary(t: Tables) -> DataFrame:
-    return rounded(stats.energy_summary(t.mix(), "hour", KINDS[:3], KINDS[3:]), 4)
+    mix = t.mix().withColumn("day", F.date_trunc("day", "hour").cast("timestamp_ntz"))
+    families = {"generation": KINDS[:2], "imports": KINDS[3:], "demand": KINDS[2:3]}
+    out = stats.energy_summary(mix, "hour", families, "day")
+    return rounded(out, 6, **{f"{f}_twh": 9 for f in families})
 
 
 def _describe_sql(v: str) -> str:
@@ -294,8 +299,8 @@ def corr_rank(t: Tables) -> DataFrame:
 @query(
     "width_bins",
     """WITH e AS (SELECT min(l_quantity) AS lo, (max(l_quantity) - min(l_quantity)) / 20 AS w FROM lineitem),
-       b AS (SELECT CAST(greatest(1, least(20, ceil((l_quantity - lo) / w))) AS INTEGER) AS bin, l_extendedprice AS y FROM lineitem, e)
-       SELECT CAST(i AS INTEGER) AS bin, count(y) AS count, round(avg(y), 4) AS mean, round(stddev_samp(y), 4) AS std, min(y) AS min, max(y) AS max
+       b AS (SELECT CAST(greatest(1, least(20, ceil((l_quantity - lo) / w))) AS INTEGER) AS bin, l_extendedprice AS y, l_quantity AS x FROM lineitem, e)
+       SELECT round(avg(x), 4) AS x_mean, min(x) AS x_min, max(x) AS x_max, CAST(i AS INTEGER) AS bin, count(y) AS count, round(avg(y), 4) AS mean, round(stddev_samp(y), 4) AS std, min(y) AS min, max(y) AS max
        FROM range(1, 21) g(i) LEFT JOIN b ON b.bin = i GROUP BY i""",
 )
 def width_bins(t: Tables) -> DataFrame:
@@ -447,7 +452,7 @@ def select_features(t: Tables) -> DataFrame:
     "file_totals",
     """WITH f AS (SELECT 'f-' || strftime(o_orderdate, '%Y-%m') AS file, count(*) AS rows, 6 AS columns FROM orders GROUP BY 1),
        p AS (SELECT *, rows * columns AS datapoints FROM f)
-       SELECT file, rows, columns, datapoints, CAST(row_number() OVER w AS INTEGER) AS rank, CAST(sum(datapoints) OVER w AS BIGINT) AS running
+       SELECT file, rows, columns, datapoints, 'ok' AS status, CAST(row_number() OVER w AS INTEGER) AS rank, CAST(sum(datapoints) OVER w AS BIGINT) AS running
        FROM p WINDOW w AS (ORDER BY datapoints DESC, file)""",
 )
 def file_totals(t: Tables) -> DataFrame:

@@ -238,7 +238,7 @@ def nominal_kv(t: Tables) -> DataFrame:
 )
 def slugify(t: Tables) -> DataFrame:
     name = F.concat("p_brand", F.lit(" / "), "p_name", F.lit("!"))
-    return t.part.select("p_partkey", parse.slug(name).alias("slug"), parse.slug(name, "-").alias("dashed"))
+    return t.part.select("p_partkey", parse.slug(name).alias("slug"), parse.slug(name, "-", "uncategorized").alias("dashed"))
 
 
 @query(

@@ -54,13 +54,14 @@ def longest_events(t: Tables) -> DataFrame:
 
 @query(
     "event_summary",
-    f"""{BREACH_SQL} SELECT count(*) AS events, round(sum(duration_s), 4) AS total_s, round(max(duration_s), 6) AS longest_s,
+    f"""{BREACH_SQL} SELECT count(*) AS events, round(sum(duration_s), 4) AS total_s, round(sum(duration_s) FILTER (WHERE breach_type = 'under'), 4) AS under_s,
+          round(sum(duration_s) FILTER (WHERE breach_type = 'over'), 4) AS over_s, round(max(duration_s), 6) AS longest_s,
           count(*) FILTER (WHERE breach_type = 'under') AS under_events, count(*) FILTER (WHERE breach_type = 'over') AS over_events,
           min(min_hz) FILTER (WHERE breach_type = 'under') AS worst_under_hz,
           max(max_hz) FILTER (WHERE breach_type = 'over') AS worst_over_hz FROM b""",
 )
 def event_summary(t: Tables) -> DataFrame:
-    return rounded(events.event_summary(breaches(t)), 6, total_s=4)
+    return rounded(events.event_summary(breaches(t)), 6, total_s=4, under_s=4, over_s=4)
 
 
 EXCURSION_SQL = """WITH s AS (SELECT date_trunc('day', ts) AS period, ts, event_id, value < 20 AS beyond FROM events),

@@ -112,12 +112,12 @@ def ingest_alias(t: Tables) -> DataFrame:
     "SELECT date_trunc('second', ts) AS timestamp, value AS demand, CAST(user_id AS DOUBLE) AS id FROM events",
 )
 def ingest_chunks(t: Tables) -> DataFrame:
-    folder = scratch_path(t.spark, "gridwatch")
+    folder = scratch_path(t.spark, "snapshots")
     rows = t.events.select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("value").alias("demand"), F.col("user_id").alias("id")
     )
-    rows.write.option("header", True).csv(f"{folder}/gridwatch_chunk_1.csv")
-    path = ingest.chunk_paths(t.spark, folder)
+    rows.write.option("header", True).csv(f"{folder}/snapshot_chunk_1.csv")
+    path = ingest.chunk_paths(t.spark, folder, "snapshot_chunk_*.csv", "snapshot.csv")
     out = ingest.all_double(ingest.read_text_csv(t.spark, path), "timestamp")
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
@@ -218,7 +218,7 @@ def union_missing_cols(t: Tables) -> DataFrame:
     """SELECT ts AS timestamp, value, event_type, event_id FROM events WHERE year(ts) BETWEEN 2023 AND 2025""",
 )
 def snapshot_scan(t: Tables) -> DataFrame:
-    return scan.snapshot(t.events, ["value", "event_type"], 2024, max_columns=3)
+    return scan.snapshot(t.events, ["value", "event_type"], 2024, max_columns=4)
 
 
 @query("tail_rows", "SELECT ts, event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")

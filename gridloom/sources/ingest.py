@@ -13,7 +13,7 @@ from gridloom.operators.quality import snake
 # Shares a column must reach to count as dates or as numbers, and words of date columns.
 DATE_SHARE = 0.5
 NUMBER_SHARE = 0.8
-DATE_WORDS = ("date", "time", "day")
+DATE_WORDS = ("date", "time", "datetime", "settlement", "start", "end", "period")
 
 
 def read_text_csv(spark: SparkSession, paths: str | Sequence[str], header: bool = True) -> DataFrame:
@@ -65,7 +65,7 @@ def aliased_cost(raw: DataFrame, date: str, names: Sequence[str], name: str) ->
     return typed.na.drop().sort("DatetimeUTC")
 
 
-def chunk_paths(spark: SparkSession, folder: str, chunks: str = "gridwatch_chunk_*.csv", whole: str = "gridwatch.csv") -> str:
+def chunk_paths(spark: SparkSession, folder: str, chunks: str, whole: str) -> str:
     """The chunk pattern when any chunk exists, else the single old file."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     pattern = hadoop.Path(f"{folder}/{chunks}")
@@ -87,21 +87,27 @@ def weather_rows(raw: DataFrame, date: str, measures: Sequence[str]) -> DataFram
 
 
 def profile(raw: DataFrame) -> dict[str, str]:
-    """``timestamp``, ``double`` or ``string`` per text column, from one pass over the table."""
-    checks = []
+    """``timestamp``, ``double`` or ``string`` per text column, from one pass over the table.
+
+    Columns with nothing but plain numbers are numbers. Else shares count over all rows, so a
+    column with many gaps stays text.
+    """
+    checks = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(raw.columns):
-        known = F.col(c).isNotNull() & (F.trim(c) != "")
-        checks.append(F.count_if(known).alias(f"n{i}"))
-        checks.append(F.count_if(known & parse.number(c).isNotNull()).alias(f"x{i}"))
+        text = F.nullif(F.trim(c), F.lit(""))
+        checks.append(F.count(text).alias(f"n{i}"))
+        checks.append(F.count(text.try_cast("double")).alias(f"p{i}"))
+        checks.append(F.count(parse.number(text)).alias(f"x{i}"))
         if any(w in c.lower() for w in DATE_WORDS):
-            checks.append(F.count_if(known & parse.timestamp_multi(c).isNotNull()).alias(f"d{i}"))
+            checks.append(F.count(parse.timestamp_multi(text)).alias(f"d{i}"))
     row = raw.agg(*checks).first().asDict()
+    rows = row["rows"] or 1
     kinds = {}
     for i, c in enumerate(raw.columns):
-        n = row[f"n{i}"]
-        if n and row.get(f"d{i}", 0) / n >= DATE_SHARE and f"d{i}" in row:
+        plain = row[f"n{i}"] > 0 and row[f"p{i}"] == row[f"n{i}"]
+        if not plain and row.get(f"d{i}", 0) / rows >= DATE_SHARE:
             kinds[c] = "timestamp"
-        elif n and row[f"x{i}"] / n >= NUMBER_SHARE:
+        elif plain or row[f"x{i}"] / rows >= NUMBER_SHARE:
             kinds[c] = "double"
         else:
             kinds[c] = "string"

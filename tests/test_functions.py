@@ -110,12 +110,12 @@ def test_append_is_idempotent_and_header_grows(spark, tmp_path):
 
 def test_infer_types(spark):
     raw = spark.createDataFrame(
-        [("2024-01-01", "1,000", "a", None), ("2024-01-02", "x", "b", None), ("bad", "2", "c", None), (None, "3", None, None),
+        [("2024-01-01", "1,000", "a", None), ("2024-01-02", "1", "b", None), ("bad", "2", "c", None), (None, "3", None, "7"),
          ("2024-01-05", "4", "5", None), (None, None, None, None)],
         "run_date string, amount string, note string, blank string",
     )
     out = ingest.infer_rows(raw)
-    assert [t for _, t in out.dtypes] == ["timestamp", "double", "string", "string"]
+    assert [t for _, t in out.dtypes] == ["timestamp", "double", "string", "double"]
     assert out.count() == 5
 
 
