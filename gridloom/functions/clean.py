@@ -38,10 +38,6 @@ def pick_family(df: DataFrame, suffix: str) -> list[str]:
     return [c for c in df.columns if c.upper().endswith(suffix.upper())]
 
 
-def first_known(*columns: str | Column) -> Column:
-    return F.coalesce(*[_c(c) for c in columns])
-
-
 def drop_nulls(df: DataFrame, how: str = "any", subset: Sequence[str] | None = None) -> DataFrame:
     return df.na.drop(how, subset=list(subset) if subset else None)
 

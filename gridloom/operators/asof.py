@@ -27,6 +27,7 @@ class Source:
 
     ``seq`` orders rows with an equal timestamp: looking back takes the last of them, looking
     forward the first. ``tolerance`` is in seconds and inclusive; None means any distance.
+    ``unique`` promises one row per (by, timestamp) and saves the shuffle that ensures it.
     """
 
     df: DataFrame
@@ -37,6 +38,7 @@ class Source:
     tolerance: float | None = None
     tie: str = "earlier"
     seq: str | None = None
+    unique: bool = False
 
     def __post_init__(self) -> None:
         if self.direction not in ("nearest", "backward", "forward"):
@@ -55,6 +57,8 @@ def _compact(source: Source, by: Sequence[str]) -> DataFrame:
     payload = F.struct(F.col(source.ts).alias("at"), *[F.col(c) for c in source.columns])
     rank = F.col(source.seq) if source.seq else F.struct(*[F.col(c) for c in source.columns])
     frame = source.df.where(F.col(source.ts).isNotNull())
+    if source.unique:
+        return frame.select(*by, micros(source.ts).alias(_T), payload.alias("last"), payload.alias("first"))
     return frame.groupBy(*by, micros(source.ts).alias(_T)).agg(
         F.max_by(payload, rank).alias("last"), F.min_by(payload, rank).alias("first")
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.quantiles import DIRECT_ROWS, medians, quantiles
 from gridloom.operators.timeorder import micros, ordered, plan_slices
+from gridloom.session import settle
 
 SECOND = 1_000_000
 
@@ -85,8 +86,12 @@ def bucket_targets(
 
 
 def instability(targets: DataFrame, weights: Mapping[str, float]) -> DataFrame:
-    """Weighted sum of robust z-scores: (x - median) / (MAD + 1e-9) per column."""
+    """Weighted sum of robust z-scores: (x - median) / (MAD + 1e-9) per column.
+
+    The targets, one row per bucket, are written once and read for medians, spreads and scores.
+    """
     columns = list(weights)
+    targets = settle(targets)
     middle = medians(targets, columns)
     centred = {c: F.col(c) - F.lit(middle[c]) for c in columns}
     spreads = medians(targets.select(*[F.abs(centred[c]).alias(c) for c in columns]), columns)

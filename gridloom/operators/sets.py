@@ -32,7 +32,11 @@ def union_required(frames: Sequence[DataFrame], required: Sequence[str]) -> Data
 
 
 def difference_both(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """Rows only in one of two tables, as sets, with the side they miss from."""
+    """Rows only in one of two tables, as sets, with the side they miss from.
+
+    Both sides become sets before they meet: copies are combined ahead of the shuffle.
+    """
+    expected, actual = expected.distinct(), actual.distinct()
     missing = expected.subtract(actual).withColumn("side", F.lit("missing"))
     unexpected = actual.subtract(expected).withColumn("side", F.lit("unexpected"))
     return missing.unionByName(unexpected)

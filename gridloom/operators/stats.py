@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.quantiles import DIRECT_ROWS, quantile_values, quantiles
-from gridloom.operators.timeorder import seconds_between
+from gridloom.operators.timeorder import SLICE, range_ordered, running_total, seconds_between
 from gridloom.operators.windows import rolling_std, sample_durations, with_difference
 
 
@@ -447,17 +447,17 @@ def bounds(df: DataFrame, ts: str) -> DataFrame:
 
 
 def file_totals(files: DataFrame, columns_col: str = "columns") -> DataFrame:
-    """Rows and datapoints per file with rank, running sum and status; files without a row count failed.
+    """Rows and datapoints per file with rank by size, running sum and status.
 
-    ``files`` has one row per file (file, rows, columns): the size of a listing, not of the data.
+    ``files`` has one row per file (file, rows, columns); a file without a row count failed.
     """
-    points = files.withColumn("datapoints", F.col("rows") * F.col(columns_col)).withColumn(
-        "status", F.when(F.col("rows").isNull(), "failed").otherwise("ok")
-    )
-    by_size = Window.orderBy(F.col("datapoints").desc_nulls_last(), "file")
-    return points.withColumns(
+    points = files.withColumn("datapoints", F.col("rows") * F.col(columns_col)).withColumns(
         {
-            "rank": F.row_number().over(by_size),
-            "running": F.sum("datapoints").over(by_size.rowsBetween(Window.unboundedPreceding, 0)),
+            "status": F.when(F.col("rows").isNull(), "failed").otherwise("ok"),
+            "_less": -F.col("datapoints"),
         }
     )
+    placed = range_ordered(points, ["_less", "file"]).withColumnRenamed("_local", "_at")
+    ranked = running_total(placed, ["_at"], F.lit(1), "rank")
+    whole = running_total(ranked, ["_at"], F.coalesce("datapoints", F.lit(0)), "running")
+    return whole.drop(SLICE, "_at", "_less")

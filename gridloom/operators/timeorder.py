@@ -24,7 +24,7 @@ SLICE = "_slice"
 HALO = "_halo"
 ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 8192
-_FIRST_SKETCH = 256
+_FIRST_SKETCH = 1024
 _SMALL_SLICE = 500
 _CROWD_SHARE = 0.02
 _MID_BITS = 33

@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.clean import keep_last
 from gridloom.operators.asof import Source, fuse, time_axis
+from gridloom.operators.sampling import even_downsample, window_slice
 from gridloom.operators.stats import rate_summary
 from gridloom.operators.timeorder import Slices, micros, plan_slices
 from gridloom.operators.windows import rocof
+from gridloom.sources.sink import replay_frames
 
 
 def aligned_rocof(
@@ -49,6 +52,28 @@ def rocof_report(signal: DataFrame, context: DataFrame, ts: str, value: str, con
     return rate_summary(aligned, matched="matched_ts", at_most=slices.rows)
 
 
+def replay_table(
+    signal: DataFrame, ts: str, value: str, sources: Sequence[Source], stamp: str = "midpoint", seq: str | None = None
+) -> DataFrame:
+    """Rates of a raw signal beside several context tables, with the estimated demand.
+
+    Samples sharing an instant are reduced to the last one first.
+    """
+    samples = keep_last(signal, [ts], [seq] if seq else [value])
+    slices = plan_slices(samples, micros(ts), count=True, axis=time_axis([(samples, ts), *[(s.df, s.ts) for s in sources]]))
+    rates = rocof(samples, ts, value, stamp, slices=slices)
+    return estimated_demand(fuse(rates, "rocof_timestamp", sources, unique_left=True, slices=slices))
+
+
+def replay_output(
+    table: DataFrame, seconds: float | None, start: str | None, max_frames: int, numbers: Sequence[str]
+) -> DataFrame:
+    """Frames of one stretch of time, thinned evenly, as JSON in time order."""
+    part = window_slice(table, "rocof_timestamp", seconds, start) if seconds else table
+    thin = even_downsample(part, ["rocof_timestamp"], max_frames)
+    return replay_frames(thin, "row_no", ["rocof_timestamp"], numbers)
+
+
 def estimated_demand(df: DataFrame) -> DataFrame:
     """Demand from national demand, transmission demand, generation or the modelled sum, in this order."""
     have = [c for c in ("ND", "TSD", "GENERATION" if "GENERATION" in df.columns else "MODELLED_ONLINE_MW") if c in df.columns]

@@ -10,6 +10,7 @@ from gridloom.functions.features import cyclical
 from gridloom.operators.asof import Source, fuse
 from gridloom.operators.resample import resample
 from gridloom.operators.windows import rolling_stats
+from gridloom.session import settle
 
 
 def fused_table(
@@ -25,11 +26,7 @@ def fused_table(
 
     Buckets are distinct, so all sources share one shuffle and nothing is joined back.
     """
-    clock = resample(signal, ts, seconds, means=[value], gaps=False).withColumnRenamed(f"{value}_mean", value)
+    clock = settle(resample(signal, ts, seconds, means=[value], gaps=False).withColumnRenamed(f"{value}_mean", value))
     featured = rolling_stats(clock, "bucket", value, windows, diffs).withColumns(cyclical("bucket"))
     return fuse(featured, "bucket", sources, unique_left=True)
 
-
-def numeric_features(df: DataFrame, exclude: Sequence[str]) -> list[str]:
-    return [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint") and c not in exclude]
-

@@ -80,12 +80,12 @@ def inertia_trend(t: Tables) -> DataFrame:
 
 @query(
     "time_in_band",
-    f"""SELECT day, round(coalesce(sum(dt) FILTER (WHERE value < 5), 0), 4) AS below_s,
-          round(coalesce(sum(dt) FILTER (WHERE value > 120), 0), 4) AS above_s,
-          round(coalesce(sum(dt) FILTER (WHERE value BETWEEN 5 AND 120), 0), 4) AS within_s FROM ({DIFF_SQL}) GROUP BY 1""",
+    f"""SELECT day, round(coalesce(sum(dt) FILTER (WHERE value < 5), 0), 6) AS below_s,
+          round(coalesce(sum(dt) FILTER (WHERE value > 120), 0), 6) AS above_s,
+          round(coalesce(sum(dt) FILTER (WHERE value BETWEEN 5 AND 120), 0), 6) AS within_s FROM ({DIFF_SQL}) GROUP BY 1""",
 )
 def time_in_band(t: Tables) -> DataFrame:
-    return rounded(stats.time_in_band(daily(t), "ts", "value", "day", 5.0, 120.0, TIE), 4)
+    return rounded(stats.time_in_band(daily(t), "ts", "value", "day", 5.0, 120.0, TIE), 6)
 
 
 @query(
@@ -251,15 +251,15 @@ def family_totals(t: Tables) -> DataFrame:
         m AS (SELECT day, dt FROM (SELECT day, dt, row_number() OVER (PARTITION BY day ORDER BY count(*) DESC, dt) AS rn FROM d WHERE dt > 0 GROUP BY day, dt) WHERE rn = 1),
         s AS (SELECT day, coalesce(avg(click),0) + coalesce(avg(error),0) AS src, coalesce(avg(signup),0) + coalesce(avg(view),0) AS lnk,
                 coalesce(avg(purchase), 0) AS dem, count(*) AS n FROM mix GROUP BY day)
-        SELECT day, n AS rows, dt AS step_s, round(src / 1000, 6) AS generation_gw, round(src * n * dt / 3600 / 1e6, 9) AS generation_twh,
-          round(lnk / 1000, 6) AS imports_gw, round(lnk * n * dt / 3600 / 1e6, 9) AS imports_twh,
-          round(dem / 1000, 6) AS demand_gw, round(dem * n * dt / 3600 / 1e6, 9) AS demand_twh FROM s LEFT JOIN m USING (day)""",
+        SELECT day, n AS rows, dt AS step_s, round(src / 1000, 9) AS generation_gw, round(src * n * dt / 3600 / 1e6, 12) AS generation_twh,
+          round(lnk / 1000, 9) AS imports_gw, round(lnk * n * dt / 3600 / 1e6, 12) AS imports_twh,
+          round(dem / 1000, 9) AS demand_gw, round(dem * n * dt / 3600 / 1e6, 12) AS demand_twh FROM s LEFT JOIN m USING (day)""",
 )
 def energy_summary(t: Tables) -> DataFrame:
     mix = t.mix().withColumn("day", F.date_trunc("day", "hour").cast("timestamp_ntz"))
     families = {"generation": KINDS[:2], "imports": KINDS[3:], "demand": KINDS[2:3]}
     out = stats.energy_summary(mix, "hour", families, "day")
-    return rounded(out, 6, **{f"{f}_twh": 9 for f in families})
+    return rounded(out, 9, **{f"{f}_twh": 12 for f in families})
 
 
 def _describe_sql(v: str) -> str:
@@ -350,10 +350,13 @@ def quad_fit(t: Tables) -> DataFrame:
 @query(
     "calibration",
     """SELECT count(*) AS points, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
-         round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""",
+         round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
+         round(greatest(0, regr_intercept(l_extendedprice, l_quantity) + 25 * regr_slope(l_extendedprice, l_quantity)), 4) AS calibrated FROM lineitem""",
 )
 def calibration(t: Tables) -> DataFrame:
-    return rounded(stats.calibration(t.lineitem, "l_quantity", "l_extendedprice"), 4, r2=6)
+    line = stats.calibration(t.lineitem, "l_quantity", "l_extendedprice")
+    at = stats.calibrated(F.lit(25.0), F.col("slope"), F.col("intercept"))
+    return rounded(line.withColumn("calibrated", at), 4, r2=6)
 
 
 @query(
@@ -452,7 +455,7 @@ def select_features(t: Tables) -> DataFrame:
     "file_totals",
     """WITH f AS (SELECT 'f-' || strftime(o_orderdate, '%Y-%m') AS file, count(*) AS rows, 6 AS columns FROM orders GROUP BY 1),
        p AS (SELECT *, rows * columns AS datapoints FROM f)
-       SELECT file, rows, columns, datapoints, 'ok' AS status, CAST(row_number() OVER w AS INTEGER) AS rank, CAST(sum(datapoints) OVER w AS BIGINT) AS running
+       SELECT file, rows, columns, datapoints, 'ok' AS status, row_number() OVER w AS rank, CAST(sum(datapoints) OVER w AS BIGINT) AS running
        FROM p WINDOW w AS (ORDER BY datapoints DESC, file)""",
 )
 def file_totals(t: Tables) -> DataFrame:
@@ -493,7 +496,7 @@ def bounds(t: Tables) -> DataFrame:
 
 @query(
     "chart_series",
-    f"""WITH mix AS ({MIX_SQL}) SELECT date_trunc('day', hour) AS day, round(sum(click), 4) AS click_sum, round(avg(error) / 1000.0, 6) AS error_gw,
+    f"""WITH mix AS ({MIX_SQL}) SELECT date_trunc('day', hour) AS day, round(sum(click), 4) AS click_sum, round(avg(error) / 1000.0, 9) AS error_gw,
           round(100.0 * coalesce(sum(purchase), 0) / sum(coalesce(click,0)+coalesce(error,0)+coalesce(purchase,0)+coalesce(signup,0)+coalesce(view,0)), 6)
             AS purchase_pct FROM mix GROUP BY 1""",
 )
@@ -507,6 +510,6 @@ def chart_series(t: Tables) -> DataFrame:
         (F.col("error_mean") / 1000.0).alias("error_gw"),
         (100.0 * F.coalesce("purchase_sum", F.lit(0.0)) / F.col("whole_sum")).alias("purchase_pct"),
     )
-    return rounded(out, 6, click_sum=4)
+    return rounded(out, 6, click_sum=4, error_gw=9)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import clean, features, parse
 from gridloom.operators import quantiles
 from gridloom.operators.windows import fill_forward
+from gridloom.plans.alignment import estimated_demand
 from gridloom.queries.registry import MIX_SQL, Tables, query, rounded
 
 
@@ -170,14 +171,13 @@ def impute_median(t: Tables) -> DataFrame:
 @query(
     "coalesce_chain",
     f"""WITH mix AS ({MIX_SQL})
-       SELECT hour, coalesce(click, error, purchase) AS demand, coalesce(purchase, view) AS generation FROM mix""",
+       SELECT hour, coalesce(click, error, purchase) AS estimated_demand_mw, coalesce(purchase, view) AS total_generation_mw FROM mix""",
 )
 def coalesce_chain(t: Tables) -> DataFrame:
-    return t.mix().select(
-        "hour",
-        clean.first_known("click", "error", "purchase").alias("demand"),
-        clean.first_known("purchase", "view").alias("generation"),
+    named = t.mix().withColumnsRenamed(
+        {"click": "ND", "error": "TSD", "purchase": "GENERATION", "view": "MODELLED_ONLINE_MW"}
     )
+    return estimated_demand(named).select("hour", "estimated_demand_mw", "total_generation_mw")
 
 
 @query(
@@ -188,7 +188,8 @@ def coalesce_chain(t: Tables) -> DataFrame:
 )
 def row_family_sum(t: Tables) -> DataFrame:
     names = ["click", "error", "purchase", "signup", "view"]
-    return rounded(t.mix().select("hour", clean.family_sum(names).alias("modelled")), 4)
+    flows = t.mix().withColumnsRenamed({n: f"{n}_FLOW" for n in names})
+    return rounded(flows.select("hour", clean.family_sum(clean.pick_family(flows, "_flow")).alias("modelled")), 4)
 
 
 @query("clamp", "SELECT event_id, greatest(5.0, least(120.0, value)) AS v FROM events")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import frames, physics
 from gridloom.functions.clean import family_sum
 from gridloom.operators import asof
-from gridloom.plans.alignment import rocof_report
+from gridloom.operators.asof import Source
+from gridloom.plans.alignment import replay_output, replay_table, rocof_report
 from gridloom.queries.aggregates import YEAR, yearly
 from gridloom.queries.ordering import ROCOF_SQL
 from gridloom.queries.registry import MIX_SQL, Tables, query, rounded
@@ -237,3 +238,27 @@ ALIGNED_SQL = f"""WITH s AS (SELECT make_timestamp(epoch_us(sample_start_ts) + d
 def rocof_summary(t: Tables) -> DataFrame:
     out = rocof_report(t.signal(), t.kind("error"), "ts", "value", "ts", tolerance_s=600.0, tie=["event_id"])
     return rounded(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("time_start", "time_end")}))
+
+
+@query(
+    "replay_dataset",
+    f"""WITH s AS (SELECT make_timestamp(epoch_us(sample_start_ts) + dus // 2) AS ts, f_end_hz FROM ({ROCOF_SQL}) WHERE dus > 0),
+        w AS (SELECT * FROM s WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-10' + INTERVAL 5 DAY),
+        n AS (SELECT *, row_number() OVER (ORDER BY ts) - 1 AS row_no, count(*) OVER () AS n FROM w),
+        p AS (SELECT DISTINCT (i * ((SELECT count(*) FROM w) - 1)) // 99 AS pos FROM range(100) g(i)),
+        r AS (SELECT ts AS r_ts, value FROM events WHERE event_type = 'error'),
+        b AS (SELECT n.*, r_ts AS bts, value AS bv FROM n ASOF LEFT JOIN r ON n.ts >= r_ts WHERE row_no IN (SELECT pos FROM p)),
+        j AS (SELECT b.*, r_ts AS ats, value AS av FROM b ASOF LEFT JOIN r ON b.ts <= r_ts),
+        m AS (SELECT *, coalesce(epoch_us(ts) - epoch_us(bts) <= epoch_us(ats) - epoch_us(ts), ats IS NULL) AS back,
+                least(epoch_us(ts) - epoch_us(bts), epoch_us(ats) - epoch_us(ts)) <= 1800000000 AS hit FROM j)
+        SELECT row_no, '{{"rocof_timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","f_end_hz":' || CAST(f_end_hz AS VARCHAR)
+          || ',"total_generation_mw":' || coalesce(CAST(CASE WHEN hit THEN CASE WHEN back THEN bv ELSE av END END AS VARCHAR), 'null') || '}}' AS frame FROM m""",
+)
+def replay_dataset(t: Tables) -> DataFrame:
+    context = t.kind("error").select("ts", "event_id", F.col("value").alias("GENERATION"))
+    table = replay_table(
+        t.signal(), "ts", "value", [Source(context, "ts", ["GENERATION"], tolerance=1800.0, seq="event_id")], seq="event_id"
+    )
+    return replay_output(
+        table.drop("ts", "offset_s"), 5 * 86_400, "2024-01-10 00:00:00", 100, ["f_end_hz", "total_generation_mw"]
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from gridloom.functions import parse
 from gridloom.operators.quality import snake
 
+logger = logging.getLogger(__name__)
+
 # Shares a column must reach to count as dates or as numbers, and words of date columns.
 DATE_SHARE = 0.5
 NUMBER_SHARE = 0.8
@@ -40,7 +43,10 @@ def signal_rows(raw: DataFrame, date: str, value: str) -> DataFrame:
 
 def contract_rows(raw: DataFrame, contract: Mapping[str, str], ts: Column, ts_name: str = "DatetimeUTC") -> DataFrame:
     """Types from the contract (``integer`` as long, else double; ``string`` kept); unexpected
-    columns become doubles; rows without a time are dropped."""
+    columns are named in a warning and become doubles; rows without a time are dropped."""
+    extra = unexpected_columns(raw, contract)
+    if extra:
+        logger.warning("columns outside the contract: %s", ", ".join(extra))
     typed = []
     for c in raw.columns:
         kind = contract.get(c)
