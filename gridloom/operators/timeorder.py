@@ -9,14 +9,16 @@ literals in the plan: every branch and every retry assigns a row to the same sli
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.session import settle
 
@@ -201,35 +203,44 @@ def ordered(
 def scan_ordered(
     df: DataFrame,
     ts: str,
+    value: str,
     back: int,
-    step: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: StructType,
+    step: Callable[[pd.Series], Mapping[str, pd.Series]],
+    added: Sequence[str],
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """Like :func:`ordered` for windows too wide for the JVM frames, which recompute every row.
 
-    Slices are sorted by Spark and pass through ``step`` as Arrow batches; only the last ``back``
-    rows of a slice stay in memory between batches. ``step`` gets consecutive rows of one slice,
-    a lead-in of up to ``back`` rows first, and returns one row for each row it got.
+    Slices are sorted by Spark and pass as Arrow batches; only the value column becomes numbers
+    in Python, the others stay as they are. Between batches the last ``back`` values are kept.
+    ``step`` gets consecutive values of one slice and returns the added columns, as long.
     """
-    cut = cut_with_halo(df, ts, back, tie)
-    order = [ts, *tie]
-    placed = cut.repartition(SLICE).sortWithinPartitions(SLICE, *order)
-    names = [f.name for f in schema.fields]
+    placed = cut_with_halo(df, ts, back, tie).repartition(SLICE).sortWithinPartitions(SLICE, ts, *tie)
+    kept = list(df.columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, lead = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, lead = None, np.empty(0)
         for batch in batches:
-            for number, rows in batch.groupby(SLICE, sort=True):
-                if number != current:
-                    current, lead = number, rows.iloc[:0]
-                whole = pd.concat([lead, rows], ignore_index=True) if len(lead) else rows.reset_index(drop=True)
-                done = step(whole)
-                fresh = done.iloc[len(lead) :]
-                lead = whole.iloc[max(0, len(whole) - back) :]
-                yield fresh.loc[~fresh[HALO].astype(bool), names]
-
-    return placed.mapInPandas(run, schema)
+            if not batch.num_rows:
+                continue
+            numbers = batch.column(SLICE).to_numpy(zero_copy_only=False)
+            values = batch.column(value).to_numpy(zero_copy_only=False).astype(float)
+            new = {c: np.empty(len(values)) for c in added}
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1), len(numbers)]
+            for start, end in zip(edges, edges[1:]):
+                if numbers[start] != current:
+                    current, lead = numbers[start], values[:0]
+                whole = np.concatenate([lead, values[start:end]])
+                done = step(pd.Series(whole))
+                for c in added:
+                    new[c][start:end] = done[c].to_numpy(dtype=float)[len(lead) :]
+                lead = whole[max(0, len(whole) - back) :]
+            columns = [batch.column(c) for c in kept] + [pa.array(new[c], from_pandas=True) for c in added]
+            own = pa.array(~batch.column(HALO).to_numpy(zero_copy_only=False).astype(bool))
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added]).filter(own)
+
+    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in added]])
+    return placed.mapInArrow(run, schema)
 
 
 def running_total(

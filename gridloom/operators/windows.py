@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.operators.timeorder import (
     SLICE,
@@ -88,17 +87,14 @@ def rolling_stats(
     kinds = ("mean", "std", "min", "max")
     added = [f"diff_{k}" for k in diffs] + [f"roll{n}_{kind}" for n in windows for kind in kinds]
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        v = rows[value]
+    def step(v: pd.Series) -> dict[str, pd.Series]:
         new = {f"diff_{k}": v.diff(k) for k in diffs}
         for n in windows:
             rolled = v.rolling(n, min_periods=max(2, n // 3))
             new.update({f"roll{n}_{kind}": getattr(rolled, kind)() for kind in kinds})
-        return rows.assign(**new)
+        return new
 
-    schema = StructType([*df.schema.fields, *[StructField(c, DoubleType()) for c in added]])
-    out = scan_ordered(df, ts, max(*diffs, *[n - 1 for n in windows]), step, schema, tie)
-    return out.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in added})
+    return scan_ordered(df, ts, value, max(*diffs, *[n - 1 for n in windows]), step, added, tie)
 
 
 def rolling_quantile_excess(
@@ -106,14 +102,12 @@ def rolling_quantile_excess(
 ) -> DataFrame:
     """How far the signal lies under its rolling quantile, never negative."""
 
-    def step(part: pd.DataFrame) -> pd.DataFrame:
-        return part.assign(rolling_q=part[value].rolling(rows, min_periods=min_rows).quantile(q))
+    def step(v: pd.Series) -> dict[str, pd.Series]:
+        return {"rolling_q": v.rolling(rows, min_periods=min_rows).quantile(q)}
 
-    schema = StructType([*df.schema.fields, StructField("rolling_q", DoubleType())])
-    out = scan_ordered(df, ts, rows - 1, step, schema, tie)
-    level = F.nanvl("rolling_q", F.lit(None).cast("double"))
+    out = scan_ordered(df, ts, value, rows - 1, step, ["rolling_q"], tie)
     below = F.greatest(F.lit(0.0), F.col("rolling_q") - F.col(value))
-    return out.withColumn("rolling_q", level).withColumn("proxy", F.when(F.col("rolling_q").isNotNull(), below))
+    return out.withColumn("proxy", F.when(F.col("rolling_q").isNotNull(), below))
 
 
 def rolling_std(
