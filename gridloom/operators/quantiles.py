@@ -9,6 +9,7 @@ neighbours of the rank are interpolated. The result is the same number.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ def quantiles(
 
 
 def _bracketed(rows: DataFrame, probs: Sequence[float], names: Sequence[str], by: Sequence[str]) -> DataFrame:
+    if len(probs) > 30:
+        raise ValueError("at most 30 quantiles at once")
     spread = 4.0 / _ACCURACY
     lows = ",".join(f"{max(0.0, p - spread):.12f}D" for p in probs)
     highs = ",".join(f"{min(1.0, p + spread):.12f}D" for p in probs)
@@ -64,17 +67,23 @@ def _bracketed(rows: DataFrame, probs: Sequence[float], names: Sequence[str], by
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_by_{k}"))
-    # Values outside a bracket only count towards the ranks below it; they keep no value of their own.
-    placed = whole.join(wanted, same).select(*keys, "_v", F.explode("_r").alias("r"))
-    place = F.when(F.col("_v") < F.col("r.lo"), F.lit(None)).when(F.col("_v") <= F.col("r.hi"), F.col("_v"))
-    inside = (F.col("_v") >= F.col("r.lo")) & (F.col("_v") <= F.col("r.hi"))
+    # A row inside a bracket keeps its value; any other row only tells which brackets lie above
+    # it, so rows shrink to a few counts before the brackets are looked at one by one.
+    edges = [F.get("_r", F.lit(i)) for i in range(len(probs))]
+    within = reduce(lambda x, y: x | y, [(F.col("_v") >= e["lo"]) & (F.col("_v") <= e["hi"]) for e in edges])
+    under = sum((F.when(F.col("_v") < e["lo"], 1 << i).otherwise(0) for i, e in enumerate(edges)), F.lit(0))
     counted = (
-        placed.where(F.col("_v") <= F.col("r.hi"))
-        .groupBy(*keys, F.col("r.i").alias("i"), F.col("r.at").alias("at"), place.alias("v"), inside.alias("inside"))
+        whole.join(wanted, same)
+        .groupBy(*keys, under.alias("under"), F.when(within, F.col("_v")).alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
+    each = counted.join(wanted, same).select(*keys, "under", "v", "c", F.explode("_r").alias("r")).select(
+        *keys, F.col("r.i").alias("i"), F.col("r.at").alias("at"), "c",
+        F.expr("(under & shiftleft(1, r.i)) <> 0").alias("below"),
+        F.when((F.col("v") >= F.col("r.lo")) & (F.col("v") <= F.col("r.hi")), F.col("v")).alias("v"),
+    )
     climb = Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first())
-    ranked = counted.withColumn("upto", F.sum("c").over(climb)).where("inside")
+    ranked = each.where("below or v is not null").withColumn("upto", F.sum("c").over(climb)).where("v is not null")
     picked = ranked.groupBy(*keys, "i", "at").agg(
         F.min(F.when(F.col("upto") > F.floor("at"), F.col("v"))).alias("a"),
         F.min(F.when(F.col("upto") > F.ceil("at"), F.col("v"))).alias("b"),
