@@ -92,10 +92,15 @@ def breach_windows(
 
 
 def low_value_events(
-    df: DataFrame, ts: str = "ts", value: str = "value", threshold: float = 49.0, tie: Sequence[str] = ()
+    df: DataFrame,
+    ts: str = "ts",
+    value: str = "value",
+    threshold: float = 49.0,
+    min_duration_s: float = 0.0,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Contiguous stretches strictly below the threshold."""
-    return breach_windows(df, ts, value, threshold, None, 0.0, tie).drop("breach_type")
+    return breach_windows(df, ts, value, threshold, None, min_duration_s, tie).drop("breach_type")
 
 
 def excursions(

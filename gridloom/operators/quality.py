@@ -82,11 +82,12 @@ def dtype_hint(source: str | Column, normal: str | Column) -> Column:
     return hint.otherwise("string")
 
 
-def validate_contract(contract: DataFrame, catalogue: DataFrame) -> DataFrame:
+def validate_contract(contract: DataFrame, catalogue: DataFrame, require: bool = False) -> DataFrame:
     """PASS/FAIL/SKIP/WARN per (dataset, target) with the missing and unexpected columns.
 
     Contract rows are (dataset, target, name), with a null name for a target that lists no
-    columns; catalogue rows are (dataset, target, name).
+    columns; catalogue rows are (dataset, target, name). A target nothing was found for is skipped,
+    or fails with ``require``.
     """
     expected = contract.where("name is not null").distinct().withColumn("_want", F.lit(1))
     actual = catalogue.distinct().withColumn("_have", F.lit(1))
@@ -105,7 +106,7 @@ def validate_contract(contract: DataFrame, catalogue: DataFrame) -> DataFrame:
     targets = contract.select("dataset", "target").distinct()
     known = targets.join(compared, ["dataset", "target"], "left")
     status = (
-        F.when(F.coalesce("actual", F.lit(0)) == 0, "SKIP")
+        F.when(F.coalesce("actual", F.lit(0)) == 0, "FAIL" if require else "SKIP")
         .when(F.coalesce("expected", F.lit(0)) == 0, "WARN")
         .when(F.col("loose") > 0, "SKIP")
         .when((F.size("missing") == 0) & (F.size("unexpected") == 0), "PASS")

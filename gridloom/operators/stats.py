@@ -42,17 +42,27 @@ def jump_quantile(df: DataFrame, ts: str, value: str, period: str, q: float, tie
 
 
 def time_in_band(
-    df: DataFrame, ts: str, value: str, period: str, low: float, high: float, tie: Sequence[str] = ()
+    df: DataFrame,
+    ts: str,
+    value: str,
+    period: str,
+    low: float,
+    high: float,
+    tie: Sequence[str] = (),
+    unit: str = "s",
 ) -> DataFrame:
-    """Seconds below, above and inside the band; an interval counts for the sample that ends it."""
+    """Seconds (``s``) or hours (``h``) below, above and inside the band; an interval counts for the
+    sample that ends it."""
     timed = sample_durations(df, ts, tie, [period])
     v = F.col(value)
 
     def spent(condition: Column) -> Column:
-        return F.sum(F.when(condition, F.col("dt_s")).otherwise(0.0))
+        return F.sum(F.when(condition, F.col("dt_s")).otherwise(0.0)) / (3600.0 if unit == "h" else 1.0)
 
     return timed.groupBy(period).agg(
-        spent(v < low).alias("below_s"), spent(v > high).alias("above_s"), spent(v.between(low, high)).alias("within_s")
+        spent(v < low).alias(f"below_{unit}"),
+        spent(v > high).alias(f"above_{unit}"),
+        spent(v.between(low, high)).alias(f"within_{unit}"),
     )
 
 
@@ -343,7 +353,8 @@ def select_targets(
     rows are complete. One pass counts the complete rows of every shortened list."""
     rows = coverage(df, candidates).where((F.col("ratio") >= min_ratio) & F.col("varies"))
     ranked = sorted(rows.collect(), key=lambda r: (-r["ratio"], r["position"]))[:max_targets]
-    names = [r["column"] for r in ranked]
+    # Of equally covered columns the earlier one leaves first.
+    names = [r["column"] for r in sorted(ranked, key=lambda r: (-r["ratio"], -r["position"]))]
     if not names:
         return rows.limit(0)
     checks, known = [], F.lit(True)

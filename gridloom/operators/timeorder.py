@@ -194,6 +194,9 @@ def ordered(
 
     ``build(frame, window)`` adds its columns over ``window``. ``restart`` names columns that
     follow from the timestamp (a year, a day): windows never cross a change of theirs.
+
+    Give ``tie`` where timestamps repeat: it makes the order, and so the result, definite, and a
+    numeric first tie column lets a crowded instant be cut.
     """
     cut = cut_with_halo(df, ts, back, tie, slices)
     window = Window.partitionBy(SLICE, *restart).orderBy(*[F.col(c) for c in (ts, *tie)])

@@ -110,5 +110,6 @@ def stream_excursions(t: Tables) -> DataFrame:
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(t: Tables) -> DataFrame:
-    stream = open_feed(t, t.events.select("ts", "user_id", "event_type"), close=False)
+    rows = t.events.select("ts", "user_id", "event_type")
+    stream = feed.read_feed(t.spark, feed.write_feed(rows, "ts", close=False), rows.schema, with_file=True)
     return replay.stream_append(stream, ["user_id", "event_type"])

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from gridloom.streaming.feed import ROCKSDB
+
 OUTPUT = "site string, start_us bigint, end_us bigint, open_tail boolean, duration_s bigint"
 STATE = "active boolean, start_us bigint, beyond_rows int, inside_rows int, run_us bigint, last_us bigint"
 

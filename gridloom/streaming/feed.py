@@ -11,7 +11,8 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from gridloom.operators.timeorder import micros, plan_slices
 from gridloom.session import scratch_path
 
-END_MARK = "end-of-feed"
+FILE = "source_file"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def write_feed(df: DataFrame, ts: str, chunks: int = 4, close: bool = True, close_after_s: int = 86_400) -> str:
@@ -44,14 +45,13 @@ def write_feed(df: DataFrame, ts: str, chunks: int = 4, close: bool = True, clos
     return path
 
 
-def read_feed(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
-    """The feed as a stream; the schema is given, never guessed."""
+def read_feed(
+    spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 8, with_file: bool = False
+) -> DataFrame:
+    """The feed as a stream, on request with the file of each row; the schema is given, never guessed."""
     full = StructType([*schema.fields, StructField("year", IntegerType()), StructField("month", IntegerType())])
-    return (
-        spark.readStream.schema(full)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(path)
-    )
+    stream = spark.readStream.schema(full).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return stream.withColumn(FILE, F.col("_metadata.file_path")) if with_file else stream
 
 
 def seek(stream: DataFrame, ts: str, start: str) -> DataFrame:
@@ -97,9 +97,3 @@ def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int, s
 def batch_path(folder: str, table: str, batch_id: int) -> str:
     return f"{folder}/{table}/batch={batch_id}"
 
-
-def earlier_batches(spark: SparkSession, folder: str, table: str, batch_id: int) -> DataFrame | None:
-    """What the batches before this one wrote, or None for the first."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(f"{folder}/{table}").where(F.col("batch") < batch_id)
