@@ -81,7 +81,7 @@ def date_multi(text: str | Column, formats: Sequence[str] = DATE_FORMATS) -> Col
 def settlement_instant(date: str | Column, period: str | Column) -> Column:
     """Start of a half-hour settlement period; periods below 1 or missing count as 1."""
     day = _c(date)
-    number = F.greatest(F.coalesce(_c(period).cast("int"), F.lit(1)), F.lit(1))
+    number = F.greatest(F.coalesce(_c(period).try_cast("double").try_cast("int"), F.lit(1)), F.lit(1))
     return day.cast("timestamp") + F.make_dt_interval(mins=(number - 1) * 30)
 
 

@@ -80,8 +80,8 @@ def power_imbalance(inertia_gvas: Column, rate: Column, f0: float = 50.0) -> Col
 
 
 def required_inertia(dp_mw: Column, limit: Column, f0: float = 50.0) -> Column:
-    """GVA·s that would hold the rate of change at the limit."""
-    return dp_mw * f0 / (limit * 2.0) / 1000.0
+    """GVA·s that would hold the rate of change at the limit; null for a limit of 0."""
+    return F.try_divide(dp_mw * f0, limit * 2.0) / 1000.0
 
 
 def _ladder(value: Column, steps: Sequence[tuple[float | None, str]]) -> Column:

@@ -217,7 +217,8 @@ def width_bins(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     if low is None:
         low, high = 0.0, 1.0
     if low == high:
-        low, high = low - abs(low) * 0.001, high + abs(high) * 0.001
+        pad = abs(low) * 0.001 or 0.001
+        low, high = low - pad, high + pad
     width = (high - low) / bins
     place = F.ceil((F.col(x) - F.lit(low)) / width).cast("int")
     inside = F.greatest(F.lit(1), F.least(F.lit(bins), place))

@@ -44,7 +44,7 @@ def rocof(
         dt.alias("delta_t_s"),
         (F.col(value) - F.col("_v0")).alias("delta_f_hz"),
     ).where("delta_t_s > 0")
-    rate = F.col("delta_f_hz") / F.col("delta_t_s")
+    rate = F.try_divide("delta_f_hz", "delta_t_s")
     out = out.withColumn("rocof_hz_per_s", rate).where(
         F.col("rocof_hz_per_s").isNotNull() & ~F.isnan("rocof_hz_per_s") & (F.abs("rocof_hz_per_s") < float("inf"))
     )

@@ -53,7 +53,7 @@ def contract_rows(raw: DataFrame, contract: Mapping[str, str], ts: Column, ts_na
         if kind == "string":
             typed.append(F.col(c))
         elif kind == "integer":
-            typed.append(F.trim(c).try_cast("double").cast("bigint").alias(c))
+            typed.append(F.trim(c).try_cast("double").try_cast("bigint").alias(c))
         else:
             typed.append(F.trim(c).try_cast("double").alias(c))
     return raw.select(ts.alias(ts_name), *typed).na.drop(subset=[ts_name])

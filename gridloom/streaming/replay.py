@@ -8,12 +8,14 @@ under the batch number; a retried batch reads the same past and overwrites its o
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.asof import Source, fuse
 from gridloom.operators.windows import rocof
+from gridloom.session import settle
 from gridloom.sources.sink import row_signature
 from gridloom.streaming.feed import FILE, ROCKSDB, batch_path, run_batches, run_to_end
 
@@ -36,8 +38,12 @@ def stream_rocof(stream: DataFrame, ts: str, value: str) -> DataFrame:
 
 
 def stream_enrich(stream: DataFrame, ts: str, sources: Sequence[Source]) -> DataFrame:
-    """Nearest row of each static table for every row of the stream."""
+    """Nearest row of each static table for every row of the stream.
+
+    The needed columns of the static tables are written once and read by every micro-batch.
+    """
     spark = stream.sparkSession
+    sources = [replace(s, df=settle(s.df.select(*dict.fromkeys([s.ts, *s.columns, *([s.seq] if s.seq else [])])))) for s in sources]
 
     def each(batch: DataFrame, batch_id: int, folder: str) -> None:
         fuse(batch, ts, sources).write.mode("overwrite").parquet(batch_path(folder, "rows", batch_id))

@@ -35,7 +35,7 @@ def test_timestamps(spark, text, want):
 
 
 def test_settlement(spark):
-    for period, minutes in (("0", 0), ("1", 0), ("48", 1410), ("50", 1470), (None, 0)):
+    for period, minutes in (("0", 0), ("1", 0), ("48", 1410), ("50", 1470), (None, 0), ("x", 0), ("NaN", 0), ("2.0", 30)):
         made = parse.settlement_instant(parse.date_multi(F.lit("13-Feb-2024")), F.lit(period))
         assert one(spark, made) == dt.datetime(2024, 2, 13) + dt.timedelta(minutes=minutes)
 
@@ -123,8 +123,9 @@ def test_width_bins_edges_and_constant(spark):
     df = spark.createDataFrame([(float(i), float(i)) for i in range(0, 21)], "x double, y double")
     rows = {r["bin"]: r["count"] for r in stats.width_bins(df, "x", "y", 20).collect()}
     assert rows[1] == 2 and all(rows[i] == 1 for i in range(2, 21))
-    flat = stats.width_bins(df.withColumn("x", F.lit(5.0)), "x", "y", 4)
-    assert sum(r["count"] for r in flat.collect()) == 21
+    for constant in (5.0, 0.0):
+        flat = stats.width_bins(df.withColumn("x", F.lit(constant)), "x", "y", 4)
+        assert sum(r["count"] for r in flat.collect()) == 21
 
 
 def test_quantile_bins_need_variety(spark):
@@ -148,6 +149,15 @@ def test_bracketed_quantiles_are_exact(spark):
         np.testing.assert_allclose([r[n] for n in names], want, rtol=1e-12, atol=1e-15)
 
 
+def test_medians_by_brackets(spark, monkeypatch):
+    from gridloom.operators import quantiles as q
+
+    df = spark.range(101).select((F.col("id") * 1.5).alias("a"), F.when(F.col("id") < 4, F.col("id")).alias("b"), F.lit(None).cast("double").alias("c"))
+    direct = q.medians(df, ["a", "b", "c"])
+    monkeypatch.setattr(q, "DIRECT_ROWS", 10)
+    assert q.medians(df, ["a", "b", "c"]) == direct == {"a": 75.0, "b": 1.5, "c": None}
+
+
 def test_wide_files(spark):
     lines = [
         ("f", 1, "Title,,"), ("f", 2, "Units,MW,MVAr"), ("f", 3, "Time,North St.,North St."),
@@ -160,6 +170,16 @@ def test_wide_files(spark):
     assert got[("f", 30, "north_st_mw")] is None
 
 
+def test_no_limit_gives_no_inertia(spark):
+    assert one(spark, physics.required_inertia(F.lit(100.0), F.lit(0.0))) is None
+
+
+def test_contract_rows_keep_going_on_bad_numbers(spark):
+    raw = spark.createDataFrame([("2024-01-01", "7", "1.5"), ("2024-01-02", "NaN", "x"), ("bad", "1", "1")], "d string, n string, m string")
+    out = ingest.contract_rows(raw, {"d": "string", "n": "integer"}, parse.date_multi("d")).orderBy("d").collect()
+    assert [(r["n"], r["m"]) for r in out] == [(7, 1.5), (None, None)]
+
+
 def test_h_overrides():
     assert physics.check_h_table({"GAS": (1, 2, 3)})["GAS"] == (1.0, 2.0, 3.0)
     with pytest.raises(ValueError):
