@@ -121,8 +121,9 @@ def fuse(
     is unique and not null, and then no join is needed.
     """
     if unique_left:
-        keys = left.withColumn("_left", F.struct(*[F.col(c) for c in left.columns]))
-        keys = keys.select(*by, micros(ts).alias(_T), "_left")
+        # One column each, so that Spark can leave out those nobody asks for.
+        own = [F.col(c).alias(f"_left{i}") for i, c in enumerate(left.columns)]
+        keys = left.select(*by, micros(ts).alias(_T), *own)
     else:
         keys = left.select(*by, micros(ts).alias(_T)).where(F.col(_T).isNotNull()).distinct()
     rights = [_compact(s, by) for s in sources]
@@ -166,7 +167,7 @@ def fuse(
         picked.append(match["at"].alias(f"{source.prefix}ts"))
         picked.append((F.abs(F.col(_T) - micros(match["at"])) / 1_000_000.0).alias(f"{source.prefix}offset_s"))
     if unique_left:
-        return looked.select("_left.*", *picked)
+        return looked.select(*[F.col(f"_left{i}").alias(c) for i, c in enumerate(left.columns)], *picked)
     matches = looked.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(_T).alias("_mt"), *picked)
     condition = F.col("_lt") == F.col("_mt")
     for c in by:
