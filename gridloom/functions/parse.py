@@ -36,6 +36,7 @@ DATE_FORMATS = (
 # Pattern of ISO dates and the share of them that rules day-first out.
 ISO_LIKE = r"^\s*\d{4}-\d{2}-\d{2}([ T].*)?\s*$"
 DAYFIRST_SHARE = 0.7
+NUMBER_LIKE = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))$"
 
 
 def _c(value: str | Column) -> Column:
@@ -85,9 +86,16 @@ def settlement_instant(date: str | Column, period: str | Column) -> Column:
     return day.cast("timestamp") + F.make_dt_interval(mins=(number - 1) * 30)
 
 
+def plain_number(text: str | Column) -> Column:
+    """Text as double, invalid becomes null; only texts that look like numbers are converted,
+    since a failed conversion raises an exception inside Spark."""
+    text = F.trim(_c(text))
+    return F.when(text.rlike(NUMBER_LIKE), text.try_cast("double"))
+
+
 def number(text: str | Column) -> Column:
     """Trim, drop thousands separators, invalid becomes null."""
-    return F.regexp_replace(F.trim(_c(text)), ",", "").try_cast("double")
+    return plain_number(F.replace(_c(text), F.lit(","), F.lit("")))
 
 
 def dayfirst_share(df: DataFrame, column: str) -> float:

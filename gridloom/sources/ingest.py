@@ -37,7 +37,7 @@ def signal_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def signal_rows(raw: DataFrame, date: str, value: str) -> DataFrame:
-    typed = raw.select(parse.timestamp_multi(date).alias("Date"), F.trim(value).try_cast("double").alias("Value"))
+    typed = raw.select(parse.timestamp_multi(date).alias("Date"), parse.plain_number(value).alias("Value"))
     return typed.na.drop()
 
 
@@ -53,9 +53,9 @@ def contract_rows(raw: DataFrame, contract: Mapping[str, str], ts: Column, ts_na
         if kind == "string":
             typed.append(F.col(c))
         elif kind == "integer":
-            typed.append(F.trim(c).try_cast("double").try_cast("bigint").alias(c))
+            typed.append(parse.plain_number(c).try_cast("bigint").alias(c))
         else:
-            typed.append(F.trim(c).try_cast("double").alias(c))
+            typed.append(parse.plain_number(c).alias(c))
     return raw.select(ts.alias(ts_name), *typed).na.drop(subset=[ts_name])
 
 
@@ -81,7 +81,7 @@ def chunk_paths(spark: SparkSession, folder: str, chunks: str, whole: str) -> st
 
 def all_double(raw: DataFrame, ts: str) -> DataFrame:
     """Time parsed, every other column as double; rows without a time dropped."""
-    numbers = [F.trim(c).try_cast("double").alias(c) for c in raw.columns if c != ts]
+    numbers = [parse.plain_number(c).alias(c) for c in raw.columns if c != ts]
     return raw.select(parse.timestamp_multi(ts).alias(ts), *numbers).na.drop(subset=[ts])
 
 
@@ -102,7 +102,7 @@ def profile(raw: DataFrame) -> dict[str, str]:
     for i, c in enumerate(raw.columns):
         text = F.nullif(F.trim(c), F.lit(""))
         checks.append(F.count(text).alias(f"n{i}"))
-        checks.append(F.count(text.try_cast("double")).alias(f"p{i}"))
+        checks.append(F.count(parse.plain_number(text)).alias(f"p{i}"))
         checks.append(F.count(parse.number(text)).alias(f"x{i}"))
         if any(w in c.lower() for w in DATE_WORDS):
             checks.append(F.count(parse.timestamp_multi(text)).alias(f"d{i}"))
