@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import pii
+from gridloom.llm import bpe, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +34,32 @@ def span_digest(found: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     return found.select(
         "doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"),
-        F.transform("spans", lambda s: s["score"]).alias("scores"),
+    )
+
+
+def vocabulary(name: str):
+    """Where a worker finds a public vocabulary file."""
+
+    def find() -> str:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+
+    return find
+
+
+@register("op4_secrets")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return span_digest(secrets.find_secrets(table(spark, folder, "documents")), secrets.BASE_KINDS)
+
+
+@register("op6_bpe")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    coded = bpe.encode_and_decode(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
