@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, pii, secrets
+from gridloom.llm import bpe, packing, pii, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @register("op10_pii")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return span_digest(pii.find_pii(table(spark, folder, "documents")), pii.BASE_KINDS)
+
+
+@register("op5_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    placed = packing.pack_documents(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
