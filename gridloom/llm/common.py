@@ -172,3 +172,33 @@ def list_array(counts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
+    """Least of every ``width`` consecutive values, by doubling."""
+    if len(values) < width:
+        return values[:0]
+    reach = 1
+    while 2 * reach <= width:
+        values = np.minimum(values[:-reach], values[reach:])
+        reach *= 2
+    rest = width - reach
+    return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
+
+
+def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For every ``width`` consecutive hashes the place of the least, the leftmost of equals.
+
+    The choice depends on the hashes inside alone, so equal stretches choose equal places.
+    """
+    bits = np.uint64(max(1, len(hashes).bit_length()))
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+    coded = (hashes & ~mask) | np.arange(len(hashes), dtype=np.uint64)
+    return (sliding_min(coded, width) & mask).astype(np.int64)
+
+
+def text_key(text_col):
+    """Two 64-bit hashes that stand for a whole text."""
+    from pyspark.sql import functions as F
+
+    return [F.xxhash64(text_col).alias("x1"), F.xxhash64(F.lit("second"), text_col).alias("x2")]
