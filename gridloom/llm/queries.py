@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, near_dedup, packing, pii, quality, secrets, substring_dedup, suffix_dedup
+from gridloom.llm import ann, bpe, exact_topk, near_dedup, packing, pii, quality, secrets, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -97,3 +97,30 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     model = quality.fit_quality(docs, table(spark, folder, "labels"))
     return quality.score_quality(docs, model).select(
         "doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@register("op2_ann")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, top=10)
+
+
+@register("op8_exact_topk")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_topk.largest_products(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, top=5)
+
+
+ORACLES["op8_exact_topk"] = """
+WITH good AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+           CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM good q JOIN good c ON q.vec_id <> c.vec_id
+    WHERE q.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
