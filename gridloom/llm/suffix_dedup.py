@@ -219,6 +219,26 @@ def repeated_strings(
     return ranges.join(copies, ["x1", "x2"], "full").select("x1", "x2", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges")
 
 
+def _joined(docs: DataFrame, found: DataFrame, text_col: str) -> DataFrame:
+    """The rows with ``_whole`` and ``_ranges`` of their text."""
+    x1, x2 = text_key(F.col(text_col))
+    found = found.select(*[F.col(c).alias(f"_{c}") for c in ("x1", "x2", "whole", "ranges")])
+    return docs.join(found, (x1 == F.col("_x1")) & (x2 == F.col("_x2")), "left").drop("_x1", "_x2")
+
+
+def _cut(raw: bytes, whole: bool | None, ranges: list | None) -> tuple[list[bytes], int]:
+    """What is left of the bytes between the spans, and the number of spans (ranges that touch are one)."""
+    if whole:
+        return [], 1
+    parts, last, spans = [], 0, 0
+    for s, e in sorted((r["start"], r["end"]) for r in ranges or ()):
+        if s > last or not spans:
+            parts.append(raw[last:s])
+            spans += 1
+        last = max(last, e)
+    return [*parts, raw[last:]], spans
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM,
     largest_group: int | None = None,
@@ -231,33 +251,47 @@ def remove_repeats(
     """
     ready(docs.sparkSession)
     found = settle(repeated_strings(docs, id_col, text_col, width, gram, largest_group))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.withColumns({"x1": text_key(F.col("text"))[0], "x2": text_key(F.col("text"))[1]})
-    rows = rows.join(found, ["x1", "x2"], "left").select("id", "text", "whole", "ranges")
+    rows = _joined(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), found, "text")
     schema = StructType([
         StructField(id_col, docs.schema[id_col].dataType), StructField("n_bytes", LongType()),
         StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", BinaryType()),
     ])
 
     def start():
-        def one(text, whole, ranges):
-            raw = text.encode("utf-8", "surrogatepass") if text else b""
-            if whole:
-                return len(raw), len(raw), 1, b""
-            parts, last, spans = [], 0, 0
-            for s, e in sorted((r["start"], r["end"]) for r in ranges or ()):
-                if s > last or not spans:
-                    parts.append(raw[last:s])
-                    spans += 1
-                last = max(last, e)
-            kept = b"".join([*parts, raw[last:]])
-            return len(raw), len(raw) - len(kept), spans, kept
+        def work(cols):
+            out = {name: [] for name in ("n_bytes", "n_removed", "n_spans", "kept")}
+            for text, whole, ranges in zip(cols["text"], cols["_whole"], cols["_ranges"]):
+                raw = text.encode("utf-8", "surrogatepass") if text else b""
+                parts, spans = _cut(raw, whole, ranges)
+                kept = b"".join(parts)
+                for name, value in zip(out, (len(raw), len(raw) - len(kept), spans, kept)):
+                    out[name].append(value)
+            return out | {id_col: cols["id"]}
+
+        return work
+
+    return map_documents(rows, ["id", "text", "_whole", "_ranges"], "text", schema, start)
 
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+    """The same rows and columns with repeated strings cut out of the text.
+
+    A character that a cut would split goes as a whole. Null texts stay null.
+    """
+    ready(docs.sparkSession)
+    names = docs.columns
+    rows = _joined(docs, settle(repeated_strings(docs, id_col, text_col, width, gram)), text_col)
+
+    def start():
         def work(cols):
-            done = [one(*row) for row in zip(cols["text"], cols["whole"], cols["ranges"])]
-            n, gone, spans, kept = zip(*done)
-            return {id_col: cols["id"], "n_bytes": n, "n_removed": gone, "n_spans": spans, "kept": kept}
+            texts = []
+            for text, whole, ranges in zip(cols[text_col], cols["_whole"], cols["_ranges"]):
+                if text and (whole or ranges):
+                    parts, _ = _cut(text.encode("utf-8", "surrogatepass"), whole, ranges)
+                    text = "".join(p.decode("utf-8", "ignore") for p in parts)
+                texts.append(text)
+            return {n: cols[n] for n in names} | {text_col: texts}
 
         return work
 
-    return map_documents(rows, ["id", "text", "whole", "ranges"], "text", schema, start)
+    return map_documents(rows, [*names, "_whole", "_ranges"], text_col, docs.schema, start)
