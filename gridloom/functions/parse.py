@@ -43,14 +43,29 @@ def _c(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def timestamp_multi(text: str | Column, formats: Sequence[str] = TS_FORMATS) -> Column:
-    """First format that parses wins; null when none does.
+def timestamp_multi(text: str | Column, formats: Sequence[str] = TS_FORMATS, dayfirst: bool = True) -> Column:
+    """First format that parses wins, then any other usual layout; null when none does.
 
     A format is tried only on texts of its shape: a failed parse raises an exception inside
     Spark and costs far more than a match against a short pattern.
     """
     text = F.trim(_c(text))
-    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    named = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    return F.coalesce(*named, general_timestamp(text, dayfirst))
+
+
+def general_timestamp(text: Column, dayfirst: bool = True) -> Column:
+    """Layouts beyond the named ones: fractions of a second, days and months of one digit, zones without a colon, times
+    without seconds, month names. Dates with slashes or ending in the year are read day-first or month-first."""
+    order = "$3-$2-$1$4" if dayfirst else "$3-$1-$2$4"
+    plain = F.regexp_replace(text, r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})(.*)$", order)
+    plain = F.regexp_replace(plain, r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3")
+    plain = F.regexp_replace(plain, r"(:\d{2}(?:\.\d+)?) ?([+-]\d{2}):?(\d{2})$", "$1$2:$3")
+    usual = plain.rlike(r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?( ?(Z|UTC|[+-]\d{2}:\d{2}))?)?$")
+    month = F.regexp_replace(text, r"^(\d)([ -])", "0$1$2")
+    layouts = ("dd-MMM-yyyy", "dd-MMM-yyyy HH:mm:ss", "dd-MMM-yyyy HH:mm", "dd MMM yyyy", "dd MMM yyyy HH:mm:ss")
+    named = [F.when(month.rlike(_shape(f)), F.try_to_timestamp(F.initcap(month), F.lit(f))) for f in layouts]
+    return F.coalesce(F.when(usual, plain.try_cast("timestamp")), *named)
 
 
 def _shape(layout: str) -> str:
@@ -108,7 +123,7 @@ def parse_detected(df: DataFrame, column: str, name: str) -> DataFrame:
     """Parse dates day-first when fewer than 70 % of the values look like ISO dates."""
     dayfirst = dayfirst_share(df, column) < DAYFIRST_SHARE
     slashed = ("dd/MM/yyyy", "dd-MM-yyyy") if dayfirst else ("MM/dd/yyyy", "MM-dd-yyyy")
-    return df.withColumn(name, timestamp_multi(column, ("yyyy-MM-dd", *slashed)))
+    return df.withColumn(name, timestamp_multi(column, ("yyyy-MM-dd", *slashed), dayfirst))
 
 
 def month_label(text: str | Column) -> Column:

@@ -18,14 +18,20 @@ def ntz(*names: str):
 
 @query(
     "parse_ts_multi",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderdate END AS parsed FROM orders""",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 3 THEN NULL WHEN o_orderkey % 9 = 4 THEN o_orderdate + INTERVAL 500 MILLISECOND
+         ELSE o_orderdate END AS parsed FROM orders""",
 )
 def parse_ts_multi(t: Tables) -> DataFrame:
-    form = F.col("o_orderkey") % 4
+    form = F.col("o_orderkey") % 9
     text = (
         F.when(form == 0, F.date_format("o_orderdate", "dd/MM/yyyy HH:mm:ss"))
         .when(form == 1, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" +00:00")))
         .when(form == 2, F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .when(form == 4, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit(".5")))
+        .when(form == 5, F.date_format("o_orderdate", "d/M/yyyy HH:mm:ss"))
+        .when(form == 6, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm"))
+        .when(form == 7, F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+0000")))
+        .when(form == 8, F.date_format("o_orderdate", "dd-MMM-yyyy"))
         .otherwise("junk")
     )
     return t.orders.select("o_orderkey", parse.timestamp_multi(text).cast("timestamp_ntz").alias("parsed"))

@@ -12,12 +12,20 @@ from gridloom.session import scratch_path
 from gridloom.sources import ingest, scan, sink
 
 
+def by_year(t: Tables) -> DataFrame:
+    """Orders as a Hive-partitioned table, so that years prune folders."""
+    path = scratch_path(t.spark, "orders")
+    rows = t.orders.select("o_orderkey", "o_orderdate", "o_totalprice", F.year("o_orderdate").alias("year"))
+    rows.write.partitionBy("year").parquet(path)
+    return t.spark.read.parquet(path)
+
+
 @query(
     "scan_year",
     """SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE year(o_orderdate) IN (1996, 1998)""",
 )
 def scan_year(t: Tables) -> DataFrame:
-    return scan.scan_range(t.orders, "o_orderdate", None, None, years=[1996, 1998]).select(
+    return scan.scan_range(by_year(t), "o_orderdate", None, None, years=[1996, 1998], year="year").select(
         "o_orderkey", "o_orderdate", "o_totalprice"
     )
 
@@ -35,7 +43,7 @@ def scan_date_range(t: Tables) -> DataFrame:
 
 @query("list_partitions", "SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year FROM orders")
 def list_partitions(t: Tables) -> DataFrame:
-    return scan.partitions(t.orders.select(F.year("o_orderdate").alias("year")), ["year"])
+    return scan.partitions(by_year(t), ["year"])
 
 
 @query(
@@ -58,14 +66,18 @@ def scan_generation(t: Tables) -> DataFrame:
 
 @query(
     "ingest_signal_csv",
-    """SELECT date_trunc('second', ts) AS Date, value AS Value FROM events WHERE event_id % 5 < 3""",
+    """SELECT CASE event_id % 8 WHEN 5 THEN date_trunc('millisecond', ts) WHEN 7 THEN date_trunc('minute', ts)
+         ELSE date_trunc('second', ts) END AS Date, value AS Value FROM events WHERE event_id % 8 NOT IN (3, 4)""",
 )
 def ingest_signal_csv(t: Tables) -> DataFrame:
-    form = F.col("event_id") % 5
+    form = F.col("event_id") % 8
     date = (
         F.when(form == 0, F.date_format("ts", "dd/MM/yyyy HH:mm:ss"))
         .when(form == 1, F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00")))
         .when(form == 3, F.lit("not a date"))
+        .when(form == 5, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+        .when(form == 6, F.date_format("ts", "d/M/yyyy HH:mm:ss"))
+        .when(form == 7, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm"), F.lit(":00+0000")))
         .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     )
     value = F.when(form == 4, F.lit("n/a")).otherwise(F.col("value").cast("string"))
@@ -74,6 +86,13 @@ def ingest_signal_csv(t: Tables) -> DataFrame:
     return ingest.signal_csv(t.spark, path).withColumn("Date", F.col("Date").cast("timestamp_ntz"))
 
 
+def through_csv(t: Tables, raw: DataFrame) -> DataFrame:
+    """Write text columns as CSV with a header and read them as any other file."""
+    path = scratch_path(t.spark, "csv")
+    raw.write.option("header", True).csv(path)
+    return ingest.read_text_csv(t.spark, path)
+
+
 @query(
     "ingest_contract",
     """SELECT o_orderdate + INTERVAL 30 MINUTE * (CAST(o_orderkey % 48 AS INTEGER)) AS DatetimeUTC,
@@ -91,7 +110,7 @@ def ingest_contract(t: Tables) -> DataFrame:
     )
     contract = {"SETTLEMENT_PERIOD": "integer", "CUST": "integer", "SETTLEMENT_DATE": "string"}
     stamp = parse.settlement_instant(parse.date_multi("SETTLEMENT_DATE"), "SETTLEMENT_PERIOD").cast("timestamp_ntz")
-    return ingest.contract_rows(raw, contract, stamp).drop("SETTLEMENT_DATE")
+    return ingest.contract_rows(through_csv(t, raw), contract, stamp).drop("SETTLEMENT_DATE")
 
 
 @query(
@@ -103,7 +122,7 @@ def ingest_alias(t: Tables) -> DataFrame:
         F.date_format("o_orderdate", "dd/MM/yyyy").alias("Settlement Date"),
         F.when(F.col("o_orderkey") % 9 != 0, F.format_number("o_totalprice", 2)).alias("Cost"),
     )
-    out = ingest.aliased_cost(raw, "Settlement Date", ["Cost_per_GVAs", "Cost"], "Cost_per_GVAs")
+    out = ingest.aliased_cost(through_csv(t, raw), "Settlement Date", ["Cost_per_GVAs", "Cost"], "Cost_per_GVAs")
     return out.withColumn("DatetimeUTC", F.col("DatetimeUTC").cast("timestamp_ntz"))
 
 
@@ -134,7 +153,7 @@ def ingest_weather(t: Tables) -> DataFrame:
         F.col("value").cast("string").alias("Temperature_C"),
         F.col("user_id").cast("string").alias("Wind_Speed_100m_kph"),
     )
-    out = ingest.weather_rows(raw, "Date", ["Temperature_C", "Wind_Speed_100m_kph"])
+    out = ingest.weather_rows(through_csv(t, raw), "Date", ["Temperature_C", "Wind_Speed_100m_kph"])
     return out.withColumn("Date", F.col("Date").cast("timestamp_ntz"))
 
 
@@ -157,7 +176,7 @@ def infer_types(t: Tables) -> DataFrame:
         unless_blank(F.col("o_orderstatus")).alias("status"),
         unless_blank(F.when(key % 10 == 0, "x").otherwise(F.col("o_custkey").cast("string"))).alias("cust"),
     )
-    out = ingest.infer_rows(raw)
+    out = ingest.infer_rows(through_csv(t, raw))
     return out.withColumn("order_date", F.col("order_date").cast("timestamp_ntz"))
 
 
@@ -177,27 +196,35 @@ def ingest_slugs(t: Tables) -> DataFrame:
 
 @query(
     "sink_year_week",
-    """SELECT lpad(CAST(year(l_shipdate) AS VARCHAR), 4, '0') AS year,
+    """SELECT 'orders_' || (l_orderkey % 2) AS source, lpad(CAST(year(l_shipdate) AS VARCHAR), 4, '0') AS year,
          lpad(CAST(weekofyear(l_shipdate) AS VARCHAR), 2, '0') AS week,
          count(*) AS rows, min(l_shipdate) AS first_ts, max(l_shipdate) AS last_ts
-       FROM lineitem GROUP BY 1, 2""",
+       FROM lineitem GROUP BY 1, 2, 3""",
 )
 def sink_year_week(t: Tables) -> DataFrame:
+    """Two sources that share every week; a year of the first is written once more."""
     path = scratch_path(t.spark, "weeks")
-    sink.write_year_week(t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate"), path, "l_shipdate")
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate")
+    for part, again in ((0, False), (1, False), (0, True)):
+        source = rows.where(F.col("l_orderkey") % 2 == part)
+        if again:
+            source = source.where(F.year("l_shipdate") == 1995)
+        sink.write_year_week(source, path, "l_shipdate", f"orders_{part}", "lines")
     back = sink.read_year_week(t.spark, path)
-    return back.groupBy("year", "week").agg(
+    return back.groupBy("source", "year", "week").agg(
         F.count(F.lit(1)).alias("rows"), F.min("l_shipdate").alias("first_ts"), F.max("l_shipdate").alias("last_ts")
     )
 
 
-@query("incremental_files")
+@query("incremental_files", "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE day(ts) % 3 <> 0")
 def incremental_files(t: Tables) -> DataFrame:
+    """Days whose files wait for conversion, when every third day is done."""
     path = scratch_path(t.spark, "daily")
     t.events.select("event_id", F.to_date("ts").alias("day")).write.partitionBy("day").parquet(path)
     listing = sink.file_listing(t.spark, path, "*.parquet")
-    done = listing.where(F.crc32("path") % 2 == 0).select("path", "mtime")
-    return sink.pending_files(listing, done)
+    day = F.to_date(F.regexp_extract("path", r"day=(\d{4}-\d{2}-\d{2})", 1))
+    done = listing.where(F.day(day) % 3 == 0).select("path", "mtime")
+    return sink.pending_files(listing, done).select(day.alias("day")).distinct()
 
 
 @query(

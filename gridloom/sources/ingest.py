@@ -5,8 +5,10 @@ from __future__ import annotations
 import logging
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.functions import parse
 from gridloom.operators.quality import snake
@@ -19,14 +21,46 @@ NUMBER_SHARE = 0.8
 DATE_WORDS = ("date", "time", "datetime", "settlement", "start", "end", "period")
 
 
-def read_text_csv(spark: SparkSession, paths: str | Sequence[str], header: bool = True) -> DataFrame:
-    """All columns as strings, malformed lines left out."""
-    reader = spark.read.option("header", header).option("mode", "DROPMALFORMED").option("inferSchema", False)
-    return reader.csv(paths if isinstance(paths, str) else list(paths))
+CORRUPT = "_corrupt_line"
+
+
+def read_text_csv(
+    spark: SparkSession, paths: str | Sequence[str], header: bool = True, columns: Sequence[str] | None = None,
+    multi_line: bool = False, encoding: str = "UTF-8",
+) -> DataFrame:
+    """All columns as strings. Lines with too few fields get nulls at the end, lines with too many are left out.
+
+    Names come from the header line (blanks around them removed) or from ``columns``. Blanks before a field are dropped. The
+    fields of a line are counted whatever columns are asked for, so a count and the rows always agree. ``multi_line`` reads
+    line breaks inside quotes.
+    """
+    paths = paths if isinstance(paths, str) else list(paths)
+    reader = spark.read.option("header", header).option("multiLine", multi_line).option("encoding", encoding).option("escape", '"')
+    if columns is None:
+        columns = [c.strip() for c in reader.csv(paths).columns]
+    schema = StructType([StructField(c, StringType()) for c in [*columns, CORRUPT]])
+    lines = (
+        reader.schema(schema)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .option("columnPruning", False)
+        .option("enforceSchema", True)
+        .option("ignoreLeadingWhiteSpace", True)
+        .csv(paths)
+    )
+    # A quoted field counts as one, whatever it holds.
+    bare = F.regexp_replace(CORRUPT, r'"([^"]|"")*"', "")
+    extra = F.length(F.regexp_replace(bare, "[^,]", "")) - (len(columns) - 1)
+    # The first column is named so that the reader never has the damaged lines alone to deliver.
+    fits = F.coalesce(extra, F.length(F.col(f"`{columns[0]}`")) * 0, F.lit(0)) <= 0
+    return lines.where(fits).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def signal_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Two-column frequency files, with or without a header; a header row is a bad row and is dropped."""
+    """Two-column frequency files, with or without a header; a header row is a bad row and is dropped.
+
+    Fields beyond the second are ignored.
+    """
     raw = (
         spark.read.schema("Date string, Value string")
         .option("header", False)
@@ -64,19 +98,22 @@ def unexpected_columns(raw: DataFrame, contract: Mapping[str, str]) -> list[str]
 
 
 def aliased_cost(raw: DataFrame, date: str, names: Sequence[str], name: str) -> DataFrame:
-    """Cost under whichever of several names is there; rows without date or cost dropped, by date."""
-    have = [c for c in names if c in raw.columns]
-    cost = F.coalesce(*[parse.number(c) for c in have]) if have else F.lit(None).cast("double")
+    """Cost under the first of several names that is there; rows without date or cost dropped, by date."""
+    have = next((c for c in names if c in raw.columns), None)
+    cost = F.lit(None).cast("double") if have is None else parse.number(have)
     typed = raw.select(parse.date_multi(date).alias("DatetimeUTC"), cost.alias(name))
     return typed.na.drop().sort("DatetimeUTC")
 
 
 def chunk_paths(spark: SparkSession, folder: str, chunks: str, whole: str) -> str:
     """The chunk pattern when any chunk exists, else the single old file."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    pattern = hadoop.Path(f"{folder}/{chunks}")
-    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
-    return f"{folder}/{chunks}" if found is not None and len(found) else f"{folder}/{whole}"
+    try:
+        spark.read.text(f"{folder}/{chunks}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return f"{folder}/{whole}"
+    return f"{folder}/{chunks}"
 
 
 def all_double(raw: DataFrame, ts: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,23 +13,36 @@ from gridloom.functions.features import year_week
 from gridloom.functions.parse import iso_z
 
 
-def write_year_week(df: DataFrame, path: str, ts: str) -> None:
-    """Snappy Parquet under year=/week=; a rerun replaces only the partitions it has rows for.
+def write_year_week(
+    df: DataFrame, path: str, ts: str | None, source: str, database: str = "unknown", fallback_year: str | int | None = None
+) -> None:
+    """Snappy Parquet under database=/year=/week=/source=; a rerun replaces only what this source wrote before.
 
-    Rebalancing by the keys keeps the file count near the partition count, and lets the adaptive
-    planner split a week that holds far more rows than the others.
+    ``source`` names the input (a file, say), so inputs that meet in one week stand side by side. Rows without a time go to
+    year ``unknown``, week ``00``; an input without any goes to ``fallback_year``. Rebalancing by the keys keeps the
+    file count near the partition count, and lets the adaptive planner split a week that holds far more rows than the others.
     """
+    nowhere = {"year": F.lit("unknown"), "week": F.lit("00")}
+    if ts is None or df.where(F.col(ts).isNotNull()).isEmpty():
+        keys = nowhere | ({} if fallback_year is None else {"year": F.lit(str(fallback_year))})
+    else:
+        keys = {name: F.coalesce(column, nowhere[name]) for name, column in year_week(ts).items()}
     (
-        df.withColumns(year_week(ts))
+        df.withColumns({"database": F.lit(slug_text(database)), **keys, "source": F.lit(slug_text(source))})
         .hint("rebalance", "year", "week")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
-        .partitionBy("year", "week")
+        .partitionBy("database", "year", "week", "source")
         .parquet(path)
     )
 
 
+def slug_text(name: str) -> str:
+    """A name that is safe as a folder."""
+    return re.sub(r"[^A-Za-z0-9._-]+", "_", name.strip()) or "unknown"
+
+
 def read_year_week(spark: SparkSession, path: str) -> DataFrame:
     """Read back with the keys as text, so that ``01`` stays ``01``."""
     inferred = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")

@@ -90,13 +90,67 @@ def test_iso_year_edges(spark, tmp_path):
     days = [dt.datetime(2024, 12, 30), dt.datetime(2021, 1, 3), None]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "i int, d timestamp")
     path = str(tmp_path / "w")
-    sink.write_year_week(df, path, "d")
+    sink.write_year_week(df, path, "d", "a.csv")
     got = {r["i"]: (r["year"], r["week"]) for r in sink.read_year_week(spark, path).collect()}
     assert got == {0: ("2024", "01"), 1: ("2021", "53"), 2: ("unknown", "00")}
-    sink.write_year_week(df.where("i = 0"), path, "d")
+    sink.write_year_week(df.where("i = 0"), path, "d", "a.csv")
     assert sink.read_year_week(spark, path).count() == 3
 
 
+def test_sources_of_one_week_stand_side_by_side(spark, tmp_path):
+    path = str(tmp_path / "w")
+    july = spark.createDataFrame([(1, dt.datetime(2024, 7, 30))], "i int, d timestamp")
+    august = spark.createDataFrame([(2, dt.datetime(2024, 8, 1)), (3, dt.datetime(2024, 8, 2))], "i int, d timestamp")
+    for rows, source in ((july, "f-2024-7.csv"), (august, "f-2024-8.csv"), (august, "f-2024-8.csv"), (july, "f-2024-7.csv")):
+        sink.write_year_week(rows, path, "d", source, "NESO data")
+    back = sink.read_year_week(spark, path)
+    assert sorted(r["i"] for r in back.collect()) == [1, 2, 3]
+    assert {(r["week"], r["database"]) for r in back.collect()} == {("31", "NESO_data")}
+
+
+@pytest.mark.parametrize("ts", [None, "d"])
+def test_fallback_year(spark, tmp_path, ts):
+    df = spark.createDataFrame([(1, None)], "i int, d timestamp")
+    sink.write_year_week(df, str(tmp_path / "w"), ts, "x", fallback_year=2019)
+    assert [(r["year"], r["week"]) for r in sink.read_year_week(spark, str(tmp_path / "w")).collect()] == [("2019", "00")]
+
+
+def test_csv_lines_of_all_lengths(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('a, b ,c\n1,2,3\n4,5\n6\n7,8,9,10\n"x,y", "q""z",3\n,,\n')
+    raw = ingest.read_text_csv(spark, str(tmp_path / "f.csv"))
+    assert raw.columns == ["a", "b", "c"]
+    want = [("1", "2", "3"), ("4", "5", None), ("6", None, None), ("x,y", 'q"z', "3"), (None, None, None)]
+    assert sorted(map(tuple, raw.collect()), key=str) == sorted(want, key=str)
+    assert raw.count() == len(want) == raw.select("a").count() == len(raw.select("c").collect())
+    (tmp_path / "m.csv").write_text('a,b\n1,"two\nlines"\n3,4\n')
+    assert ingest.read_text_csv(spark, str(tmp_path / "m.csv"), multi_line=True).count() == 2
+    (tmp_path / "l.csv").write_bytes("a,b\n1,caf\xe9\n".encode("latin-1"))
+    assert ingest.read_text_csv(spark, str(tmp_path / "l.csv"), encoding="ISO-8859-1").first()["b"] == "café"
+
+
+def test_chunks_or_the_whole_file(spark, tmp_path):
+    (tmp_path / "whole.csv").write_text("timestamp,x\n")
+    assert ingest.chunk_paths(spark, str(tmp_path), "part_*.csv", "whole.csv").endswith("whole.csv")
+    (tmp_path / "part_1.csv").write_text("timestamp,x\n")
+    assert ingest.chunk_paths(spark, str(tmp_path), "part_*.csv", "whole.csv").endswith("part_*.csv")
+
+
+@pytest.mark.parametrize("text, want", [
+    ("2024-01-02T03:04:05.123Z", dt.datetime(2024, 1, 2, 3, 4, 5, 123000)),
+    ("2024-01-02 03:04:05.5", dt.datetime(2024, 1, 2, 3, 4, 5, 500000)),
+    ("1/2/2024 03:04:05", dt.datetime(2024, 2, 1, 3, 4, 5)),
+    ("2024-01-02T03:04", dt.datetime(2024, 1, 2, 3, 4)),
+    ("2024-01-02T03:04:05+0000", dt.datetime(2024, 1, 2, 3, 4, 5)),
+    ("2024-01-02 05:04:05 +0200", dt.datetime(2024, 1, 2, 3, 4, 5)),
+    ("01-Feb-2024", dt.datetime(2024, 2, 1)), ("1-feb-2024", dt.datetime(2024, 2, 1)),
+    ("2024/1/2", dt.datetime(2024, 1, 2)), ("3-4-2024", dt.datetime(2024, 4, 3)),
+    ("12", None), ("2024-13-02", None), ("nothing", None), ("", None),
+])
+def test_general_timestamps(spark, text, want):
+    got = one(spark, parse.timestamp_multi("v").cast("timestamp_ntz"), text)
+    assert got == want
+
+
 def test_append_is_idempotent_and_header_grows(spark, tmp_path):
     path = str(tmp_path / "h")
     first = spark.createDataFrame([("1", "a"), ("1", " a "), ("2", "b")], "x string, y string")

@@ -50,6 +50,6 @@ def test_partition_filter_prunes_files(spark, tmp_path):
 
     path = str(tmp_path / "weeks")
     t = Tables(spark, FOLDER)
-    sink.write_year_week(t.lineitem.select("l_orderkey", "l_shipdate"), path, "l_shipdate")
+    sink.write_year_week(t.lineitem.select("l_orderkey", "l_shipdate"), path, "l_shipdate", "lines")
     text = plan(scan.scan_years(sink.read_year_week(spark, path).withColumn("y", F.col("year")), [1996], "year"))
     assert "PartitionFilters: [" in text and "year" in text.split("PartitionFilters: [")[1][:80]
