@@ -204,7 +204,7 @@ def nearest_row(df: DataFrame, ts: str, instant: str) -> DataFrame:
     return df.orderBy(F.abs(micros(ts) - F.unix_micros(at)), F.col(ts).desc()).limit(1)
 
 
-def context_rows(df: DataFrame, ts: str, instant: str, rows: int = 8) -> DataFrame:
+def context_rows(df: DataFrame, ts: str, instant: str, rows: int) -> DataFrame:
     """``rows`` rows centred on the row nearest to an instant, shifted inward at the ends.
 
     Two top-k reads either side of the instant are enough; nothing else leaves the executors.

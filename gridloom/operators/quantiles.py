@@ -1,9 +1,9 @@
 """Exact interpolated quantiles whose memory need does not grow with the table.
 
-The built-in exact percentile keeps every distinct value of a group in one task. Up to
-``DIRECT_ROWS`` that is the fastest way. Beyond it a sketch brackets each wanted rank; only the
-distinct values inside the brackets are counted, ranked by a (spilling) window, and the two
-neighbours of the rank are interpolated. The result is the same number.
+The built-in exact percentile keeps every distinct value of a group in one task. Here a sketch
+brackets each wanted rank; only the distinct values inside the brackets are counted, ranked by a
+(spilling) window, and the two neighbours of the rank are interpolated. The result is the same
+number, and the plan is the same at every size.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 500_000
 _ACCURACY = 100_000
+#: Half widths of the brackets, narrowest first, and the group size from which each surely holds both neighbours of the rank
+#: (one part in n, and the error of the sketch). Smaller groups are looked at whole.
+_SPREADS = tuple((s, int(1 / (s - 4.0 / _ACCURACY)) + 2) for s in (8e-5, 2e-3, 0.2))
 
 
 def quantiles(
@@ -24,27 +26,13 @@ def quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     by: Sequence[str] = (),
-    direct_rows: int | None = None,
-    at_most: int | None = None,
 ) -> DataFrame:
-    """One row per group (one row at all without ``by``) with a column per quantile.
-
-    ``at_most`` is a bound on the rows where the caller knows one; else they are counted.
-    """
+    """One row per group with values (one row at all without ``by``), a column per quantile."""
     rows = df.select(*by, value.cast("double").alias("_v")).where("_v is not null")
-    limit = DIRECT_ROWS if direct_rows is None else direct_rows
-    if (rows.count() if at_most is None else at_most) <= limit:
-        array = F.percentile("_v", list(probs))
-        return rows.groupBy(*by).agg(array.alias("_q")).select(*by, *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(names)])
-    return _bracketed(rows, probs, names, by)
-
-
-def _bracketed(rows: DataFrame, probs: Sequence[float], names: Sequence[str], by: Sequence[str]) -> DataFrame:
     if len(probs) > 30:
         raise ValueError("at most 30 quantiles at once")
-    spread = 4.0 / _ACCURACY
-    lows = ",".join(f"{max(0.0, p - spread):.12f}D" for p in probs)
-    highs = ",".join(f"{min(1.0, p + spread):.12f}D" for p in probs)
+    lows = ",".join(f"{max(0.0, p - s):.12f}D" for s, _ in _SPREADS for p in probs)
+    highs = ",".join(f"{min(1.0, p + s):.12f}D" for s, _ in _SPREADS for p in probs)
     whole = rows if by else rows.withColumn("_all", F.lit(0))
     keys = list(by) or ["_all"]
     marks = whole.groupBy(*keys).agg(
@@ -54,12 +42,24 @@ def _bracketed(rows: DataFrame, probs: Sequence[float], names: Sequence[str], by
         F.expr(f"percentile_approx(_v, array({lows}), {_ACCURACY})").alias("_lo"),
         F.expr(f"percentile_approx(_v, array({highs}), {_ACCURACY})").alias("_hi"),
     )
+
+    def edge(found: str, end: str, i: int, sign: int) -> Column:
+        """The bracket's end: of the narrowest spread that is wide enough for the group's size, or the group's own end."""
+        out = F.col(end)
+        for level in range(len(_SPREADS) - 1, -1, -1):
+            spread, least = _SPREADS[level]
+            if 0 < probs[i] + sign * spread < 1:
+                out = F.when(F.col("_n") >= least, F.get(found, F.lit(level * len(probs) + i))).otherwise(out)
+            else:
+                out = F.when(F.col("_n") >= least, F.col(end)).otherwise(out)
+        return out
+
     ranks = [
         F.struct(
             F.lit(i).alias("i"),
             ((F.col("_n") - 1) * F.lit(float(p))).alias("at"),
-            F.when(F.lit(p - spread <= 0), F.col("_min")).otherwise(F.get("_lo", F.lit(i))).alias("lo"),
-            F.when(F.lit(p + spread >= 1), F.col("_max")).otherwise(F.get("_hi", F.lit(i))).alias("hi"),
+            edge("_lo", "_min", i, -1).alias("lo"),
+            edge("_hi", "_max", i, 1).alias("hi"),
         )
         for i, p in enumerate(probs)
     ]
@@ -103,11 +103,8 @@ def quantile_values(df: DataFrame, value: Column, probs: Sequence[float]) -> lis
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
     """Median of each column, all of them in the same passes."""
-    if df.count() <= DIRECT_ROWS:
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns]).first()
-        return {c: row[c] for c in columns}
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "v")
-    found = {r["column"]: r["m"] for r in quantiles(long, F.col("v"), [0.5], ["m"], ["column"], 0).collect()}
+    found = {r["column"]: r["m"] for r in quantiles(long, F.col("v"), [0.5], ["m"], ["column"]).collect()}
     return {c: found.get(c) for c in columns}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.quantiles import DIRECT_ROWS, medians, quantiles
+from gridloom.operators.quantiles import medians, quantiles
 from gridloom.operators.timeorder import micros, ordered, plan_slices
 from gridloom.session import settle
 
@@ -66,7 +66,6 @@ def bucket_targets(
     stepped = ordered(framed, ts, 1, build, tie, ["bucket"], slices)
     v = F.col(value)
     rows = F.count(F.lit(1))
-    small = slices.rows <= DIRECT_ROWS
     grouped = stepped.groupBy("bucket").agg(
         F.avg(v).alias("freq_mean"),
         F.stddev_samp(v).alias("freq_std"),
@@ -77,11 +76,9 @@ def bucket_targets(
         F.avg(((v < low) | (v > high)).cast("int")).alias("outside_share"),
         F.when(rows > 1, F.max("_diff")).alias("rocof_abs_max"),
         rows.alias("_rows"),
-        *([F.percentile("_diff", 0.95).alias("_p95")] if small else []),
     )
-    if not small:
-        tail = quantiles(stepped, F.col("_diff"), [0.95], ["_p95"], ["bucket"], at_most=slices.rows)
-        grouped = grouped.join(tail, "bucket", "left")
+    tail = quantiles(stepped, F.col("_diff"), [0.95], ["_p95"], ["bucket"])
+    grouped = grouped.join(tail, "bucket", "left")
     return grouped.withColumn("rocof_abs_p95", F.when(F.col("_rows") > 2, F.col("_p95"))).drop("_rows", "_p95")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.quantiles import DIRECT_ROWS, quantile_values, quantiles
+from gridloom.operators.quantiles import quantile_values, quantiles
 from gridloom.operators.timeorder import SLICE, range_ordered, running_total, seconds_between
 from gridloom.operators.windows import rolling_std, sample_durations, with_difference
 
@@ -348,7 +348,7 @@ def drop_sparse(df: DataFrame, share: float = 0.98) -> DataFrame:
 
 
 def select_targets(
-    df: DataFrame, candidates: Sequence[str], min_ratio: float = 0.35, max_targets: int = 24, min_joint_rows: int = 0
+    df: DataFrame, candidates: Sequence[str], min_ratio: float = 0.35, max_targets: int | None = None, min_joint_rows: int = 0
 ) -> DataFrame:
     """Varying columns with enough values, best covered first; the sparsest leave until enough
     rows are complete. One pass counts the complete rows of every shortened list."""
@@ -375,13 +375,14 @@ def select_targets(
 
 
 def select_features(
-    df: DataFrame, candidates: Sequence[str], min_ratio: float, fallback: int = 32, cap: int = 512
+    df: DataFrame, candidates: Sequence[str], min_ratio: float, fallback: int | None = None, cap: int | None = None
 ) -> DataFrame:
-    """Columns covered well enough; the best ``fallback`` when none is; at most ``cap``."""
+    """Columns covered well enough; the best ``fallback`` (or all) when none is; at most ``cap`` where one is given."""
     rows = coverage(df, candidates)
     good = rows.where(F.col("ratio") >= min_ratio)
     order = [F.col("ratio").desc(), F.col("position")]
-    picked = good.orderBy(*order).limit(cap) if good.limit(1).count() else rows.orderBy(*order).limit(fallback)
+    chosen, most = (good, cap) if good.limit(1).count() else (rows, fallback)
+    picked = chosen.orderBy(*order) if most is None else chosen.orderBy(*order).limit(most)
     return picked.select("column", "known", "ratio")
 
 
@@ -390,15 +391,12 @@ def rate_summary(
     rate: str = "rocof_hz_per_s",
     ts: str = "rocof_timestamp",
     matched: str | None = None,
-    at_most: int | None = None,
 ) -> DataFrame:
     """Rows, match rate, bounds, and mean/std/p95/max of the rate."""
     hit = F.count(matched) if matched else F.lit(0).cast("bigint")
     size = F.abs(F.col(rate))
     rows = F.count(F.lit(1))
-    small = at_most is not None and at_most <= DIRECT_ROWS
     moments = df.agg(
-        *([F.percentile(size, 0.95).alias("rocof_abs_p95")] if small else []),
         rows.alias("rows"),
         hit.alias("matched_rows"),
         F.when(rows > 0, hit / rows).otherwise(0.0).alias("match_rate"),
@@ -408,8 +406,6 @@ def rate_summary(
         F.stddev_samp(rate).alias("rocof_std"),
         F.max(size).alias("rocof_abs_max"),
     )
-    if small:
-        return moments
     return moments.withColumn("rocof_abs_p95", F.lit(quantile_values(df.select(rate), size, [0.95])[0]).cast("double"))
 
 
@@ -427,21 +423,26 @@ def regression_metrics(df: DataFrame, truth: str, guess: str, by: Sequence[str]
     return scored.withColumn("r2", r2).drop("_sse", "_sst")
 
 
-def cadence(df: DataFrame, site: str, ts: str, sites: int = 12, steps: int = 20) -> DataFrame:
-    """Bucket period from the median positive step of the first rows of the first sites.
+def cadence(df: DataFrame, site: str, ts: str, sites: int | None = None, steps: int | None = None) -> DataFrame:
+    """Bucket period from the median positive step between neighbouring rows of a site.
 
-    Reading only the head of each site keeps the window tiny however long a site is.
+    All sites and steps count; ``sites`` and ``steps`` restrict them to the first ones. Rows are sorted by (site, time) in
+    range partitions, so a site of any length is spread out; each partition borrows the last row before it.
     """
-    first_sites = [r[0] for r in df.select(site).distinct().orderBy(site).limit(sites).collect()]
-    head = Window.partitionBy(site).orderBy(ts)
-    some = (
-        df.where(F.col(site).isin(first_sites))
-        .select(site, ts)
-        .withColumn("_n", F.row_number().over(head))
-        .where(F.col("_n") <= steps + 1)
-    )
-    stepped = some.withColumn("step", seconds_between(F.lag(ts).over(head), ts)).where("step > 0")
-    median = stepped.agg(F.percentile("step", 0.5).alias("median_s"))
+    rows = df.select(F.col(site).alias("_site"), F.col(ts).alias("_ts")).where("_ts is not null and _site is not null")
+    if sites is not None:
+        rows = rows.join(rows.select("_site").distinct().orderBy("_site").limit(sites), "_site", "left_semi")
+    if steps is not None:
+        head = Window.partitionBy("_site").orderBy("_ts")
+        rows = rows.withColumn("_n", F.row_number().over(head)).where(F.col("_n") <= steps + 1).drop("_n")
+    placed = range_ordered(rows, ["_site", "_ts"])
+    here = F.struct("_site", "_ts")
+    ends = placed.groupBy(SLICE).agg(F.max_by(here, "_local").alias("_end"))
+    ends = ends.select(SLICE, F.lag("_end").over(Window.orderBy(SLICE)).alias("_carried"))
+    before = F.coalesce(F.lag(here).over(Window.partitionBy(SLICE).orderBy("_local")), "_carried")
+    stepped = placed.join(F.broadcast(ends), SLICE).withColumn("_before", before).where("_before._site = _site")
+    stepped = stepped.select(seconds_between("_before._ts", "_ts").alias("step")).where("step > 0")
+    median = df.sparkSession.range(1).select(F.lit(quantile_values(stepped, F.col("step"), [0.5])[0]).cast("double").alias("median_s"))
     # Limits and periods in seconds.
     period = (
         F.when(F.col("median_s").isNull(), 1800)

@@ -28,7 +28,7 @@ ROWS_PER_SLICE = 2_000_000
 MAX_SLICES = 8192
 _FIRST_SKETCH = 1024
 _SMALL_SLICE = 500
-_CROWD_SHARE = 0.02
+_FEW_SLICES = 8
 _MID_BITS = 33
 
 
@@ -120,15 +120,14 @@ def plan_slices(
     tie = _numeric(df, tie)
     whole = df.select(key.alias("_k")) if axis is None else axis
     rows, marks = _sketch(whole, F.col("_k"), _FIRST_SKETCH)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    wanted = max(-(-rows // target), min(cores, rows // _SMALL_SLICE), 1)
+    wanted = max(-(-rows // target), min(_FEW_SLICES, rows // _SMALL_SLICE), 1)
     wanted = min(wanted, MAX_SLICES)
     if wanted > _FIRST_SKETCH:
         _, marks = _sketch(whole, F.col("_k"), wanted)
     elif marks:
         marks = [marks[(i * _FIRST_SKETCH) // wanted - 1] for i in range(1, wanted)]
     seen = Counter(marks)
-    crowds = [v for v, c in seen.items() if c >= max(2, len(marks) * _CROWD_SHARE)] if tie else []
+    crowds = [v for v, c in seen.items() if c >= 2] if tie else []
     cuts = tuple(sorted(set(marks) | {v + 1 for v in crowds}))
     crowded = []
     if crowds:

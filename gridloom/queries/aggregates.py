@@ -467,9 +467,7 @@ def file_totals(t: Tables) -> DataFrame:
 
 @query(
     "cadence",
-    """WITH s AS (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 12),
-       n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events WHERE user_id IN (SELECT user_id FROM s)),
-       d AS (SELECT (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6 AS step FROM n WHERE rn <= 21),
+    """WITH d AS (SELECT (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts))) / 1e6 AS step FROM events),
        m AS (SELECT quantile_cont(step, 0.5) AS m FROM d WHERE step > 0)
        SELECT round(m, 6) AS median_s, CASE WHEN m IS NULL THEN 1800 WHEN m <= 2700 THEN 1800 WHEN m <= 5400 THEN 3600
          WHEN m <= 21600 THEN 21600 WHEN m <= 43200 THEN 43200 ELSE 86400 END AS period_s FROM m""",

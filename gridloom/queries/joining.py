@@ -86,7 +86,7 @@ def asof_by_site(t: Tables) -> DataFrame:
     """SELECT ts, event_id, value FROM events ORDER BY abs(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-15 12:00:00')), ts DESC LIMIT 1""",
 )
 def nearest_one(t: Tables) -> DataFrame:
-    return asof.nearest_row(t.signal(), "ts", "2024-01-15 12:00:00")
+    return asof.nearest_row(t.signal(), "ts", "2024-01-15 12:00:00", 8)
 
 
 def _one(kind: str) -> str:
@@ -170,6 +170,6 @@ def anti_join(t: Tables) -> DataFrame:
        SELECT ts, event_id, value, CAST(pos - s AS INTEGER) AS rank FROM r, s WHERE pos >= s AND pos < s + 8""",
 )
 def context_rows(t: Tables) -> DataFrame:
-    return asof.context_rows(t.signal(), "ts", "2024-01-15 12:00:00")
+    return asof.context_rows(t.signal(), "ts", "2024-01-15 12:00:00", 8)
 
 

@@ -52,11 +52,12 @@ def stream_seek(t: Tables) -> DataFrame:
 @query(
     "stream_tumbling",
     """SELECT bucket, user_id, ts, value FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS bucket, user_id, ts, value,
-         row_number() OVER (PARTITION BY time_bucket(INTERVAL 6 HOUR, ts), user_id ORDER BY ts DESC) AS rn FROM events) WHERE rn = 1""",
+         row_number() OVER (PARTITION BY time_bucket(INTERVAL 6 HOUR, ts), user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
 )
 def stream_tumbling(t: Tables) -> DataFrame:
-    stream = open_feed(t, stamped(t.events.select("ts", "user_id", "value")))
-    out = feed.run_to_end(monitor.latest_per_bucket(stream, "ts", "user_id", ["value"], "6 hours"), "tumbling")
+    stream = open_feed(t, stamped(t.events.select("ts", "user_id", "value", "event_id")))
+    newest = monitor.latest_per_bucket(stream, "ts", "user_id", ["value"], "6 hours", tie=["event_id"])
+    out = feed.run_to_end(newest, "tumbling")
     return naive(out, "bucket", "ts")
 
 

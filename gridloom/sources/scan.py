@@ -67,17 +67,17 @@ def first_named(df: DataFrame, names: Sequence[str]) -> str | None:
 
 
 def snapshot(
-    df: DataFrame, preferred: Sequence[str], year: int, max_columns: int = 8, time_columns: Sequence[str] = TIME_COLUMNS
+    df: DataFrame, preferred: Sequence[str], year: int, max_columns: int | None = None, time_columns: Sequence[str] = TIME_COLUMNS
 ) -> DataFrame:
-    """Time column, the preferred columns and others up to ``max_columns`` in all; rows within a
-    year of ``year``."""
+    """Time column, the preferred columns and the others (up to ``max_columns`` in all where given); rows
+    within a year of ``year``."""
     ts = first_named(df, time_columns)
     if ts is None:
         raise ValueError("no time column")
     rest = [c for c in df.columns if c != ts]
     shown = [c for c in preferred if c in rest]
     others = [c for c in rest if c not in shown]
-    shown += others[: max(0, max_columns - 1 - len(shown))]
+    shown += others if max_columns is None else others[: max(0, max_columns - 1 - len(shown))]
     near = scan_range(df, ts, f"{year - 1}-01-01 00:00:00", f"{year + 1}-12-31 23:59:59.999999")
     return near.select(F.col(ts).alias("timestamp"), *shown)
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def latest_per_bucket(
-    stream: DataFrame, ts: str, site: str, columns: Sequence[str], period: str = "30 minutes", delay: str = "1 hour"
+    stream: DataFrame, ts: str, site: str, columns: Sequence[str], period: str = "30 minutes", delay: str = "1 hour",
+    tie: Sequence[str] = (),
 ) -> DataFrame:
-    """Newest row of each site in each bucket.
+    """Newest row of each site in each bucket; of equal times the one with the greatest ``tie`` columns.
 
     No filter on the site here: the optimiser would move it below the watermark, and rows it
     drops would no longer advance time.
@@ -20,7 +21,7 @@ def latest_per_bucket(
     newest = (
         stream.withWatermark(ts, delay)
         .groupBy(F.window(ts, period), F.col(site))
-        .agg(F.max_by(row, F.col(ts)).alias("row"))
+        .agg(F.max_by(row, F.struct(ts, *tie)).alias("row"))
     )
     return newest.select(F.col("window.start").alias("bucket"), site, "row.*")
 

@@ -113,7 +113,7 @@ def test_nearest_row_and_context(spark):
     assert nearest_row(df, "ts", "2024-01-01 00:00:50").first()["n"] == 1
     for second, first in ((0, 0), (1500, 11), (2900, 22), (99999, 22)):
         instant = str(BASE + pd.Timedelta(seconds=second))
-        rows = context_rows(df, "ts", instant).orderBy("rank").collect()
+        rows = context_rows(df, "ts", instant, 8).orderBy("rank").collect()
         assert [r["n"] for r in rows] == list(range(first, first + 8))
-    few = context_rows(df.where("n < 5"), "ts", "2024-01-01 00:00:00").collect()
+    few = context_rows(df.where("n < 5"), "ts", "2024-01-01 00:00:00", 8).collect()
     assert len(few) == 5

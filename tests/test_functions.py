@@ -197,19 +197,28 @@ def test_bracketed_quantiles_are_exact(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame({"k": ["hot"] * 4000 + ["cold"] * 2000, "v": np.r_[rng.normal(size=2000), np.zeros(2000), rng.normal(size=2000)]})
     probs, names = [0.0, 0.05, 0.5, 0.731, 0.95, 1.0], list("abcdef")
-    got = quantiles(spark.createDataFrame(pdf), F.col("v"), probs, names, ["k"], direct_rows=1).collect()
+    got = quantiles(spark.createDataFrame(pdf), F.col("v"), probs, names, ["k"]).collect()
     for r in got:
         want = pdf[pdf["k"] == r["k"]]["v"].quantile(probs)
         np.testing.assert_allclose([r[n] for n in names], want, rtol=1e-12, atol=1e-15)
 
 
-def test_medians_by_brackets(spark, monkeypatch):
+def test_quantiles_of_groups_of_all_sizes(spark):
+    rng = np.random.default_rng(2)
+    sizes = [1, 2, 3, 5, 8, 30, 600, 700, 3000]
+    pdf = pd.DataFrame({"k": np.repeat(sizes, sizes), "v": rng.normal(size=sum(sizes))})
+    probs, names = [0.0, 0.05, 0.5, 0.95, 1.0], list("abcde")
+    got = {r["k"]: r for r in quantiles(spark.createDataFrame(pdf), F.col("v"), probs, names, ["k"]).collect()}
+    assert len(got) == len(sizes)
+    for k in sizes:
+        np.testing.assert_allclose([got[k][n] for n in names], pdf[pdf["k"] == k]["v"].quantile(probs), rtol=1e-12, atol=1e-15)
+
+
+def test_medians_by_brackets(spark):
     from gridloom.operators import quantiles as q
 
     df = spark.range(101).select((F.col("id") * 1.5).alias("a"), F.when(F.col("id") < 4, F.col("id")).alias("b"), F.lit(None).cast("double").alias("c"))
-    direct = q.medians(df, ["a", "b", "c"])
-    monkeypatch.setattr(q, "DIRECT_ROWS", 10)
-    assert q.medians(df, ["a", "b", "c"]) == direct == {"a": 75.0, "b": 1.5, "c": None}
+    assert q.medians(df, ["a", "b", "c"]) == {"a": 75.0, "b": 1.5, "c": None}
 
 
 def test_wide_files(spark):

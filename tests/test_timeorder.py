@@ -1,5 +1,7 @@
 """Ordered operators on many small slices, with a third of the rows on one instant, against pandas."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -191,3 +193,14 @@ def test_empty_input(spark, many_slices):
     assert events.excursions(empty, tie=["id"]).count() == 0
     assert windows.fill_forward(empty, "ts", ["value"], ["id"]).count() == 0
     assert windows.rolling_stats(empty, "ts", "value", tie=["id"]).count() == 0
+
+
+def test_cadence_counts_every_site_and_step(spark):
+    from gridloom.operators.stats import cadence
+
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=(s + 1) * 600 * i)) for s in range(20) for i in range(40)]
+    got = cadence(spark.createDataFrame(rows, "site int, ts timestamp"), "site", "ts").first()
+    assert got["median_s"] == 10.5 * 600 and got["period_s"] == 21600
+    few = cadence(spark.createDataFrame(rows, "site int, ts timestamp"), "site", "ts", sites=1, steps=3).first()
+    assert few["median_s"] == 600 and few["period_s"] == 1800
+    assert cadence(spark.createDataFrame([], "site int, ts timestamp"), "site", "ts").first()["period_s"] == 1800
