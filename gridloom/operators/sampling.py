@@ -60,7 +60,8 @@ def window_slice(df: DataFrame, ts: str, seconds: float, start: str | None = Non
 
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """n rows chosen by a seeded hash of the key: repeatable whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in key]), *key).limit(n)
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
+    return df.orderBy(drawn, *key).limit(n)
 
 
 def chronological_split(df: DataFrame, order: Sequence[str], share: float = 0.8) -> DataFrame:

@@ -167,7 +167,7 @@ def window_slice(t: Tables) -> DataFrame:
     return sampling.window_slice(t.signal(), "ts", 86400, "2024-01-07 06:00:00")
 
 
-@query("sample_n")
+@query("sample_n", "SELECT ts, event_id, value FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 1000")
 def sample_n(t: Tables) -> DataFrame:
     return sampling.sample_rows(t.signal(), 1000, ["event_id"])
 

@@ -9,7 +9,7 @@ from gridloom.functions import parse
 from gridloom.operators import sampling, sets
 from gridloom.queries.registry import Tables, query
 from gridloom.session import scratch_path
-from gridloom.sources import ingest, scan, sink
+from gridloom.sources import convert, ingest, scan, sink
 
 
 def by_year(t: Tables) -> DataFrame:
@@ -227,6 +227,31 @@ def incremental_files(t: Tables) -> DataFrame:
     return sink.pending_files(listing, done).select(day.alias("day")).distinct()
 
 
+@query(
+    "convert_files",
+    """SELECT CAST(user_id % 7 AS VARCHAR) AS part, count(*) AS rows, CAST(count(*) FILTER (WHERE user_id % 7 < 3) > 0 AS BOOLEAN) AS newer,
+         max(value) AS max_value FROM events GROUP BY 1""",
+)
+def convert_files(t: Tables) -> DataFrame:
+    """Conversion of CSV files, run again when nothing is new, and once more for added files."""
+    folder, out, manifest = (scratch_path(t.spark, n) for n in ("incoming", "converted", "manifest"))
+    text = t.events.select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("value").alias("x"), (F.col("user_id") % 7).alias("part"))
+
+    def typed(raw: DataFrame) -> DataFrame:
+        # The folder a file lies in names its part.
+        part = F.regexp_extract(convert.SOURCE, r"part=(\d+)/", 1)
+        stamp = parse.timestamp_multi("timestamp").alias("timestamp")
+        return raw.select(stamp, parse.plain_number("x").alias("x"), part.alias("part"), convert.SOURCE).na.drop(subset=["timestamp"])
+
+    for condition in ("part >= 3", None, "part < 3"):
+        if condition:
+            text.where(condition).write.mode("append").partitionBy("part").option("header", True).csv(folder)
+        convert.convert_pending(t.spark, folder, out, manifest, typed, "timestamp")
+    return sink.read_year_week(t.spark, out).groupBy("part").agg(
+        F.count(F.lit(1)).alias("rows"), (F.min(F.col("part").cast("int")) < 3).alias("newer"), F.max("x").alias("max_value"))
+
+
 @query(
     "union_missing_cols",
     """SELECT ts, value AS nd, NULL::BIGINT AS users FROM events WHERE event_type = 'click'

@@ -26,13 +26,13 @@ CORRUPT = "_corrupt_line"
 
 def read_text_csv(
     spark: SparkSession, paths: str | Sequence[str], header: bool = True, columns: Sequence[str] | None = None,
-    multi_line: bool = False, encoding: str = "UTF-8",
+    multi_line: bool = False, encoding: str = "UTF-8", file_col: str | None = None,
 ) -> DataFrame:
     """All columns as strings. Lines with too few fields get nulls at the end, lines with too many are left out.
 
     Names come from the header line (blanks around them removed) or from ``columns``. Blanks before a field are dropped. The
     fields of a line are counted whatever columns are asked for, so a count and the rows always agree. ``multi_line`` reads
-    line breaks inside quotes.
+    line breaks inside quotes; ``file_col`` adds each line's file.
     """
     paths = paths if isinstance(paths, str) else list(paths)
     reader = spark.read.option("header", header).option("multiLine", multi_line).option("encoding", encoding).option("escape", '"')
@@ -53,7 +53,8 @@ def read_text_csv(
     extra = F.length(F.regexp_replace(bare, "[^,]", "")) - (len(columns) - 1)
     # The first column is named so that the reader never has the damaged lines alone to deliver.
     fits = F.coalesce(extra, F.length(F.col(f"`{columns[0]}`")) * 0, F.lit(0)) <= 0
-    return lines.where(fits).select(*[F.col(f"`{c}`") for c in columns])
+    file = [] if file_col is None else [F.col("_metadata.file_path").alias(file_col)]
+    return lines.select("*", *file).where(fits).select(*[F.col(f"`{c}`") for c in columns], *([file_col] if file_col else []))
 
 
 def signal_csv(spark: SparkSession, path: str) -> DataFrame:

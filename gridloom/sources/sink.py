@@ -14,21 +14,22 @@ from gridloom.functions.parse import iso_z
 
 
 def write_year_week(
-    df: DataFrame, path: str, ts: str | None, source: str, database: str = "unknown", fallback_year: str | int | None = None
+    df: DataFrame, path: str, ts: str | None, source: str | Column, database: str = "unknown", fallback_year: str | int | None = None
 ) -> None:
     """Snappy Parquet under database=/year=/week=/source=; a rerun replaces only what this source wrote before.
 
-    ``source`` names the input (a file, say), so inputs that meet in one week stand side by side. Rows without a time go to
+    ``source`` names the input (a file, say, or a column that tells it), so inputs that meet in one week stand side by side. Rows without a time go to
     year ``unknown``, week ``00``; an input without any goes to ``fallback_year``. Rebalancing by the keys keeps the
     file count near the partition count, and lets the adaptive planner split a week that holds far more rows than the others.
     """
+    safe = F.lit(slug_text(source)) if isinstance(source, str) else F.regexp_replace(source, UNSAFE, "_")
     nowhere = {"year": F.lit("unknown"), "week": F.lit("00")}
     if ts is None or df.where(F.col(ts).isNotNull()).isEmpty():
         keys = nowhere | ({} if fallback_year is None else {"year": F.lit(str(fallback_year))})
     else:
         keys = {name: F.coalesce(column, nowhere[name]) for name, column in year_week(ts).items()}
     (
-        df.withColumns({"database": F.lit(slug_text(database)), **keys, "source": F.lit(slug_text(source))})
+        df.withColumns({"database": F.lit(slug_text(database)), **keys, "source": safe})
         .hint("rebalance", "year", "week")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -38,9 +39,12 @@ def write_year_week(
     )
 
 
+UNSAFE = r"[^A-Za-z0-9._-]+"
+
+
 def slug_text(name: str) -> str:
     """A name that is safe as a folder."""
-    return re.sub(r"[^A-Za-z0-9._-]+", "_", name.strip()) or "unknown"
+    return re.sub(UNSAFE, "_", name.strip()) or "unknown"
 
 
 def read_year_week(spark: SparkSession, path: str) -> DataFrame:

@@ -61,33 +61,43 @@ def seek(stream: DataFrame, ts: str, start: str) -> DataFrame:
     return stream.where((F.col("year") * 12 + F.col("month") >= month) & (F.col(ts).cast("timestamp") >= at))
 
 
-def run_to_end(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run over everything there is into a Parquet table, and read that table."""
+def run_to_end(
+    stream: DataFrame, label: str, mode: str = "append", out: str | None = None, state: str | None = None,
+    trigger: dict | None = None,
+) -> DataFrame:
+    """Run over everything there is into a Parquet table, and read that table.
+
+    Give ``out`` and ``state`` (folders) to go on where an earlier run ended, ``trigger`` for another than ``availableNow``.
+    """
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
+    out = out or scratch_path(spark, label)
     started = (
         stream.writeStream.format("parquet")
         .outputMode(mode)
         .option("path", out)
-        .option("checkpointLocation", scratch_path(spark, f"{label}-state"))
-        .trigger(availableNow=True)
+        .option("checkpointLocation", state or scratch_path(spark, f"{label}-state"))
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def run_batches(stream: DataFrame, label: str, each: Callable[[DataFrame, int, str], None]) -> str:
+def run_batches(
+    stream: DataFrame, label: str, each: Callable[[DataFrame, int, str], None], out: str | None = None,
+    state: str | None = None, trigger: dict | None = None,
+) -> str:
     """Run ``each(batch, batch_id, folder)`` over all micro-batches; returns the folder.
 
-    A batch that is retried must write the same place again, see :func:`batch_path`.
+    A batch that is retried must write the same place again, see :func:`batch_path`. Folders and trigger as for
+    :func:`run_to_end`.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, label)
+    out = out or scratch_path(spark, label)
     started = (
         stream.writeStream.foreachBatch(lambda batch, batch_id: each(batch, batch_id, out))
-        .option("checkpointLocation", scratch_path(spark, f"{label}-state"))
-        .trigger(availableNow=True)
+        .option("checkpointLocation", state or scratch_path(spark, f"{label}-state"))
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
     started.awaitTermination()
