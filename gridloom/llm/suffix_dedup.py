@@ -8,8 +8,10 @@ Passes go from coarse to fine, and a group of one suffix drops out:
 2. Second digit: the whole segment. Segments seen twice are repeated throughout; one of them stays as a partner.
 3. The other segments of a gram meet in one task, where their suffixes are sorted digit by digit (``DIGIT`` bytes each,
    compared by hash) through ``width`` bytes.
-4. Grams with more than ``LARGEST_GROUP`` different segments would crowd a task: their suffixes are rows of their own,
-   with all digits as one key, and Spark counts them.
+4. Grams with more than ``LARGEST_GROUP`` different segments would crowd a task. Their suffixes are taken in blocks of
+   neighbours, and Spark counts two keys of each block: the bytes that all its suffixes have in common (seen once: none of
+   them is repeated) and all their bytes (seen twice: all are). Only blocks in between are split and go on, down to single
+   suffixes.
 
 Texts are known by two hashes, so that copies of a text are one text here.
 """
@@ -88,10 +90,10 @@ def _segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, width: int) -> DataFrame:
-    """Of every wanted segment: gram, x1, x2, start, single and its bytes, or the keys of its suffixes if its gram is crowded."""
+    """Of every wanted segment: gram, x1, x2, start, single, crowded and its bytes."""
     schema = StructType([
         StructField("gram", LongType()), *TEXT, StructField("start", IntegerType()), StructField("single", BooleanType()),
-        StructField("bytes", BinaryType()), StructField("suffixes", ArrayType(LongType())),
+        StructField("crowded", BooleanType()), StructField("bytes", BinaryType()),
     ])
 
     def start():
@@ -99,15 +101,9 @@ def _contents(docs: DataFrame, width: int) -> DataFrame:
             out = {f.name: [] for f in schema}
             for x1, x2, text, wanted in zip(cols["x1"], cols["x2"], cols["text"], cols["wanted"]):
                 raw = text.encode("utf-8", "surrogatepass")
-                hashes = None
                 for w in wanted:
                     s, n = w["start"], w["n"]
-                    content, keys = raw[s : s + n - 1 + width], None
-                    if w["crowded"]:
-                        hashes = hashes or Rolling(np.frombuffer(raw, np.uint8))
-                        at = np.arange(s, s + n)
-                        content, keys = None, signed(hashes.ranges(at, at + width))
-                    for name, v in zip(out, (w["gram"], x1, x2, s, w["single"], content, keys)):
+                    for name, v in zip(out, (w["gram"], x1, x2, s, w["single"], w["crowded"], raw[s : s + n - 1 + width])):
                         out[name].append(v)
             return out
 
@@ -181,6 +177,76 @@ def _sorted_locally(segments: DataFrame, width: int) -> DataFrame:
     return rows.sortWithinPartitions("gram").mapInArrow(run, schema)
 
 
+def block_sizes(width: int) -> list[int]:
+    """Sizes of blocks of suffixes from coarse to single ones; suffixes of one block always share bytes."""
+    sizes = [1]
+    while sizes[0] * 8 <= width // 4:
+        sizes.insert(0, sizes[0] * 8)
+    return sizes
+
+
+def _block_keys(segments: DataFrame, width: int, gram: int, size: int) -> DataFrame:
+    """x1, x2, start, single, block, first, n, core, full: the blocks of each segment that lie in one of its ``open`` ranges.
+
+    Blocks are aligned to the anchor, so equal suffixes are in equal blocks. ``first`` counts suffixes from the segment's start.
+    """
+    schema = StructType([
+        *TEXT, StructField("start", IntegerType()), StructField("single", BooleanType()), StructField("first", IntegerType()),
+        StructField("n", IntegerType()), StructField("core", LongType()), StructField("full", LongType()),
+    ])
+
+    def run(batches):
+        for batch in batches:
+            parts = []
+            for x1, x2, s, single, content, ranges in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                hashes = Rolling(np.frombuffer(content, np.uint8))
+                anchor = int(anchors(hashes.windows(gram)[: width - gram + 1], width - gram + 1)[0])
+                count = len(content) - width + 1
+                at = np.arange(count)
+                if ranges is not None:
+                    inside = np.zeros(count, bool)
+                    for r in ranges:
+                        inside[r["first"] : r["first"] + r["n"]] = True
+                    at = at[inside]
+                block = (anchor - at) // size
+                edge = np.flatnonzero(np.diff(block, prepend=block[0] + 1)) if len(at) else at
+                first, last = at[edge], at[np.append(edge[1:], len(at)) - 1] if len(at) else at
+                block = block[edge]
+                # What every suffix of the whole block has, wherever this segment starts.
+                low, high = anchor - block * size, anchor - (block + 1) * size + 1 + width
+                place = (anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                full = mix(hashes.ranges(first, last + width) + place)
+                core = mix(hashes.ranges(low, high) + block.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                parts.append((np.full(len(block), x1), np.full(len(block), x2), np.full(len(block), s, np.int32), np.full(len(block), single),
+                              first.astype(np.int32), (last - first + 1).astype(np.int32), signed(core), signed(full)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=schema.names)
+
+    return segments.select("x1", "x2", "start", "single", "bytes", "open").mapInArrow(run, schema)
+
+
+def _counted(segments: DataFrame, width: int, gram: int) -> DataFrame:
+    """x1, x2, start, end of the strings found in crowded grams: no group ever meets in a task."""
+    key = ["x1", "x2", "start"]
+    nothing = F.lit(None).cast("array<struct<first:int,n:int>>")
+    todo, found = segments.withColumn("open", nothing), None
+    for size in block_sizes(width):
+        keys = settle(_block_keys(todo, width, gram, size))
+        fulls = keys.groupBy("full").agg(F.count("*").alias("seen"), F.min("x1").alias("partner"))
+        cores = keys.groupBy("core").agg((F.min("full") != F.max("full")).alias("mixed"), F.count("*").alias("sharing")).where("sharing > 1")
+        keys = keys.join(settle(cores.select("core", "mixed")), "core").join(settle(fulls.where("seen > 1")), "full", "left")
+        keys = settle(keys.select(*key, "single", "first", "n", "mixed", "seen", "partner"))
+        begin = F.col("start") + F.col("first")
+        done = keys.where("seen > 1 and single").select("x1", "x2", begin.alias("start"), (begin + F.col("n") - 1 + width).alias("end"))
+        found = done if found is None else found.union(done)
+        if size > 1:
+            # Blocks that differ under a common core are split; of equal ones a partner for the others is enough.
+            left = keys.where("mixed and (seen is null or x1 = partner)")
+            left = settle(left.groupBy(*key).agg(F.collect_list(F.struct("first", "n")).alias("open")))
+            todo = segments.join(left, key)
+    return found
+
+
 def repeated_strings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM,
     largest_group: int | None = None,
@@ -208,13 +274,12 @@ def repeated_strings(
     lists = settle(wanted.groupBy("x1", "x2").agg(F.min("id").alias("first"), F.collect_set(item).alias("wanted")))
     texts = docs.join(lists, ["x1", "x2"]).where(F.col("id").eqNullSafe(F.col("first"))).select("x1", "x2", "text", "wanted")
     contents = settle(_contents(texts, width))
-    local = _sorted_locally(contents.where("bytes is not null"), width)
-    suffixes = contents.where("suffixes is not null").select("x1", "x2", "start", "single", F.posexplode("suffixes").alias("i", "suffix"))
-    twice = settle(suffixes.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix"))
-    counted = suffixes.where("single").join(twice, "suffix").select("x1", "x2", (F.col("start") + F.col("i")).alias("start"))
-    counted = counted.select("x1", "x2", "start", (F.col("start") + width).alias("end"))
+    local = _sorted_locally(contents.where("not crowded"), width)
     resolved = marked.where("repeated").select("x1", "x2", "start", (F.col("start") + F.col("n") - 1 + width).alias("end"))
-    ranges = resolved.union(local).union(counted).groupBy("x1", "x2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    found = resolved.union(local)
+    if not contents.where("crowded").isEmpty():
+        found = found.union(_counted(contents.where("crowded"), width, gram))
+    ranges = found.groupBy("x1", "x2").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
     copies = docs.groupBy("x1", "x2").agg(F.count("*").alias("n")).where("n > 1").select("x1", "x2", F.lit(True).alias("whole"))
     return ranges.join(copies, ["x1", "x2"], "full").select("x1", "x2", F.coalesce("whole", F.lit(False)).alias("whole"), "ranges")
 
