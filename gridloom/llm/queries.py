@@ -124,3 +124,53 @@ WITH good AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+# Words as the operators split them, from whole texts.
+_WORDS_SQL = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES["op9_substring_dedup"] = f"""
+WITH docs AS (
+    SELECT doc_id, {_WORDS_SQL.format("coalesce(text, '')")} AS words FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS window_text
+    FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM docs WHERE len(words) >= 20)
+), later AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY window_text ORDER BY doc_id, i) AS n FROM windows) WHERE n > 1
+), removed AS (
+    SELECT doc_id, list(DISTINCT place) AS places FROM (SELECT doc_id, unnest(range(i, i + 20)) AS place FROM later) GROUP BY doc_id
+), split AS (
+    SELECT d.doc_id, d.words, r.places,
+           CASE WHEN r.places IS NULL THEN d.words
+                ELSE list_transform(list_filter(range(1, len(d.words) + 1), lambda k: NOT list_contains(r.places, k)), lambda k: d.words[k]) END AS kept
+    FROM docs d LEFT JOIN removed r ON d.doc_id = r.doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - len(kept) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM split
+"""
+
+ORACLES["op7_near_dedup"] = f"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, {_WORDS_SQL.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS words
+    FROM documents
+), sets AS (
+    SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS shingle
+    FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM docs WHERE len(words) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c.n >= 75 * (x.n + y.n - c.n)
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT doc_id, doc_id AS other FROM docs
+    UNION
+    SELECT r.doc_id, l.b FROM reach r JOIN both_ways l ON r.other = l.a
+), groups AS (
+    SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
+FROM docs d LEFT JOIN sizes s ON d.doc_id = s.doc_id JOIN groups g ON d.doc_id = g.doc_id
+"""
