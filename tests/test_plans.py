@@ -53,3 +53,19 @@ def test_partition_filter_prunes_files(spark, tmp_path):
     sink.write_year_week(t.lineitem.select("l_orderkey", "l_shipdate"), path, "l_shipdate", "lines")
     text = plan(scan.scan_years(sink.read_year_week(spark, path).withColumn("y", F.col("year")), [1996], "year"))
     assert "PartitionFilters: [" in text and "year" in text.split("PartitionFilters: [")[1][:80]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from gridloom.session import shared_folder
+
+    def session(master, named=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda folder: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=context)
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+        assert shared_folder(session(master, "file:///shared/")) == "file:///shared"
+    assert shared_folder(session("local[4]"))
