@@ -155,7 +155,8 @@ def _leftover_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
     """Pairs of classes of different components that could still reach the similarity; none of them is left out.
 
     Two sets over the threshold share one of the (size - least overlap + 1) rarest shingles of each, whatever order
-    rarity gives them. Shingles common to a whole group of copies come last, so they rarely take part.
+    rarity gives them, and the first one that they share leaves enough of both behind it. Shingles common to a whole group
+    of copies come last, so they rarely take part.
     """
     schema = StructType([*groups.schema, StructField("n", LongType()), StructField("shingle", LongType())])
     joined = groups.join(sets, "id").select(*groups.columns, "hashes")
@@ -176,16 +177,17 @@ def _leftover_pairs(sets: DataFrame, groups: DataFrame, percent: int) -> DataFra
     seen = items.groupBy("shingle").agg(
         F.count("*").alias("df"), (F.min("component") != F.max("component")).alias("mixed"))
     # Unique shingles are never joined back: they are first in the order, and only their number counts.
-    shared = items.join(seen.where("df > 1"), "shingle")
+    shared = items.join(settle(seen.where("df > 1")), "shingle")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
     total = F.count("*").over(Window.partitionBy("id"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
     kept = shared.select("id", "component", "n", "shingle", "mixed", (rank + F.col("n") - total).alias("rank")).where(
         (F.col("rank") <= prefix) & F.col("mixed"))
-    kept = settle(kept.select("id", "component", "n", "shingle"))
+    kept = settle(kept.select("id", "component", "n", "shingle", (F.col("n") - F.col("rank") + 1).alias("left")))
     other = kept.select(*[F.col(c).alias(f"{c}_b") for c in kept.columns])
-    met = kept.join(other, (F.col("shingle") == F.col("shingle_b")) & (F.col("component") < F.col("component_b")) & (
-        100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")))
+    # If this is the first shingle that both share, they share at most what is left of the shorter rest.
+    reachable = (100 + percent) * F.least("left", "left_b") >= percent * (F.col("n") + F.col("n_b"))
+    met = kept.join(other, (F.col("shingle") == F.col("shingle_b")) & (F.col("component") < F.col("component_b")) & reachable)
     return met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
@@ -211,17 +213,20 @@ def near_duplicates(
     firsts = linkable.join(classes.withColumnRenamed("class", id_col), [id_col, "d1", "d2", "n"], "left_semi")
     keyed = settle(firsts.select(F.col(id_col).alias("id"), F.explode("keys").alias("key")))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").select("key", "a")
-    members = settle(keyed.join(buckets, "key"))
+    members = settle(keyed.join(settle(buckets), "key"))
     pairs = settle(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("_wanted")).union(pairs.select("b")).distinct()
+    # Always by shuffle: the wanted ids grow with the table.
+    wanted = wanted.hint("merge")
     sets = settle(_sets(docs.join(wanted, F.col(id_col) == F.col("_wanted"), "left_semi"), id_col, text_col, width))
     links = settle(_verify(pairs, sets, percent))
     labels = components(links)
-    placed = members.select("id", "key").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+    # Of a bucket everything was compared with its least class; only the others can hide a link from each other.
+    placed = members.where("id <> a").select("id", "key").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "id", "key", F.coalesce("component", "id").alias("component"))
     placed = settle(placed)
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = settle(placed.join(mixed.select("key"), "key", "left_semi").select("id", "component").distinct())
+    open_ = settle(placed.join(settle(mixed.select("key")), "key", "left_semi").select("id", "component").distinct())
     if not open_.isEmpty():
         more = settle(_verify(_leftover_pairs(sets, open_, percent), sets, percent))
         if not more.isEmpty():
