@@ -11,6 +11,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from gridloom.llm.common import list_array, map_documents, worker_state
 
 #: Chunks kept per worker before the memory starts anew.
-MEMORY_CHUNKS = 700_000
+MEMORY_CHUNKS = 400_000
 NEVER = np.int64(1) << np.int64(40)
 
 
@@ -180,8 +181,12 @@ class Vocabulary:
             # Letters are lowered one by one, so a sigma at the end of a word is an ordinary one.
             text = text.replace("Σ", "σ").lower()
             found = _WORDS.findall(text)
+        elif chunk.isascii():
+            # A blank and letters are one piece, which most chunks are.
+            found = [chunk] if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else _ASCII_PIECES.findall(chunk)
+            return [w[:-1] + chr(ord(w[-1]) + self.shift) for w in found] if self.shift else found
         else:
-            found = (_ASCII_PIECES if chunk.isascii() else _PIECES).findall(chunk)
+            found = _PIECES.findall(chunk)
         out = []
         for w in found:
             own = w.encode("utf-8", "surrogatepass").decode("latin-1")
@@ -289,14 +294,16 @@ class Encoder:
             self.clear()
         cut = [self.chunks(t) if t else [] for t in texts]
         flat = [c for chunks in cut for c in chunks]
-        missing = list(set(flat) - self.code.keys())
-        if missing:
+        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(codes < 0)
+        if len(unknown):
+            missing = list(dict.fromkeys(map(flat.__getitem__, unknown.tolist())))
             words = [self.vocab.words(c) for c in missing]
             per_chunk = np.fromiter(map(len, words), np.int64, len(words))
             ids, counts = self.vocab.encode_words([w for ws in words for w in ws])
             owner = np.repeat(np.arange(len(missing)), per_chunk)
             self._put(missing, ids, np.bincount(owner, weights=counts, minlength=len(missing)).astype(np.int64))
-        codes = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+            codes[unknown] = [self.code[flat[i]] for i in unknown.tolist()]
         start, n = self.offsets[codes], self.offsets[codes + 1] - self.offsets[codes]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -308,6 +315,7 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
     state = worker_state()
+    state.setdefault("used", set()).add(("encoder", path))
     if ("encoder", path) not in state:
         state[("encoder", path)] = Encoder(path)
     return state[("encoder", path)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -35,6 +37,21 @@ def worker_state() -> dict:
     return sys.modules.setdefault("_gridloom_worker", types.ModuleType("_gridloom_worker")).__dict__
 
 
+def tidy(kept: set) -> None:
+    """At a task's end: forget what no operator of this task has used, and give free memory back to the system.
+
+    Idle workers stay alive beside those of the next stage.
+    """
+    state = worker_state()
+    for key in [k for k in state if isinstance(k, tuple) and k not in kept]:
+        del state[key]
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library
+
+
 def steps(lengths: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows whose lengths sum to at most ``limit``, one row at least."""
     start = total = 0
@@ -59,13 +76,18 @@ def map_documents(
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        state = worker_state()
+        state["used"] = set()
         work = start()
+        tidy(state["used"])
         for batch in batches:
             rows = {name: batch.column(i).to_pylist() for i, name in enumerate(columns)}
             sizes = [len(t) if t else 0 for t in rows[text]]
             for lo, hi in steps(sizes, limit):
                 out = work({name: values[lo:hi] for name, values in rows.items()})
                 yield pa.RecordBatch.from_arrays([_array(out[f.name], f.type) for f in arrow], schema=arrow)
+        del work
+        tidy(state["used"])
 
     return df.select(*columns).mapInArrow(run, schema)
 

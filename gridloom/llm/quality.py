@@ -22,6 +22,8 @@ PER_CLASS = 2000
 LONGEST = 200_000
 ALPHA, COST, ROUNDS, BLEND = 1.0, 0.1, 8, 0.75
 GRAM = 4
+#: Bytes of text per step: a step holds a dozen numbers for each of them.
+STEP = 1 << 18
 #: How far back a word counts as a repetition.
 REACH = 4
 
@@ -165,7 +167,7 @@ def bucket_lists(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return work
 
-    return map_documents(docs, [id_col, text_col], text_col, schema, start)
+    return map_documents(docs, [id_col, text_col], text_col, schema, start, limit=STEP)
 
 
 def held_out(id_col: str):
@@ -195,10 +197,11 @@ def fit_quality(
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= LONGEST)
     texts = texts.join(chosen.select("id"), "id", "left_semi")
     lists = bucket_lists(texts, "id", "text").groupBy("id").agg(F.first("buckets").alias("buckets")).join(chosen, "id")
-    got = sorted(lists.select(F.xxhash64("id").alias("h"), "id", "label", "buckets").collect(), key=lambda r: (r["h"], r["id"]))
-    rows = [np.asarray(r["buckets"], np.int64) for r in got]
+    got = lists.select(F.xxhash64("id").alias("h"), "id", "label", "buckets").toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
+    flat = got.column("buckets").combine_chunks()
+    rows = np.split(flat.flatten().to_numpy(), flat.offsets.to_numpy()[1:-1] - flat.offsets[0].as_py()) if len(flat) else []
     share = totals.get(1, 0) / max(1, sum(totals.values()))
-    return fit(rows, np.array([r["label"] for r in got]), share)
+    return fit(rows, got.column("label").to_numpy(), share)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +222,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
         return work
 
-    return map_documents(docs, [id_col, text_col], text_col, schema, start)
+    return map_documents(docs, [id_col, text_col], text_col, schema, start, limit=STEP)
 
 
 def keep_good(docs: DataFrame, model: Model, at: float, text_col: str = "text") -> DataFrame:
@@ -237,4 +240,4 @@ def keep_good(docs: DataFrame, model: Model, at: float, text_col: str = "text")
 
         return work
 
-    return map_documents(docs, names, text_col, docs.schema, start)
+    return map_documents(docs, names, text_col, docs.schema, start, limit=STEP)
