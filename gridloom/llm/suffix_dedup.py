@@ -30,7 +30,7 @@ from gridloom.session import settle
 WIDTH, GRAM, DIGIT = 400, 96, 50
 LARGEST_GROUP = 200
 #: Bytes that one local sort works on, whole groups at a time.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 TEXT = [StructField("x1", LongType()), StructField("x2", LongType())]
 
 
@@ -83,7 +83,7 @@ def _segments(docs: DataFrame, width: int, gram: int) -> DataFrame:
 
         return work
 
-    out = map_documents(docs, ["x1", "x2", "id", "text"], "text", schema, start)
+    out = map_documents(docs, ["x1", "x2", "id", "text"], "text", schema, start, limit=1 << 19)
     each = out.select("x1", "x2", "id", F.explode(F.arrays_zip("grams", "keys", "starts", "counts", "twice")).alias("s"))
     return each.select("x1", "x2", "id", *[F.col(f"s.{n}").alias(m) for n, m in (
         ("grams", "gram"), ("keys", "key"), ("starts", "start"), ("counts", "n"), ("twice", "twice"))])
