@@ -112,13 +112,27 @@ def score(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, max(0.0, round(value, 2)))
 
 
+def _without(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with blanks in place of all spans: what one span holds says nothing about its neighbours."""
+    out, last = [], 0
+    for _, s, e in sorted(spans, key=lambda x: x[1]):
+        if e > last:
+            out += [text[last:s], " " * (e - max(s, last))]
+            last = e
+    return "".join(out) + text[last:]
+
+
 def spans_of(text: str | None) -> list[tuple[str, int, int, float, bool]]:
     """All spans of a text, by kind and start; added kinds only if their score holds."""
     if not text:
         return []
-    found = [(k, s, e, score(text, k, s, e), True) for k, s, e in _base(text)]
-    for k, s, e in _extra(text):
-        if (points := score(text, k, s, e)) >= KEEP_AT:
+    base, extra = list(_base(text)), list(_extra(text))
+    if not base and not extra:
+        return []
+    around = _without(text, base + extra)
+    found = [(k, s, e, score(around, k, s, e), True) for k, s, e in base]
+    for k, s, e in extra:
+        if (points := score(around, k, s, e)) >= KEEP_AT:
             found.append((k, s, e, points, False))
     return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
 
@@ -144,26 +158,26 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", at: float = KEEP_AT) -> DataFrame:
-    """The same rows and columns with every span scored ``at`` or more replaced by ``[KIND]``.
+    """The same rows and columns with every base span, and every added span scored ``at`` or more, replaced by ``[KIND]``.
 
-    Overlapping spans become one replacement, named after the first of them. Null texts stay null.
+    Overlapping spans become one replacement, named after the first of them. What only becomes a span once its neighbour
+    is replaced (the card in ``1.2.3.4 4111 …``, whose digits run into the address) is replaced too. Null texts stay null.
     """
     names = docs.columns
 
     def start():
         def clean(text):
-            if not text:
-                return text
-            out, last = [], 0
-            for kind, s, e, points, _ in sorted(spans_of(text), key=lambda x: (x[1], -x[2])):
-                if points < at:
-                    continue
-                if s < last:
-                    last = max(last, e)
-                    continue
-                out += [text[last:s], f"[{kind.upper()}]"]
-                last = e
-            return "".join(out) + text[last:]
+            # Ends: a span holds a digit or an @, its replacement neither.
+            while spans := [x for x in spans_of(text) if x[4] or x[3] >= at]:
+                out, last = [], 0
+                for kind, s, e, _, _ in sorted(spans, key=lambda x: (x[1], -x[2])):
+                    if s < last:
+                        last = max(last, e)
+                        continue
+                    out += [text[last:s], f"[{kind.upper()}]"]
+                    last = e
+                text = "".join(out) + text[last:]
+            return text
 
         return lambda rows: rows | {text_col: [clean(t) for t in rows[text_col]]}
 

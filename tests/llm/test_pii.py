@@ -66,3 +66,22 @@ def test_redact(spark):
     assert out == {0: "write to [EMAIL] or [PHONE] now", 1: None, 2: "clean"}
     assert pii.redact(docs.limit(0)).columns == docs.columns
     assert pii.find_pii(docs.limit(0)).count() == 0
+
+
+def test_redact_leaves_no_base_span(spark):
+    """Whatever the words nearby say: a doubt word, a doubt word inside a neighbour, a span that shows once another is gone."""
+    texts = [
+        "ann@mail7.example.com The of, onrely +1 (068) 555-2748", "version 10.0.0.1, example +44 20 7946 0958",
+        "1.2.3.4 4111 1111 1111 1111 ", "order no 078-05-1120", *generated(400, 2),
+    ]
+    docs = documents(spark, [*enumerate(texts, 100), *awkward()])
+    out = {r.doc_id: r.text for r in pii.redact(docs).where("doc_id >= 100").collect()}
+    assert len(out) == len(texts) and not any(brute(t) for t in out.values())
+    assert out[100] == "[EMAIL] The of, onrely [PHONE]" and out[101] == "version [IP], example [PHONE]"
+    assert out[102] == "[IP] [CARD] " and out[103] == texts[3]
+
+
+def test_words_inside_other_spans_are_no_context():
+    for text in ("ann@mail7.example.com or +1 (068) 555-2748", "ann@mail7.other.com or +1 (068) 555-2748"):
+        assert [(k, p) for k, _, _, p, _ in pii.spans_of(text)] == [("email", 0.9), ("phone", 0.6)]
+    assert [k for k, *_ in pii.spans_of("ssn 078-05-1120 ann@example.org")] == ["email", "national_id"]

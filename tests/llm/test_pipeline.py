@@ -68,6 +68,15 @@ def test_stages(spark, tmp_path):
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_no_base_span_goes_on(spark, tmp_path):
+    texts = ["ann@mail7.example.com The of, onrely +1 (068) 555-2748", "example 10.0.0.1", "version +44 20 7946 0958", None, "clean"]
+    docs = documents(spark, texts)
+    clean = pipeline.redact_personal_data(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in clean) == list(range(len(texts)))
+    assert not any(base for r in clean for *_, base in pii.spans_of(r.text))
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in clean)
+
+
 def test_stages_on_an_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     folder = write(empty, tmp_path)
