@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import near_dedup, packing, pii, quality, suffix_dedup
+from gridloom.llm.common import text_key
 from gridloom.llm.queries import table, vocabulary
 from gridloom.session import settle
 
@@ -25,10 +26,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near-copies, the one with the least id; rows that link with nothing stay."""
+    """One row of each group of near-copies, the one with the least id; rows that link with nothing stay.
+
+    Of rows that repeat an id (or have none) and a text, one stays.
+    """
     found = near_dedup.near_duplicates(docs)
     gone = settle(found.where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _once(docs).join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """One row per id and text, the least in the other columns; the next stage would count the others as copies of it."""
+    key = ["doc_id", "x1", "x2"]
+    keyed = docs.where("text is not null").select("*", *text_key(F.col("text")))
+    again = settle(keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in key]))
+    if again.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("x1") == F.col("_x1")) & (F.col("x2") == F.col("_x2"))
+    least = F.min(F.struct(*docs.columns)).alias("row")
+    one = keyed.join(again, same, "left_semi").groupBy(*key).agg(least).select("row.*")
+    single = keyed.join(again, same, "left_anti").select(*docs.columns)
+    return docs.where("text is null").union(single).union(one)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

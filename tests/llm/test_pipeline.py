@@ -68,6 +68,27 @@ def test_stages(spark, tmp_path):
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in packed)
 
 
+def test_repeated_rows_stay_once(spark, tmp_path):
+    """A long text delivered twice under one id, or under none, is no copy of itself."""
+    texts, labels = corpus()
+    # Good texts that only these rows hold.
+    good = [t for i, t, y in made(400, 77) if y]
+    one, two, three = (" ".join(good[i * 20 : i * 20 + 20]) for i in range(3))
+    assert all(len(t.encode()) >= 400 for t in (one, two, three))
+    extra = [(9000, one), (9000, one), (None, two), (None, two), (None, two), (9002, three), (None, None), (None, None)]
+    folder = write(documents(spark, [*texts[:150], *extra]), tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stage = pipeline.keep_one_of_near_copies(spark, docs, folder)
+    assert stage.columns == docs.columns and stage.where("doc_id is null and text is null").count() == 2
+    for stage in (pipeline.keep_quality, pipeline.keep_one_of_near_copies):
+        docs = stage(spark, docs, folder).cache()
+    kept = Counter((r.doc_id, r.text) for r in docs.collect() if r.text in (one, two, three))
+    assert kept == Counter([(9000, one), (None, two), (9002, three)])
+    cut = Counter((r.doc_id, r.text) for r in pipeline.cut_repeated_strings(spark, docs, folder).collect())
+    assert all(cut[x] == 1 for x in kept)
+
+
 def test_no_base_span_goes_on(spark, tmp_path):
     texts = ["ann@mail7.example.com The of, onrely +1 (068) 555-2748", "example 10.0.0.1", "version +44 20 7946 0958", None, "clean"]
     docs = documents(spark, texts)
