@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, chat, exact_topk, near_dedup, packing, pii, quality, secrets, substring_dedup, suffix_dedup
+from gridloom.llm import ann, bpe, chat, exact_topk, near_dedup, packing, pii, prefix_trie, quality, secrets, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,6 +151,54 @@ SELECT conv_id, n_turns, sha256(listed) AS turns_sha256, CAST(length(learned) AS
 FROM whole
 """
 
+@register("op13_prefix_trie")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+# The checksum byte by byte and bit by bit, since DuckDB has no function for it.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST({} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))))"""
+
+ORACLES["op13_prefix_trie"] = f"""
+WITH given AS (
+    SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+    SELECT c, sha256(CAST(strlen(role) AS VARCHAR) || ':' || role || text) AS t, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, turn FROM given
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, t) AS k FROM own
+), ids AS (
+    SELECT c, c - c % 20 AS base, {_CRC_SQL.format("c")} % 4 AS h FROM (SELECT DISTINCT c FROM own)
+), rebuilt AS (
+    SELECT i.c, 0 AS zone, p.k, p.t, p.words FROM ids i JOIN placed p ON p.c = i.base AND p.k <= i.h
+    UNION ALL
+    SELECT i.c, 1, p.k, p.t, p.words FROM ids i JOIN placed p ON p.c = i.c AND p.k > i.h
+), turns AS (
+    SELECT c, t, words, row_number() OVER (PARTITION BY c ORDER BY zone, k) AS d FROM rebuilt
+), paths AS (
+    SELECT c, d, words, sha256(string_agg(t, '') OVER (PARTITION BY c ORDER BY d)) AS p FROM turns
+    UNION ALL
+    SELECT c, 0, 0, '' FROM ids
+), nodes AS (
+    SELECT d, p, min(c) AS conv_id, count(*) AS n, min(words) AS words FROM paths GROUP BY d, p
+), parents AS (
+    SELECT n.d, n.p, o.p AS parent, m.conv_id AS parent_conv_id
+    FROM nodes n JOIN paths o ON o.c = n.conv_id AND o.d = n.d - 1 JOIN nodes m ON m.d = o.d AND m.p = o.p
+), children AS (
+    SELECT d - 1 AS d, parent AS p, count(*) AS k FROM parents GROUP BY ALL
+), sums AS (
+    SELECT a.d, a.p, sum((n.n - 1) * n.words) AS saved, count(*) FILTER (WHERE k.k IS NULL) AS leaves
+    FROM nodes n JOIN paths a ON a.c = n.conv_id AND a.d <= n.d LEFT JOIN children k ON k.d = n.d AND k.p = n.p GROUP BY a.d, a.p
+), ends AS (
+    SELECT d, p, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ids
+    FROM (SELECT c, d, p, max(d) OVER (PARTITION BY c) AS m FROM paths) WHERE d = m GROUP BY d, p
+)
+SELECT n.conv_id, n.d AS depth, r.parent_conv_id, n.n AS n_convs, coalesce(k.k, 0) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves,
+       CAST(s.saved AS BIGINT) AS saved_tokens, coalesce(e.ids, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN parents r ON r.d = n.d AND r.p = n.p LEFT JOIN children k ON k.d = n.d AND k.p = n.p
+JOIN sums s ON s.d = n.d AND s.p = n.p LEFT JOIN ends e ON e.d = n.d AND e.p = n.p
+"""
+
 ORACLES["op8_exact_topk"] = """
 WITH good AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
