@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, bpe, chat, exact_topk, near_dedup, packing, pii, prefix_trie, quality, secrets, substring_dedup, suffix_dedup
+from gridloom.llm import ann, bpe, chat, exact_topk, near_dedup, packing, pii, prefix_trie, quality, secrets, substring_dedup, suffix_dedup, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,6 +151,12 @@ SELECT conv_id, n_turns, sha256(listed) AS turns_sha256, CAST(length(learned) AS
 FROM whole
 """
 
+@register("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    made = whitening.whiten(table(spark, folder, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 @register("op13_prefix_trie")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
