@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -172,17 +173,61 @@ class Words:
         self.doc = np.repeat(np.arange(len(raw)), self.counts)
 
     def hashes(self) -> np.ndarray:
+        """Quick hashes of the words, for statistics: words may be built to have equal ones."""
         return Rolling(self.data).ranges(self.start, self.end)
 
+    def keys(self, lane: int = 0) -> np.ndarray:
+        """Hashes that stand for the words."""
+        return range_hashes(self.data, self.start, self.end, lane)
+
+
+#: Odd multipliers of two independent hashes, and what they start with.
+_LANES = ((0x9E3779B97F4A7C15, 0x243F6A8885A308D3), (0xC2B2AE3D27D4EB4F, 0x13198A2E03707344))
+#: Ranges beyond this many bytes are hashed one by one.
+LONG_RANGE = 512
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of data[start:end] for each pair: blocks of 8 bytes, each mixed before the next, so no pattern of bytes cancels out.
+
+    The two lanes are independent; together they are 128 bits.
+    """
+    odd, seed = (np.uint64(x) for x in _LANES[lane])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    masks = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+    out = mix((blocks[start] & masks[np.minimum(size, 8)]) * odd + seed)
+    long = size > LONG_RANGE
+    rows, at = np.flatnonzero((size > 8) & ~long), 8
+    while len(rows):
+        value = blocks[start[rows] + at] & masks[np.minimum(size[rows] - at, 8)]
+        out[rows] = mix((out[rows] + seed) * odd + value)
+        at += 8
+        rows = rows[size[rows] > at]
+    for i in np.flatnonzero(long).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8 * lane : 8 * lane + 8], "little")
+    return mix(out + size.astype(np.uint64) * odd)
+
+
+def _joined(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hash of a sequence from the hashes of its two halves."""
+    return mix(mix(first * np.uint64(_LANES[0][0]) + np.uint64(_LANES[1][1])) + second)
+
 
 def runs_of_words(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Hash of every ``width`` consecutive words (across texts; the caller leaves out those)."""
-    n = len(hashes) - width + 1
-    if n <= 0:
+    """Hash of every ``width`` consecutive words (across texts; the caller leaves out those): runs of 1, 2, 4 … are joined."""
+    if len(hashes) < width:
         return np.zeros(0, dtype=np.uint64)
-    prefix = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * _powers(BASE, len(hashes)), out=prefix[1:])
-    return mix((prefix[width:] - prefix[:n]) * _powers(BASE_INVERSE, n) + np.uint64(width))
+    done, size, power, level = None, 0, hashes, 1
+    while True:
+        if width & level:
+            n = len(power) - size
+            done, size = (power if done is None else _joined(done[:n], power[size:])), size + level
+        if 2 * level > width:
+            return mix(done + np.uint64(width))
+        power, level = _joined(power[:-level], power[level:]), 2 * level
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -63,7 +63,7 @@ def super_min_hash(elements: np.ndarray, owner: np.ndarray, n_owners: int, size:
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(owner, hash) of the distinct shingles of each text, sorted; fewer words than the width are one shingle."""
     words = Words(texts, lower=True)
-    hashes = words.hashes()
+    hashes = words.keys()
     runs = runs_of_words(hashes, width)
     inside = np.flatnonzero(words.doc[: len(runs)] == words.doc[width - 1 : width - 1 + len(runs)])
     owner, found = [words.doc[inside]], [runs[inside]]

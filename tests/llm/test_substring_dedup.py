@@ -59,7 +59,7 @@ def test_query_against_brute_force(spark, tmp_path):
     assert got == brute(texts)
 
 
-@pytest.mark.parametrize("width", [1, 2, 7])
+@pytest.mark.parametrize("width", [1, 2, 7, 9, 41])
 def test_other_widths(spark, width):
     texts = list(enumerate(corpus(2, 25)))
     got = substring_dedup.remove_repeats(documents(spark, texts), width=width).collect()
@@ -80,6 +80,29 @@ def test_sliding_min_and_anchors():
         assert common.anchors(x, width).tolist() == [i + int(np.argmin(x[i : i + width])) for i in range(len(x) - width + 1)]
 
 
+def thue_morse(swap=False):
+    """A word of 1024 letters and its complement: a polynomial modulo a power of two can't tell them apart."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(1024))
+
+
+def test_no_word_stands_for_another(spark):
+    tail = " ".join(f"t{i}" for i in range(19))
+    docs = [(1, f"{thue_morse()} {tail}"), (2, f"{thue_morse(True)} {tail}")]
+    assert [r.n_removed for r in substring_dedup.remove_repeats(documents(spark, docs)).collect()] == [0, 0]
+    # The same as a sequence of two words.
+    words = [" ".join(thue_morse(swap)) for swap in (False, True)]
+    got = substring_dedup.remove_repeats(documents(spark, list(enumerate(words))), width=1024).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(0, 0), (1, 0)]
+    w = common.Words(["a aa aaaaaaaa aaaaaaaaa " + " ".join("x" * n + y for n in (7, 8, 15, 16, 511, 512, 513, 5000) for y in "pq"), "aaaaaaaa aa a"])
+    for lane in (0, 1):
+        names = dict(zip([w.bytes[s:e] for s, e in zip(w.start, w.end)], w.keys(lane)))
+        assert len(set(names.values())) == len(names) and w.keys(lane)[-3:].tolist() == w.keys(lane)[[2, 1, 0]].tolist()
+
+
+def test_levels():
+    assert substring_dedup.levels(20) == [5, 10, 20] and substring_dedup.levels(1) == [1] and substring_dedup.levels(9) == [5, 9]
+
+
 def test_word_hashes_depend_on_the_words_alone():
     a, b = common.Words(["x yy zzz", None, "", "yy  zzz\tx"]), common.Words(["zzz x", "yy"])
     h = dict(zip([a.bytes[s:e] for s, e in zip(a.start, a.end)], a.hashes()))
