@@ -2,7 +2,8 @@
 
 A sequence of tokens is what merging gives if and only if every token encodes to itself and no adjacent pair would have
 merged across its border. Both are properties of the vocabulary, so a pair is decided once and remembered. Words with a
-pair that fails are merged rule by rule. Text is cut into chunks at blanks; a chunk is encoded once per worker.
+pair that fails are merged rule by rule. Text is cut into chunks at blanks, by masks over the bytes of many texts at once; a
+chunk is known by a 128-bit hash and encoded once per worker.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -21,10 +22,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from gridloom.llm.common import list_array, map_documents, worker_state
+from gridloom.llm.common import list_array, map_documents, mix, range_hashes, worker_state
 
-#: Chunks kept per worker before the memory starts anew.
-MEMORY_CHUNKS = 400_000
+#: Chunks and token ids kept per worker before the memory starts anew: about 80 MB with the table that finds them.
+MEMORY_CHUNKS, MEMORY_IDS = 1 << 20, 1 << 22
+BETWEEN = "\xff"
 NEVER = np.int64(1) << np.int64(40)
 
 
@@ -35,6 +37,50 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+class Table:
+    """Numbers by 64-bit keys (not 0), many at once: open addressing, at most half full. A second key can verify the first."""
+
+    def __init__(self, entries: int = 1 << 10, verified: bool = False):
+        size = 1 << max(4, (2 * entries - 1).bit_length())
+        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        self.second = np.zeros(size, np.uint64) if verified else None
+        self.n = 0
+
+    def find(self, keys: np.ndarray, second: np.ndarray | None = None, missing: int = -1) -> np.ndarray:
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(keys), missing, np.int64)
+        at, left = mix(keys) & mask, np.arange(len(keys))
+        while len(left):
+            there = self.keys[at]
+            hit = there == keys[left] if second is None else (there == keys[left]) & (self.second[at] == second[left])
+            out[left[hit]] = self.values[at[hit]]
+            go = ~hit & (there != 0)
+            left, at = left[go], (at[go] + np.uint64(1)) & mask
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray, second: np.ndarray | None = None) -> None:
+        """Add distinct keys that aren't there."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            kept = self.keys[old], self.values[old], self.second[old] if self.second is not None else None
+            self.__init__(2 * (self.n + len(keys)), self.second is not None)
+            self.put(*kept)
+        mask = np.uint64(len(self.keys) - 1)
+        at, left = mix(keys) & mask, np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] == 0
+            # Of those that meet at a free place the last one stands there.
+            self.keys[at[free]] = keys[left[free]]
+            if second is not None:
+                self.second[at[free]] = second[left[free]]
+            mine = free & (self.keys[at] == keys[left])
+            if second is not None:
+                mine &= self.second[at] == second[left]
+            self.values[at[mine]] = values[left[mine]]
+            left, at = left[~mine], (at[~mine] + np.uint64(1)) & mask
+        self.n += len(keys)
+
+
 class Merges:
     """The merge rules of a vocabulary: exact merging, and the test of adjacent pairs."""
 
@@ -52,10 +98,12 @@ class Merges:
             self.made[rank] = made
             if birth[made] < 0:
                 left[made], right[made], birth[made] = x, y, rank
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        # A rule that is listed twice counts where it is listed first.
+        first = np.unique(keys, return_index=True)[1]
+        self.rules = Table(2 * len(first) + 1)
+        self.rules.put(keys[first].view(np.uint64) + np.uint64(1), first)
         self.left, self.right, self.birth = left, right, birth
-        self.known_keys, self.known = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.known = Table()
         # A token stands for itself if both halves do and nothing merges across them earlier.
         made = np.flatnonzero(birth >= 0)
         fine = np.ones(size, bool)
@@ -65,9 +113,7 @@ class Merges:
         self.fine = fine
 
     def _rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        key = (x << 32) | y
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+        return self.rules.find(((x << 32) | y).view(np.uint64) + np.uint64(1), missing=NEVER)
 
     def _apart(self, x: np.ndarray, y: np.ndarray, until: np.ndarray | int = NEVER) -> np.ndarray:
         """Whether x and y, side by side, stay apart before rule ``until``.
@@ -93,18 +139,18 @@ class Merges:
 
     def pairs_apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The same for tokens of a proposal; every distinct pair is decided once per worker."""
-        keys, where = np.unique((x << 32) | y, return_inverse=True)
-        at = np.searchsorted(self.known_keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.known_keys)
-        new[inside] = self.known_keys[at[inside]] != keys[inside]
-        result = np.zeros(len(keys), bool)
-        result[~new] = self.known[at[~new]]
-        if new.any():
-            result[new] = self._apart(keys[new] >> 32, keys[new] & 0xFFFFFFFF)
-            self.known_keys = np.insert(self.known_keys, at[new], keys[new])
-            self.known = np.insert(self.known, at[new], result[new])
-        return result[where]
+        keys = ((x << 32) | y).view(np.uint64) + np.uint64(1)
+        result = self.known.find(keys)
+        new = np.flatnonzero(result < 0)
+        if len(new):
+            fresh, where = np.unique(keys[new], return_inverse=True)
+            pair = (fresh - np.uint64(1)).view(np.int64)
+            apart = self._apart(pair >> 32, pair & 0xFFFFFFFF).astype(np.int64)
+            if self.known.n > MEMORY_CHUNKS:
+                self.known = Table()
+            self.known.put(fresh, apart)
+            result[new] = apart[where]
+        return result > 0
 
     def merge(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact merging of many words at once: in each the earliest rule first, all its places from left to right.
@@ -154,7 +200,7 @@ class Vocabulary:
         # vocabulary marks word ends, so that no match can end in the middle of a marked letter or cross words.
         self.shift = 256 if suffix else 0
         number = {c: chr(b) for b, c in enumerate(letters)}
-        self.base = {}
+        self.base = np.full(512, -1, np.int64)
         matcher = ahocorasick.Automaton()
         for token, i in vocab.items():
             ends = bool(suffix) and token.endswith(suffix) and token != suffix
@@ -165,67 +211,64 @@ class Vocabulary:
             if ends:
                 own = own[:-1] + chr(ord(own[-1]) + self.shift)
             if len(own) == 1:
-                self.base[own] = i
-            if self.merges.fine[i]:
+                self.base[ord(own)] = i
+            # Byte 255 is in no UTF-8 text; between words it keeps matches from crossing.
+            if self.merges.fine[i] and BETWEEN not in own:
                 matcher.add_word(own, i)
         matcher.make_automaton()
         self.matcher = matcher
 
-    def words(self, chunk: str) -> list[str]:
-        """The words of a chunk after normalisation, as strings of bytes."""
+    def words(self, chunk: str) -> list[bytes]:
+        """The words of a chunk after normalisation, as bytes."""
         if self.lowers:
             if chunk.isascii():
-                found = _ASCII_WORDS.findall(chunk.lower())
-                return [w[:-1] + chr(ord(w[-1]) + 256) for w in found]
+                return [w.encode() for w in _ASCII_WORDS.findall(chunk.lower())]
             text = _WHITE.sub(" ", unicodedata.normalize("NFC", chunk))
             # Letters are lowered one by one, so a sigma at the end of a word is an ordinary one.
             text = text.replace("Σ", "σ").lower()
             found = _WORDS.findall(text)
-        elif chunk.isascii():
-            # A blank and letters are one piece, which most chunks are.
-            found = [chunk] if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else _ASCII_PIECES.findall(chunk)
-            return [w[:-1] + chr(ord(w[-1]) + self.shift) for w in found] if self.shift else found
         else:
-            found = _PIECES.findall(chunk)
-        out = []
-        for w in found:
-            own = w.encode("utf-8", "surrogatepass").decode("latin-1")
-            out.append(own[:-1] + chr(ord(own[-1]) + self.shift) if self.shift else own)
-        return out
+            found = _ASCII_PIECES.findall(chunk) if chunk.isascii() else _PIECES.findall(chunk)
+        return [w.encode("utf-8", "surrogatepass") for w in found]
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of the words one after another, and how many each word has."""
-        if not words:
+    def encode_words(self, data: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of the words (none of them empty) one after another, and how many each word has.
+
+        A word is ``sizes`` bytes of ``data`` from its start.
+        """
+        n = len(sizes)
+        if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        bounds = np.cumsum(sizes)
-        if self.shift:
-            hits = list(self.matcher.iter_long("".join(words)))
-        else:
-            # Words aren't marked here: a character outside the alphabet keeps matches from crossing.
-            bounds = bounds + np.arange(len(words))
-            hits = list(self.matcher.iter_long("Ȁ".join(words)))
-        ends = np.fromiter((h[0] for h in hits), np.int64, len(hits))
-        ids = np.fromiter((h[1] for h in hits), np.int64, len(hits))
-        word = np.searchsorted(bounds, ends, side="right")
-        counts = np.bincount(word, minlength=len(words))
+        gap = 0 if self.shift else 1
+        bounds = np.cumsum(sizes + gap) - gap  # ends of words
+        begin = bounds - sizes
+        total = int(bounds[-1])
+        symbols = np.full(total, ord(BETWEEN), np.uint16)
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        symbols[np.repeat(begin, sizes) + inside] = data[np.repeat(start, sizes) + inside]
+        symbols[bounds - 1] += np.uint16(self.shift)
+        text = symbols.astype("<u2").tobytes().decode("utf-16-le") if self.shift else symbols.astype(np.uint8).tobytes().decode("latin-1")
+        flat = np.fromiter(chain.from_iterable(self.matcher.iter_long(text)), np.int64)
+        ends, ids = flat[::2], flat[1::2]
+        word_at = np.repeat(np.arange(n), np.diff(np.append(begin, total)))
+        word = word_at[ends]
+        counts = np.bincount(word, minlength=n)
         inner = np.flatnonzero(word[1:] == word[:-1])
-        bad = np.zeros(len(words), bool)
+        bad = np.zeros(n, bool)
         bad[word[inner[~self.merges.pairs_apart(ids[inner], ids[inner + 1])]]] = True
         # A proposal must cover its word; a byte without a token of its own would leave a hole.
-        token_sizes = np.diff(ends, prepend=-1)
-        if not self.shift:
-            token_sizes[np.flatnonzero(np.diff(word, prepend=0))] -= 1
-        covered = np.bincount(word, weights=token_sizes, minlength=len(words)).astype(np.int64)
-        bad |= covered != sizes
+        first = np.append(True, word[1:] != word[:-1])[: len(word)]
+        token_sizes = ends - np.where(first, begin[word] - 1, np.concatenate([[0], ends[:-1]]))
+        bad |= np.bincount(word, weights=token_sizes, minlength=n).astype(np.int64) != sizes
         if not bad.any():
             return ids, counts
         failed = np.flatnonzero(bad)
-        symbols = np.array([self.base[c] for w in failed for c in words[w]], np.int64)
-        merged, owner = self.merges.merge(symbols, np.repeat(failed, sizes[failed]))
+        inside = np.arange(int(sizes[failed].sum())) - np.repeat(np.cumsum(sizes[failed]) - sizes[failed], sizes[failed])
+        spelled = self.base[symbols[np.repeat(begin[failed], sizes[failed]) + inside]]
+        merged, owner = self.merges.merge(spelled, np.repeat(failed, sizes[failed]))
         keep = ~bad[word]
         ids, word = np.concatenate([ids[keep], merged]), np.concatenate([word[keep], owner])
-        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=n)
 
 
 # The patterns that split words in the two kinds of vocabularies, and white space as they mean it.
@@ -240,9 +283,25 @@ _ASCII_PIECES = re.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t\n\x0b\x0c\r A-Za-z0-9]+"
     r"|[\t\n\x0b\x0c\r ]+(?![^\t\n\x0b\x0c\r ])|[\t\n\x0b\x0c\r ]+"
 )
-# A blank that follows something else than white space always starts a piece.
-_BLANK_BORDER = re.compile(f"(?<=[^{_SPACE}])(?= )")
-_BLANK_AFTER_WHITE = re.compile(f"[{_SPACE}] ")
+# White space beyond ASCII as the patterns mean it, by the bytes that it ends with in UTF-8.
+_WHITE_ENDS = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+_ASCII_WHITE = np.zeros(256, bool)
+_ASCII_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _white_before(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether white space ends right before each place (which is not the first of ``data``)."""
+    white = _ASCII_WHITE[data[places - 1]]
+    odd = np.flatnonzero(data[places - 1] >= 128)
+    for end in _WHITE_ENDS:
+        at = places[odd]
+        same = at >= len(end)
+        for k, byte in enumerate(end):
+            same &= data[np.maximum(at - len(end) + k, 0)] == byte
+        white[odd[same]] = True
+    return white
 
 
 class Encoder:
@@ -254,62 +313,115 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        for name, i in self.vocab.special.items():
-            self._put([name], np.array([i], np.int32), np.array([1]))
-
-    def _put(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        base = len(self.code)
-        self.code.update(zip(chunks, range(base, base + len(chunks))))
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(counts)])
-
-    def chunks(self, text: str) -> list[str]:
-        """Cut a text where no word can reach across. Chunks start with their blank where the vocabulary has them."""
+        self.table = Table(1 << 12, verified=True)
+        self.ids, self.n_ids = np.zeros(1 << 12, np.int32), 0
+        self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def _put(self, keys: np.ndarray, second: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Remember the ids of distinct new chunks."""
+        base, m = self.table.n, len(keys)
+        self.table.put(keys, np.arange(base, base + m), second)
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while base + m > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.first[base : base + m] = self.n_ids + np.cumsum(counts) - counts
+        self.count[base : base + m] = counts
+        self.n_ids += len(ids)
+
+    def _parts(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Texts cut at special tokens: the bytes of each part, its text, and its special token (-1: none)."""
+        parts, owner, special = [], [], []
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if self.splits is None or not any(name in text for name in self.vocab.special):
+                parts.append(text.encode("utf-8", "surrogatepass"))
+                owner.append(i)
+                special.append(-1)
+                continue
+            for part in self.splits.split(text):
+                if part:
+                    parts.append(part.encode("utf-8", "surrogatepass"))
+                    owner.append(i)
+                    special.append(self.vocab.special.get(part, -1))
+        return parts, np.array(owner, np.int64), np.array(special, np.int64)
+
+    def _chunks(self, data: np.ndarray, bounds: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end of the chunks and the part of each. No word reaches across; special tokens are whole.
+
+        Chunks start with their blank where the vocabulary has blanks in its words, and leave white space out where it has not.
+        """
+        n = len(data)
+        edge = np.zeros(n + 1, bool)
+        edge[bounds] = True
         if self.vocab.lowers:
-            cut = lambda t: t.replace("\n", " ").split(" ")
+            apart = (data == 32) | (data == 10)
+            inside = np.repeat(special >= 0, np.diff(bounds))
+            apart &= ~inside
+            edge[:-1] |= apart
+            edge[1:] |= apart
         else:
-            cut = self._pieces
-        if self.splits is None or "<|" not in text:
-            return cut(text)
-        out = []
-        for part in self.splits.split(text):
-            if part in self.vocab.special:
-                out.append(part)
-            elif part:
-                out += cut(part)
-        return out
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if text[:1] == " " or _BLANK_AFTER_WHITE.search(text):
-            return _BLANK_BORDER.split(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + r for r in rest]]
+            blank = np.flatnonzero(data == 32)
+            blank = blank[~edge[blank]]
+            blank = blank[~_white_before(data, blank)]
+            part = np.searchsorted(bounds, blank, side="right") - 1
+            edge[blank[special[part] < 0]] = True
+        at = np.flatnonzero(edge)
+        start, end = at[:-1], at[1:]
+        if self.vocab.lowers:
+            real = ~apart[start]
+            start, end = start[real], end[real]
+        return start, end, np.searchsorted(bounds, start, side="right") - 1
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each text has."""
-        if len(self.code) > MEMORY_CHUNKS:
+        if self.table.n > MEMORY_CHUNKS or self.n_ids > MEMORY_IDS:
             self.clear()
-        cut = [self.chunks(t) if t else [] for t in texts]
-        flat = [c for chunks in cut for c in chunks]
-        codes = np.fromiter(map(self.code.get, flat, repeat(-1)), np.int64, len(flat))
+        parts, owner, special = self._parts(texts)
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))])
+        start, end, part = self._chunks(data, bounds, special)
+        keys, second = (range_hashes(data, start, end, lane) for lane in (0, 1))
+        # A special token is not the same as its spelling; 0 is no key.
+        keys = np.maximum(keys ^ (special[part] + 1).astype(np.uint64), np.uint64(1))
+        codes = self.table.find(keys, second)
         unknown = np.flatnonzero(codes < 0)
         if len(unknown):
-            missing = list(dict.fromkeys(map(flat.__getitem__, unknown.tolist())))
-            words = [self.vocab.words(c) for c in missing]
-            per_chunk = np.fromiter(map(len, words), np.int64, len(words))
-            ids, counts = self.vocab.encode_words([w for ws in words for w in ws])
-            owner = np.repeat(np.arange(len(missing)), per_chunk)
-            self._put(missing, ids, np.bincount(owner, weights=counts, minlength=len(missing)).astype(np.int64))
-            codes[unknown] = [self.code[flat[i]] for i in unknown.tolist()]
-        start, n = self.offsets[codes], self.offsets[codes + 1] - self.offsets[codes]
+            fresh, where = np.unique(keys[unknown], return_index=True)
+            chunk = unknown[where]
+            self._learn(data, start[chunk], end[chunk], special[part[chunk]], fresh, second[chunk])
+            codes[unknown] = self.table.find(keys[unknown], second[unknown])
+        first, n = self.first[codes], self.count[codes].astype(np.int64)
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(start - (ends - n), n)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, cut)])]
-        return ids, np.diff(bounds)
+        ids = self.ids[np.arange(total) + np.repeat(first - (ends - n), n)]
+        return ids, np.bincount(owner[part], weights=n, minlength=len(texts)).astype(np.int64)
+
+    def _learn(self, data, start, end, special, keys, second) -> None:
+        """Encode new chunks: those that are one word of plain letters at once, the others by the patterns."""
+        is_special = special >= 0
+        if is_special.any():
+            self._put(keys[is_special], second[is_special], special[is_special], np.ones(int(is_special.sum()), np.int64))
+        letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+        leads = _LETTER[data[start]] | ((data[start] == 32) & (end - start > 1) if not self.vocab.lowers else False)
+        plain = leads & (letters[end] - letters[start + 1] == end - start - 1) & ~is_special
+        if self.vocab.lowers:
+            data = np.where(_LETTER[data], data | 32, data)
+        ids, counts = self.vocab.encode_words(data, start[plain], (end - start)[plain])
+        self._put(keys[plain], second[plain], ids, counts)
+        other = np.flatnonzero(~plain & ~is_special)
+        if not len(other):
+            return
+        raw = data.tobytes()
+        words = [self.vocab.words(raw[s:e].decode("utf-8", "surrogatepass")) for s, e in zip(start[other].tolist(), end[other].tolist())]
+        flat = list(chain.from_iterable(words))
+        sizes = np.fromiter(map(len, flat), np.int64, len(flat))
+        ids, counts = self.vocab.encode_words(np.frombuffer(b"".join(flat), np.uint8), np.cumsum(sizes) - sizes, sizes)
+        per_chunk = np.fromiter(map(len, words), np.int64, len(words))
+        owner = np.repeat(np.arange(len(words)), per_chunk)
+        self._put(keys[other], second[other], ids, np.bincount(owner, weights=counts, minlength=len(words)).astype(np.int64))
 
 
 def encoder(path: str) -> Encoder:
@@ -329,7 +441,8 @@ def encode_and_decode(
     ``path`` names a vocabulary file that every executor has, or is a function that gives it there. Special tokens
     that stand in a text are recognised; none are added. Null and empty texts have no ids and decode to an empty
     text; a null id stays null; repeated rows get a row each; other columns are left alone; an empty table gives an
-    empty result. No shuffle; a worker keeps at most ``MEMORY_CHUNKS`` chunks.
+    empty result; very long texts are a step of their own. No shuffle; a worker's memory starts anew at ``MEMORY_CHUNKS`` chunks or
+    ``MEMORY_IDS`` of their ids.
     """
     schema = StructType([
         docs.schema[id_col], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType()),

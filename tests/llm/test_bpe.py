@@ -37,6 +37,25 @@ def test_memory_starts_anew(monkeypatch):
         assert own.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_one_very_long_text(name):
+    """Longer than a step, with a chunk that is longer than the hash's blocks reach."""
+    own, library = bpe.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    text = " ".join(generated(40000, 15)) + " " + "abc" * 20000 + "\u3000 tail"
+    assert own.encode([None, text, ""])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_tables():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    keys, second = r.integers(1, 50, 300, dtype=np.uint64), np.arange(300, dtype=np.uint64)
+    table = bpe.Table(4, verified=True)
+    for lo in range(0, 300, 100):
+        table.put(keys[lo : lo + 100], np.arange(lo, lo + 100), second[lo : lo + 100])
+    assert table.find(keys, second).tolist() == list(range(300)) and table.find(keys, second + np.uint64(300)).max() == -1
+
+
 def test_merging_and_pairs_agree():
     """A pair stays apart exactly if merging its symbols gives the pair back."""
     vocab = bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
