@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from gridloom.llm.vectors import best, blocks, met, of_commonest_size, unpack, usable
+from gridloom.session import settle
 
 #: Rows that the partition is learned from at most.
 SAMPLE = 8192
@@ -82,7 +83,7 @@ class Router:
 
     def __init__(self, data: np.ndarray, target: np.ndarray, hidden: int = HIDDEN, epochs: int = EPOCHS, seed: int = 11):
         random = np.random.default_rng(seed)
-        self.mean, self.spread = data.mean(axis=0), data.std() or 1.0
+        self.mean, self.spread = data.mean(axis=0), float(data.std()) or 1.0
         x = (data - self.mean) / self.spread
         sizes = [(x.shape[1], hidden), (hidden,), (hidden, target.shape[1]), (target.shape[1],)]
         self.weights = [random.normal(size=s) / np.sqrt(s[0]) if len(s) > 1 else np.zeros(s) for s in sizes]
@@ -99,6 +100,16 @@ class Router:
                     v += 0.001 * (g * g - v)
                     w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
 
+    def plain(self) -> tuple:
+        """The router as arrays, for tasks that don't have this package."""
+        return self.mean, self.spread, self.weights
+
+    @classmethod
+    def of(cls, plain: tuple) -> Router:
+        own = cls.__new__(cls)
+        own.mean, own.spread, own.weights = plain
+        return own
+
     def _forward(self, x):
         a, b, c, d = self.weights
         inner = np.maximum(0, x @ a + b)
@@ -173,8 +184,9 @@ def nearest(
 
     ``is_query`` is a condition on ``id``; candidates are all rows with another id. Ties go to the smaller id. Vectors that are
     null, zero, hold null or non-finite components or have another size than most take no part. Rows that repeat an id and
-    vector are one candidate. Other columns are left alone; an empty table gives an empty result. ``sample`` bounds the rows
-    that are learned from (and what the driver gets); every row is indexed, whatever its part holds.
+    vector are one candidate. A query whose parts hold fewer than ``top`` others is sent to all parts, and one that lies apart from
+    the rows of its part to all that reach nearer than the last it found. Other columns are left alone; an empty table gives an empty result.
+    ``sample`` bounds the rows that are learned from (and what the driver gets); every row is indexed, whatever its part holds.
     """
     rows, n, _ = of_commonest_size(usable(table, id_col, vector_col, zero=False).distinct())
     learned = rows.groupBy("vector").agg(F.min("id").alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample).select("vector")
@@ -185,11 +197,11 @@ def nearest(
     # Small tables have small parts: a part should hold a few neighbourhoods at least.
     parts = 1 << int(np.log2(max(1, min(parts, len(data) // (4 * NEIGHBOURS)))))
     router, probes = learn(data, parts, recall, top)
-    shared = table.sparkSession.sparkContext.broadcast(router)
+    shared = table.sparkSession.sparkContext.broadcast(router.plain())
     routed = StructType([*rows.schema, StructField("parts", ArrayType(LongType()))])
 
     def route(batches):
-        router = shared.value
+        router = Router.of(shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -199,12 +211,8 @@ def nearest(
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(order.ravel()))], names=routed.names)
 
-    ranked = rows.select("id", "vector").mapInArrow(route, routed)
+    ranked = settle(rows.select("id", "vector").mapInArrow(route, routed))
     index = blocks(ranked.select("id", "vector", F.element_at("parts", 1).alias("part")), n, block)
-    asked = ranked.where(is_query).select("id", "vector", F.explode("parts").alias("part"))
-    queries = blocks(asked, asked.count(), query_block)
-    pairs = index.select(F.col("block").alias("d_block"), "part").join(
-        queries.select(F.col("block").alias("q_block"), "part"), "part").select("d_block", "q_block")
     result = StructType([StructField("query_id", LongType()), StructField("vec_id", LongType()), StructField("score", DoubleType())])
 
     def search(batches):
@@ -215,4 +223,53 @@ def nearest(
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s.astype(float))], names=result.names)
 
-    return best(met(index, queries, pairs).mapInArrow(search, result), top, descending=False)
+    def asked(queries: DataFrame, wanted) -> DataFrame:
+        spread = queries.select("id", "vector", F.explode(wanted).alias("part"))
+        packed = blocks(spread, spread.count(), query_block)
+        pairs = index.select(F.col("block").alias("d_block"), "part").join(
+            packed.select(F.col("block").alias("q_block"), "part"), "part").select("d_block", "q_block")
+        return best(met(index, packed, pairs).mapInArrow(search, result), top, descending=False)
+
+    queries = ranked.where(is_query)
+    found = settle(asked(queries, F.col("parts")))
+    if probes == parts:
+        return found
+    # A query whose last one found is farther than rows of its part are from each other lies apart from its part: it goes on
+    # to every part that reaches nearer than that.
+    last = found.where(F.col("rank") == top).select(F.col("query_id").alias("id"), F.col("score").alias("last"))
+    wider = StructType([*rows.schema, StructField("more", ArrayType(LongType()))])
+    typical = table.sparkSession.sparkContext.broadcast(part_shapes(data, router.ranked(data, 1)[:, 0], parts))
+
+    def widen(batches):
+        centres, apart, reach = typical.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            limit = np.nan_to_num(batch.column(3).to_numpy(zero_copy_only=False), nan=np.inf, posinf=np.inf)
+            far = (vectors * vectors).sum(axis=1)[:, None] - 2 * vectors @ centres.T + (centres * centres).sum(axis=1)
+            near = np.sqrt(np.maximum(far, 0)) - reach <= limit[:, None]
+            homes = batch.column(2).to_pylist()
+            outside = limit > apart[[h[0] for h in homes]]
+            more = [np.setdiff1d(np.flatnonzero(row & out), seen).tolist() for row, out, seen in zip(near, outside, homes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, pa.list_(pa.int64()))], names=wider.names)
+
+    more = settle(queries.join(last, "id", "left").select("id", "vector", "parts", "last").mapInArrow(widen, wider).where(F.size("more") > 0))
+    if more.isEmpty():
+        return found
+    return best(found.drop("rank").union(asked(more, F.col("more")).drop("rank")), top, descending=False)
+
+
+def part_shapes(data: np.ndarray, part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centre of each part, the usual distance of two of its rows, and how far its rows are from the centre at most.
+
+    A part without rows has no usual distance, and reaches everywhere.
+    """
+    n = np.bincount(part, minlength=parts)
+    centres = np.zeros((parts, data.shape[1]))
+    np.add.at(centres, part, data)
+    centres /= np.maximum(n, 1)[:, None]
+    away = ((data - centres[part]) ** 2).sum(axis=1)
+    reach = np.where(n > 0, 0.0, np.inf)
+    np.maximum.at(reach, part, np.sqrt(away))
+    return centres, np.sqrt(2 * np.bincount(part, weights=away, minlength=parts) / np.maximum(n, 1)), reach

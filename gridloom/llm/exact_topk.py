@@ -14,24 +14,46 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from gridloom.llm.vectors import best, blocks, met, of_commonest_size, unpack, usable
+from gridloom.session import settle
 
 BUCKET, QUERY_BLOCK = 2048, 1024
 #: From this local cosine on coordinates prune more than they cost.
 BY_COORDINATE = 0.5
 FOCUS = 3
-#: Components beyond this could overflow a 64-bit score; such vectors take no part.
-LARGEST = float(1 << 26)
-#: Products below this are exact in double precision.
-EXACT = float(1 << 53)
+#: Products below these are exact in double precision, and in 64-bit integers.
+EXACT, LONG = float(1 << 53), float(1 << 62)
 SLACK = 1e-9
 
 
-def products(data: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Integer inner products, exact."""
-    bound = np.sqrt((data * data).sum(axis=1).max(initial=0)) * np.sqrt((query * query).sum())
-    if bound < EXACT:
-        return np.rint(data @ query).astype(np.int64)
-    return data.astype(np.int64) @ query.astype(np.int64)
+def lengths(data: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((data * data).sum(axis=1))
+
+
+def products(data: np.ndarray, query: np.ndarray, length: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Integer inner products, exact, and which of them fit in 64 bits (the others are 0 here).
+
+    Doubles where they are exact, then 64-bit integers, and integers of any size for the rest.
+    """
+    length = lengths(data) if length is None else length
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = length * lengths(query[None])[0]
+    fits = np.ones(len(data), bool)
+    if not len(data) or bound.max() < EXACT:
+        return np.rint(data @ query).astype(np.int64), fits
+    out = np.zeros(len(data), np.int64)
+    doubles = bound < EXACT
+    out[doubles] = np.rint(data[doubles] @ query).astype(np.int64)
+    longs = ~doubles & (bound < LONG) & (np.abs(data).max(axis=1) < LONG)
+    if np.abs(query).max() >= LONG:
+        longs[:] = False
+    out[longs] = data[longs].astype(np.int64) @ query.astype(np.int64) if longs.any() else 0
+    whole = [int(c) for c in query] if not (doubles | longs).all() else []
+    for i in np.flatnonzero(~doubles & ~longs):
+        value = sum(int(a) * b for a, b in zip(data[i], whole))
+        fits[i] = -(2**63) <= value < 2**63
+        out[i] = value if fits[i] else 0
+    return out, fits
 
 
 def _kth(scores: np.ndarray, top: int) -> float:
@@ -43,12 +65,12 @@ def search_bucket(
     by_coordinate: float = BY_COORDINATE,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, vec, score) of every query's best in one bucket that reach its bound."""
-    length = np.sqrt((data * data).sum(axis=1))
+    length = lengths(data)
     order = np.argsort(-length, kind="stable")
     ids, data, length = ids[order], data[order], length[order]
     unit = data / np.maximum(length, 1e-300)[:, None]
     found_q, found_v, found_s = [], [], []
-    sizes = np.sqrt((queries * queries).sum(axis=1))
+    sizes = lengths(queries)
     for q, query, size, bound in zip(query_ids, queries, sizes, bounds):
         n = len(ids)
         rows = slice(0, n)
@@ -72,14 +94,14 @@ def search_bucket(
                     high = 1.0 if direction[f] >= cosine else middle + reach
                     near &= (unit[:n, f] >= low) & (unit[:n, f] <= high)
                 rows = np.flatnonzero(near)
-        scores = products(data[rows], query)
+        scores, fits = products(data[rows], query, length[rows])
         names = ids[rows]
-        good = (scores >= bound) & (names != q)
+        good = (scores >= bound) & (names != q) & fits
         scores, names = scores[good], names[good]
         if len(scores) > top:
             good = scores >= _kth(scores, top)
             scores, names = scores[good], names[good]
-            pick = np.lexsort((names, -scores))[:top]
+            pick = np.lexsort((names, ~scores))[:top]
             scores, names = scores[pick], names[pick]
         found_q.append(np.full(len(names), q))
         found_v.append(names)
@@ -95,14 +117,18 @@ def largest_products(
     """query_id, rank, vec_id, score: each query's ``top`` largest inner products of floor(factor * component).
 
     ``is_query`` is a condition on ``id``; candidates are all rows with another id. Ties go to the smaller id; fewer rows than
-    ``top`` are all returned. Vectors that are null, hold null or non-finite components, have another size than most or
-    components beyond 2**26 after scaling take no part; zero vectors do. Rows that repeat an id and vector are one candidate.
-    Other columns are left alone; an empty table gives an empty result.
+    ``top`` are all returned. Vectors that are null, hold null or non-finite components (before or after scaling) or have another
+    size than most take no part; zero vectors do. A product that doesn't fit in 64 bits has no score, and its pair no row. Rows
+    that repeat an id and vector are one candidate. Other columns are left alone; an empty table gives an empty result.
     """
     rows = usable(table, id_col, vector_col, zero=True)
-    scaled = F.transform("vector", lambda x: F.floor(F.lit(factor) * x).cast("double"))
-    small = F.forall("vector", lambda x: F.abs(F.lit(factor) * x) < LARGEST)
-    rows = rows.where(small).select("id", scaled.alias("vector")).distinct()
+    def whole(x):
+        y = F.lit(factor) * x
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)  # larger doubles are integers
+
+    scaled = F.transform("vector", whole)
+    finite = F.forall("vector", lambda x: F.abs(F.lit(factor) * x) < float("inf"))
+    rows = rows.where(finite).select("id", scaled.alias("vector")).distinct()
     rows, n, _ = of_commonest_size(rows)
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     rows = rows.withColumns({"length": -length, "part": F.lit(0).cast("long")})
@@ -119,7 +145,8 @@ def largest_products(
         for ids, data in shared.value:
             ids, data = unpack(ids, data)
             for i, q in enumerate(query_ids):
-                bounds[i] = max(bounds[i], _kth(products(data, matrix[i])[ids != q], top))
+                scores, fits = products(data, matrix[i])
+                bounds[i] = max(bounds[i], _kth(scores[fits & (ids != q)], top))
         return bounds
 
     needs = StructType([StructField("q_block", LongType()), StructField("need", data.schema["low"].dataType)])
@@ -129,16 +156,24 @@ def largest_products(
             found = []
             for ids, matrix in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ids, matrix = unpack(ids, matrix)
-                size = np.sqrt((matrix * matrix).sum(axis=1))
+                size = lengths(matrix)
                 bounds = first_bounds(ids, matrix)
                 # The length that a vector needs to reach the bound of at least one query.
                 found.append(float(np.where((bounds > 0) & (size > 0), bounds / np.maximum(size, 1e-300), 0.0).min()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["q_block", "need"])
 
     wanted = queries.select("block", "ids", "matrix").mapInArrow(need, needs)
-    # Bucket against block of queries, one row each; buckets too short for a whole block of queries drop out here.
-    reach = data.select(F.col("block").alias("d_block"), (-F.col("low")).alias("longest"))
-    pairs = reach.join(wanted, F.col("longest") >= F.col("need") * (1 - SLACK)).select("d_block", "q_block")
+    # Bucket against block of queries, one row each; buckets too short for a whole block of queries drop out here. Lengths are
+    # rounded to steps (a 64th of a doubling), of which doubles have a bounded number, so that the two sides join on them.
+    def step(value):
+        return F.when(value > 0, F.floor(64 * F.log2(F.least(value, F.lit(1e308))))).otherwise(F.lit(-100_000)).cast("int")
+
+    reach = settle(data.select(F.col("block").alias("d_block"), (-F.col("low")).alias("longest")).withColumn("step", step(F.col("longest"))))
+    there = sorted(r["step"] for r in reach.select("step").distinct().collect())
+    least = F.col("need") * (1 - SLACK)
+    steps = F.filter(F.array(*[F.lit(x) for x in there]).cast("array<int>"), lambda x: x >= step(least))
+    asking = wanted.select("q_block", "need", F.explode(steps).alias("step"))
+    pairs = reach.join(asking, "step").where(F.col("longest") >= least).select("d_block", "q_block")
     result = StructType([StructField(name, LongType()) for name in ("query_id", "vec_id", "score")])
 
     def search(batches):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
@@ -18,8 +18,8 @@ from gridloom.llm.common import Rolling, Words, list_array, map_documents, mix,
 BUCKETS = 1 << 17
 #: Labelled rows of each class that the fit takes at most.
 PER_CLASS = 2000
-#: Longer texts are not used for the fit, which bounds the memory of the driver; they are scored like all others.
-LONGEST = 200_000
+#: Indicators of the sample's rows of each class together, which bounds the memory of the driver.
+PER_CLASS_INDICATORS = 1 << 24
 ALPHA, COST, ROUNDS, BLEND = 1.0, 0.1, 8, 0.75
 GRAM = 4
 #: Bytes of text per step: a step holds a dozen numbers for each of them.
@@ -34,6 +34,10 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float, slope: float, shift: float):
         self.weights, self.bias, self.slope, self.shift = weights, bias, slope, shift
 
+    def plain(self) -> tuple:
+        """The model as arrays, for tasks that don't have this package."""
+        return self.weights, self.bias, self.slope, self.shift
+
     def margins(self, owner: np.ndarray, buckets: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(owner, weights=self.weights[buckets], minlength=n)[:n] / scale(owner, n) + self.bias
 
@@ -177,12 +181,14 @@ def held_out(id_col: str):
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    per_class: int = PER_CLASS,
+    per_class: int = PER_CLASS, indicators: int = PER_CLASS_INDICATORS,
 ) -> Model:
-    """Fit on at most ``per_class`` labelled rows of each class that aren't held out.
+    """Fit on at most ``per_class`` labelled rows of each class that aren't held out, in order of a hash of their id.
 
-    Rows with a null id or label, or with labels that disagree, are not learned from. Without any label every score is a half;
-    with one class alone every score is sure of it. The driver gets the buckets of the sample only.
+    The rows of a class also end where they would have more than ``indicators`` indicators in all (a row has 2**17 at most,
+    however long its text). Rows with a null id or label, or with labels that disagree, are not learned from; of rows that
+    repeat an id the one with the least list of buckets is. Without any label every score is a half; with one class alone every
+    score is sure of it. The driver gets the buckets of the sample only.
     """
     spark = ready(docs.sparkSession)
     known = labels.where(F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(
@@ -194,9 +200,11 @@ def fit_quality(
         sample = part if sample is None else sample.union(part)
     # Two bounded limits: the sample is small whatever the size of the tables.
     chosen = F.broadcast(spark.createDataFrame(sample.toPandas(), sample.schema))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= LONGEST)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     texts = texts.join(chosen.select("id"), "id", "left_semi")
-    lists = bucket_lists(texts, "id", "text").groupBy("id").agg(F.first("buckets").alias("buckets")).join(chosen, "id")
+    lists = bucket_lists(texts, "id", "text").groupBy("id").agg(F.min("buckets").alias("buckets")).join(chosen, "id")
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lists = lists.withColumn("so_far", F.sum(F.size("buckets").cast("long")).over(so_far)).where(F.col("so_far") <= indicators)
     got = lists.select(F.xxhash64("id").alias("h"), "id", "label", "buckets").toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
     flat = got.column("buckets").combine_chunks()
     rows = np.split(flat.flatten().to_numpy(), flat.offsets.to_numpy()[1:-1] - flat.offsets[0].as_py()) if len(flat) else []
@@ -211,10 +219,10 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
     are left alone and never enter the score; an empty table gives an empty result.
     """
     schema = StructType([docs.schema[id_col], StructField("score", DoubleType())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
 
     def start():
-        model = shared.value
+        model = Model(*shared.value)
 
         def work(cols):
             owner, found = features(cols[text_col])
@@ -227,11 +235,11 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
 def keep_good(docs: DataFrame, model: Model, at: float, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text scores ``at`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     names = docs.columns
 
     def start():
-        model = shared.value
+        model = Model(*shared.value)
 
         def work(cols):
             owner, found = features(cols[text_col])

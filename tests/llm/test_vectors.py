@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,7 +76,27 @@ def test_bucket_search_loses_nothing(threshold):
 
 def test_large_components_are_exact():
     data = np.array([[2.0**26, 3.0], [2.0**26 - 1, 5.0]])
-    assert exact_topk.products(data, np.array([2.0**26, 7.0])).tolist() == [2**52 + 21, (2**26 - 1) * 2**26 + 35]
+    scores, fits = exact_topk.products(data, np.array([2.0**26, 7.0]))
+    assert scores.tolist() == [2**52 + 21, (2**26 - 1) * 2**26 + 35] and fits.all()
+    data = np.array([[2.0**31, 1.0], [-(2.0**32), 0.0], [2.0**60, 3.0], [1e300, -1e300], [0.0, 5.0], [-(2.0**40), 2.0**9]])
+    for query in (np.array([2.0**31, 9.0]), np.array([1e300, 1e300]), np.array([1.0, 1.0])):
+        want = [sum(int(a) * int(b) for a, b in zip(row, query)) for row in data]
+        scores, fits = exact_topk.products(data, query)
+        assert fits.tolist() == [-(2**63) <= w < 2**63 for w in want]
+        assert [s for s, f in zip(scores.tolist(), fits) if f] == [w for w in want if -(2**63) <= w < 2**63]
+
+
+def test_no_finite_vector_is_left_out(spark):
+    r = np.random.default_rng(8)
+    x = [*(r.normal(size=(300, 2)) * r.choice([1, 1e3, 1e6, 1e8], 300)[:, None]).tolist(), [300000.0, 0.0], [2.0**40, 2.0**40], [1e200, 0.0], [0.0, 0.0]]
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = rows(exact_topk.largest_products(table, F.col("id") % 3 == 0, top=5, bucket=32, query_block=16))
+    v = [[math.floor(256 * Fraction(c)) for c in row] for row in x]
+    want = []
+    for q in range(0, len(x), 3):
+        scores = sorted((-(v[q][0] * w[0] + v[q][1] * w[1]), j) for j, w in enumerate(v) if j != q)
+        want += [(q, k + 1, j, -s) for k, (s, j) in enumerate([p for p in scores if -(2**63) < p[0] <= 2**63][:5])]
+    assert got == sorted(want, key=repr)
 
 
 def test_exact_oracle(spark):
@@ -119,6 +142,24 @@ def test_nearest_small_and_empty(spark):
     assert ann.nearest(few, F.col("id") == 77).count() == 0 == exact_topk.largest_products(few, F.col("id") == 77).count()
 
 
+def test_every_query_has_its_neighbours(spark):
+    """Four groups of 2000 vectors and four of 3: queries in small groups have their neighbours in other parts."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(8, 16)) * 20
+    group = np.repeat(np.arange(8), [2000] * 4 + [3] * 4)
+    x = np.float32(centres[group] + r.normal(size=(len(group), 16)))
+    ids = np.arange(len(x))
+    wanted = [*range(0, 8000, 100), *range(8000, 8012)]
+    got = ann.nearest(frame(spark, x), F.col("id").isin(wanted), top=10).collect()
+    found = {q: {r.vec_id for r in got if r.query_id == q} for q in wanted}
+    assert all(len(f) == 10 for f in found.values())
+    d = ((x.astype(float)[wanted][:, None] - x.astype(float)[None]) ** 2).sum(axis=2)
+    d[np.arange(len(wanted)), wanted] = np.inf
+    recall = [len(found[q] & set(ids[np.argsort(d[i], kind="stable")[:10]])) / 10 for i, q in enumerate(wanted)]
+    for g in range(8):
+        assert np.mean([x for x, q in zip(recall, wanted) if group[q] == g]) >= 0.9
+
+
 def test_parts_are_balanced_and_keep_neighbours():
     x = clustered(1500, seed=5)[500:]
     graph = ann.neighbour_graph(x, 10)
@@ -126,3 +167,15 @@ def test_parts_are_balanced_and_keep_neighbours():
     sizes = np.bincount(label, minlength=8)
     assert sizes.max() <= 1.05 * 125 + 1
     assert (label[graph] == label[:, None]).mean() > 0.5
+
+
+def test_tasks_get_plain_arrays():
+    """What is broadcast has no class of this package in it, which executors needn't have."""
+    import pickle
+
+    from gridloom.llm import quality
+
+    router, _ = ann.learn(clustered(400, seed=9), 4)
+    model = quality.Model(np.zeros(3), 0.1, 1.0, 0.0)
+    assert b"gridloom" not in pickle.dumps((router.plain(), model.plain()))
+    assert (ann.Router.of(router.plain()).ranked(clustered(5), 2) == router.ranked(clustered(5), 2)).all()
