@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -90,7 +91,13 @@ def map_documents(
         del work
         tidy(state["used"])
 
-    return df.select(*columns).mapInArrow(run, schema)
+    # Columns go in by number: names may hold dots.
+    return df.select(*[F.col(quoted(c)).alias(f"i{k}") for k, c in enumerate(columns)]).mapInArrow(run, schema)
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def _array(values, kind: pa.DataType) -> pa.Array:
@@ -99,6 +106,12 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return pa.array(values, type=kind)
 
 
+def numbered(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns called c0, c1, …, which no name of ours can clash with, and the new names of some."""
+    names = df.columns
+    return df.toDF(*[f"c{i}" for i in range(len(names))]), [f"c{names.index(c)}" for c in columns]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over 64 output bits."""
     x = x ^ (x >> np.uint64(33))
@@ -266,6 +279,4 @@ def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
 
 def text_key(text_col):
     """Two 64-bit hashes that stand for a whole text."""
-    from pyspark.sql import functions as F
-
     return [F.xxhash64(text_col).alias("x1"), F.xxhash64(F.lit("second"), text_col).alias("x2")]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from gridloom.llm.common import Words, list_array, map_documents, mix, ready, runs_of_words, signed
+from gridloom.llm.common import Words, list_array, map_documents, mix, numbered, ready, runs_of_words, signed, text_key
 from gridloom.llm.components import components
 from gridloom.session import settle
 
@@ -239,3 +239,32 @@ def near_duplicates(
     own = F.col(id_col)
     component = F.when((F.col("n") > 0) & own.isNotNull(), F.col("component_id")).otherwise(own)
     return out.select(own, F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(own == component, F.lit(True)).alias("kept"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows, with all their columns, of the document with the least id of each group of near-copies.
+
+    Rows that link with nothing stay, those with a null or empty text or a null id included. Of rows that repeat an id (or have
+    none) and a text, one stays, the least in the other columns. Other columns may have any name; texts of any length; an empty
+    table gives an empty result.
+    """
+    names = docs.columns
+    plain, (own_id, own_text) = numbered(docs, id_col, text_col)
+    found = near_duplicates(plain.select(F.col(own_id).alias("doc_id"), F.col(own_text).alias("text")), percent=percent)
+    gone = settle(found.where("not kept").select(F.col("doc_id").alias(own_id)).distinct())
+    return _once(plain, own_id, own_text).join(gone, own_id, "left_anti").select(*plain.columns).toDF(*names)
+
+
+def _once(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per id and text, the least in the other columns."""
+    key = ["_id", "_x1", "_x2"]
+    keyed = docs.where(F.col(text_col).isNotNull()).select(
+        "*", F.col(id_col).alias("_id"), *[c.alias(n) for c, n in zip(text_key(F.col(text_col)), key[1:])])
+    again = settle(keyed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*[F.col(c).alias(f"_{c}") for c in key]))
+    if again.isEmpty():
+        return docs
+    same = F.col("_id").eqNullSafe(F.col("__id")) & (F.col("_x1") == F.col("__x1")) & (F.col("_x2") == F.col("__x2"))
+    least = F.min(F.struct(*docs.columns)).alias("row")
+    one = keyed.join(again, same, "left_semi").groupBy(*key).agg(least).select("row.*")
+    single = keyed.join(again, same, "left_anti").select(*docs.columns)
+    return docs.where(F.col(text_col).isNull()).union(single).union(one)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from gridloom.llm.common import Rolling, anchors, list_array, map_documents, mix, ready, signed, text_key
+from gridloom.llm.common import Rolling, anchors, list_array, map_documents, mix, numbered, ready, signed, text_key
 from gridloom.session import settle
 
 WIDTH, GRAM, DIGIT = 400, 96, 50
@@ -266,10 +266,11 @@ def repeated_strings(
     grams = settle(grams.select("gram", "kinds"))
     live = settle(seen.join(grams, "gram").select("gram", "key", "repeated", "kinds"))
     marked = settle(segments.join(live, ["gram", "key"]).select("x1", "x2", "id", "gram", "start", "n", "repeated", "kinds", "key"))
-    # Of a repeated segment in a gram with others one is enough as a partner; which one is settled by its text.
-    partner = settle(marked.where("repeated and kinds > 1").groupBy("gram", "key").agg(F.min("x1").alias("x1")))
+    # Of a repeated segment in a gram with others one is enough as a partner, also where one text holds it many times.
+    partner = marked.where("repeated and kinds > 1").groupBy("gram", "key").agg(F.min(F.struct("x1", "start")).alias("p"))
+    partner = settle(partner.select("gram", "key", "p.*"))
     wanted = marked.where("not repeated and kinds > 1").select("x1", "x2", "id", "gram", "start", "n", "kinds", F.lit(True).alias("single")).union(
-        marked.where("repeated and kinds > 1").join(partner, ["gram", "key", "x1"]).select("x1", "x2", "id", "gram", "start", "n", "kinds", F.lit(False)))
+        marked.where("repeated and kinds > 1").join(partner, ["gram", "key", "x1", "start"]).select("x1", "x2", "id", "gram", "start", "n", "kinds", F.lit(False)))
     item = F.struct("gram", "start", "n", "single", (F.col("kinds") > largest_group).alias("crowded"))
     lists = settle(wanted.groupBy("x1", "x2").agg(F.min("id").alias("first"), F.collect_set(item).alias("wanted")))
     texts = docs.join(lists, ["x1", "x2"]).where(F.col("id").eqNullSafe(F.col("first"))).select("x1", "x2", "text", "wanted")
@@ -341,22 +342,27 @@ def remove_repeats(
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """The same rows and columns with repeated strings cut out of the text.
 
-    A character that a cut would split goes as a whole. Null texts stay null.
+    A character that a cut would split goes as a whole. Null texts stay null, null ids are ids like others, rows that repeat a
+    text are copies of each other, other columns may have any name; very long texts are a step of their own; an empty table
+    gives an empty result.
     """
     ready(docs.sparkSession)
-    names = docs.columns
-    rows = _joined(docs, settle(repeated_strings(docs, id_col, text_col, width, gram)), text_col)
+    schema, names = docs.schema, docs.columns
+    plain, (own_id, own_text) = numbered(docs, id_col, text_col)
+    own = plain.columns
+    rows = _joined(plain, settle(repeated_strings(plain, own_id, own_text, width, gram)), own_text)
 
     def start():
         def work(cols):
             texts = []
-            for text, whole, ranges in zip(cols[text_col], cols["_whole"], cols["_ranges"]):
+            for text, whole, ranges in zip(cols[own_text], cols["_whole"], cols["_ranges"]):
                 if text and (whole or ranges):
                     parts, _ = _cut(text.encode("utf-8", "surrogatepass"), whole, ranges)
                     text = "".join(p.decode("utf-8", "ignore") for p in parts)
                 texts.append(text)
-            return {n: cols[n] for n in names} | {text_col: texts}
+            return {n: cols[n] for n in own} | {own_text: texts}
 
         return work
 
-    return map_documents(rows, [*names, "_whole", "_ranges"], text_col, docs.schema, start)
+    kept = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(own, schema)])
+    return map_documents(rows, [*own, "_whole", "_ranges"], own_text, kept, start).toDF(*names)

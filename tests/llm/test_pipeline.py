@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import packing, pii
@@ -45,7 +46,7 @@ def test_stages(spark, tmp_path):
 
     cut = pipeline.cut_repeated_strings(spark, one, folder).cache()
     rows = [(r.doc_id, r.text) for r in one.collect()]
-    brute = {x[0]: x for x in test_suffix_dedup.brute(rows)}
+    brute = {x[0]: x for x in test_suffix_dedup.brute(rows, pipeline.REPEAT_BYTES)}
     got = {r.doc_id: r for r in cut.collect()}
     assert cut.columns == docs.columns and len(got) == len(rows) and any(x[2] for x in brute.values())
     for i, t in rows:
@@ -104,3 +105,19 @@ def test_stages_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, folder).count() == 0
     assert [name for name, _ in pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "suffix-array dedup", "PII", "best-fit packing"]
+
+
+def test_columns_with_clashing_names(spark, tmp_path):
+    """Columns that the operators use for themselves pass through every stage untouched."""
+    texts, labels = corpus()
+    extra = ["_x1", "_x2", "_whole", "_ranges", "x1", "x2", "_doc_id", "_id", "row", "c0", "id", "n", "keys", "component", "kept", "score", "spans", "a.b"]
+    docs = documents(spark, [*texts[:60], *texts[-30:], *awkward()])
+    docs = docs.withColumns({name: F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for name in extra})
+    folder = write(docs.select("doc_id", "text", "lang", "source", "n_chars"), tmp_path)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder).cache()
+        assert docs.columns[5:] == extra and docs.count()
+        for r in docs.collect():
+            assert all(v == f"{name}{'-' if r[0] is None else r[0]}" for name, v in zip(extra, list(r)[5:]))
+    assert pipeline.STAGES[-1][1](spark, docs, folder).count() >= docs.count()

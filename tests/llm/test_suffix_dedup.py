@@ -63,6 +63,16 @@ def test_query_against_brute_force(spark, tmp_path):
     assert got == brute(texts)
 
 
+def test_one_long_text_of_one_line(spark):
+    """Longer than a step; its lines are all one segment, of which one occurrence stands for the others."""
+    line = "this very line stands here again and again, and over again; "
+    texts = [(1, "begin " + line * 20000 + "end"), (2, "x" * 300 + line * 3 + "y" * 300), (3, "z" * 30)]
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(documents(spark, texts), width=100, gram=24).collect()}
+    assert len(texts[0][1]) > 1 << 20
+    assert bytes(got[1].kept) == b"beginend" and got[1].n_spans == 1
+    assert got[2].n_removed == 3 * len(line) + 600 and got[3].n_removed == 0
+
+
 def test_radix_passes():
     r = np.random.default_rng(3)
     data = r.integers(97, 99, 3000).astype(np.uint8)
