@@ -131,13 +131,16 @@ def ingest_alias(t: Tables) -> DataFrame:
     "SELECT date_trunc('second', ts) AS timestamp, value AS demand, CAST(user_id AS DOUBLE) AS id FROM events",
 )
 def ingest_chunks(t: Tables) -> DataFrame:
+    """Two chunks, the second with its columns in another order and one more."""
     folder = scratch_path(t.spark, "snapshots")
     rows = t.events.select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.col("value").alias("demand"), F.col("user_id").alias("id")
     )
-    rows.write.option("header", True).csv(f"{folder}/snapshot_chunk_1.csv")
+    half = F.xxhash64("timestamp", "id") % 2 == 0
+    rows.where(half).write.option("header", True).csv(f"{folder}/snapshot_chunk_1.csv")
+    rows.where(~half).select("id", F.lit("x").alias("note"), "timestamp", "demand").write.option("header", True).csv(f"{folder}/snapshot_chunk_2.csv")
     path = ingest.chunk_paths(t.spark, folder, "snapshot_chunk_*.csv", "snapshot.csv")
-    out = ingest.all_double(ingest.read_text_csv(t.spark, path), "timestamp")
+    out = ingest.all_double(ingest.read_text_csv(t.spark, path).drop("note"), "timestamp")
     return out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
 
 
@@ -187,7 +190,10 @@ def infer_types(t: Tables) -> DataFrame:
 def ingest_slugs(t: Tables) -> DataFrame:
     folder = scratch_path(t.spark, "slugs")
     kinds = ("click", "error", "purchase", "signup", "view")
-    t.events.select("event_id", "value", "event_type").write.partitionBy("event_type").option("header", True).csv(folder)
+    rows = t.events.select("event_id", "value", "event_type")
+    for part, columns in ((0, ["event_id", "value"]), (1, ["value", "event_id"])):
+        # Half of each dataset's files have their columns the other way round.
+        rows.where(F.col("event_id") % 2 == part).select(*columns, "event_type").write.mode("append").partitionBy("event_type").option("header", True).csv(folder)
     whole = ingest.slug_table(t.spark, folder, [f"event_type={k}" for k in kinds])
     return whole.groupBy(F.substring_index("slug", "=", -1).alias("slug")).agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("value").alias("values")
@@ -246,7 +252,10 @@ def convert_files(t: Tables) -> DataFrame:
 
     for condition in ("part >= 3", None, "part < 3"):
         if condition:
-            text.where(condition).write.mode("append").partitionBy("part").option("header", True).csv(folder)
+            # Later files have the columns in another order, and one more.
+            rows = text.where(condition)
+            rows = rows if condition == "part >= 3" else rows.select("x", F.lit(None).cast("string").alias("note"), "timestamp", "part")
+            rows.write.mode("append").partitionBy("part").option("header", True).csv(folder)
         convert.convert_pending(t.spark, folder, out, manifest, typed, "timestamp")
     return sink.read_year_week(t.spark, out).groupBy("part").agg(
         F.count(F.lit(1)).alias("rows"), (F.min(F.col("part").cast("int")) < 3).alias("newer"), F.max("x").alias("max_value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import logging
 from collections.abc import Mapping, Sequence
 
@@ -12,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.functions import parse
 from gridloom.operators.quality import snake
+from gridloom.session import settle
 
 logger = logging.getLogger(__name__)
 
@@ -22,25 +24,52 @@ DATE_WORDS = ("date", "time", "datetime", "settlement", "start", "end", "period"
 
 
 CORRUPT = "_corrupt_line"
+#: Reads UTF-8 where a whole file is valid UTF-8, else Latin-1.
+AUTO = "auto"
 
 
 def read_text_csv(
     spark: SparkSession, paths: str | Sequence[str], header: bool = True, columns: Sequence[str] | None = None,
     multi_line: bool = False, encoding: str = "UTF-8", file_col: str | None = None,
 ) -> DataFrame:
-    """All columns as strings. Lines with too few fields get nulls at the end, lines with too many are left out.
+    """All columns as strings, each file by its own header line; see :func:`csv_tables`, whose first table this is."""
+    return csv_tables(spark, paths, header, columns, multi_line, encoding, file_col)[0]
 
-    Names come from the header line (blanks around them removed) or from ``columns``. Blanks before a field are dropped. The
-    fields of a line are counted whatever columns are asked for, so a count and the rows always agree. ``multi_line`` reads
-    line breaks inside quotes; ``file_col`` adds each line's file.
+
+def csv_tables(
+    spark: SparkSession, paths: str | Sequence[str], header: bool = True, columns: Sequence[str] | None = None,
+    multi_line: bool = False, encoding: str = "UTF-8", file_col: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of CSV files, all columns as strings, and the lines that don't fit (file, line, fields, expected).
+
+    Names come from the header line of each file (blanks around them removed), or from ``columns`` for all files; columns are
+    matched by name, in the order in which headers (by path) bring them in, and a file that lacks one has nulls there. Lines with
+    too few fields get nulls at the end; lines with too many for their file are those that don't fit. Blanks before a field are
+    dropped. The fields of a line are counted whatever columns are asked for, so a count and the rows always agree.
+    ``multi_line`` reads line breaks inside quotes (not in headers); ``encoding`` may be ``auto``; ``file_col`` adds each line's file.
+
+    The first lines are read in one job that stops after them; all files are then read once, whatever number of headers they
+    have. The driver gets the distinct header lines. Empty files give nothing.
     """
     paths = paths if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("header", header).option("multiLine", multi_line).option("encoding", encoding).option("escape", '"')
+    headers: list[list[str]] = [list(columns)] if columns is not None else []
+    firsts = None
     if columns is None:
-        columns = [c.strip() for c in reader.csv(paths).columns]
-    schema = StructType([StructField(c, StringType()) for c in [*columns, CORRUPT]])
+        firsts = first_lines(spark, paths, "ISO-8859-1" if encoding == AUTO else encoding)
+        found = firsts.groupBy("first").agg(F.min("file").alias("file")).orderBy("file").collect()
+        if encoding == AUTO:
+            texts = [_utf8_if_valid(r["first"]) for r in found]
+        else:
+            texts = [r["first"] for r in found]
+        headers = [header_names(t) if header else [f"_c{i}" for i in range(len(header_names(t)))] for t in texts]
+    if not headers:
+        return _no_lines(spark, [], file_col)
+    width = max(map(len, headers))
+    schema = StructType([StructField(c, StringType()) for c in [*[f"_{i}" for i in range(width)], CORRUPT]])
     lines = (
-        reader.schema(schema)
+        spark.read.option("header", header).option("multiLine", multi_line).option("escape", '"')
+        .option("encoding", "ISO-8859-1" if encoding == AUTO else encoding)
+        .schema(schema)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("columnPruning", False)
@@ -48,13 +77,86 @@ def read_text_csv(
         .option("ignoreLeadingWhiteSpace", True)
         .csv(paths)
     )
+    lines = lines.select("*", F.col("_metadata.file_path").alias("_file"))
+    if encoding == AUTO:
+        valid = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.min(F.is_valid_utf8("value")).alias("_utf8"))
+        lines = lines.join(valid, "_file", "left")
+        text = lambda c: F.when(F.col("_utf8"), F.decode(F.encode(c, "ISO-8859-1"), "UTF-8")).otherwise(F.col(c))
+        lines = lines.withColumns({f.name: text(f.name) for f in schema})
+    # Which of the headers a line stands under.
+    if len(headers) == 1:
+        lines = lines.withColumn("_head", F.lit(1))
+    else:
+        which = F.array_position(F.array(*[F.lit(r["first"]) for r in found]), F.col("first")).cast("int")
+        lines = lines.join(firsts.select(F.col("file").alias("_file"), which.alias("_head")), "_file")
     # A quoted field counts as one, whatever it holds.
     bare = F.regexp_replace(CORRUPT, r'"([^"]|"")*"', "")
-    extra = F.length(F.regexp_replace(bare, "[^,]", "")) - (len(columns) - 1)
     # The first column is named so that the reader never has the damaged lines alone to deliver.
-    fits = F.coalesce(extra, F.length(F.col(f"`{columns[0]}`")) * 0, F.lit(0)) <= 0
-    file = [] if file_col is None else [F.col("_metadata.file_path").alias(file_col)]
-    return lines.select("*", *file).where(fits).select(*[F.col(f"`{c}`") for c in columns], *([file_col] if file_col else []))
+    fields = F.coalesce(F.length(F.regexp_replace(bare, "[^,]", "")) + 1, F.length("_0") * 0 + width, F.lit(width))
+    expected = F.element_at(F.array(*[F.lit(len(h)) for h in headers]), F.col("_head"))
+    counted = lines.withColumns({"_fields": fields, "_expected": expected})
+    good = counted.where(F.col("_fields") <= F.col("_expected"))
+    names = list(dict.fromkeys(c for h in headers for c in h))
+    out = []
+    for c in names:
+        places: dict[int, list[int]] = {}
+        for k, h in enumerate(headers, 1):
+            if c in h:
+                places.setdefault(h.index(c), []).append(k)
+        whole = len(places) == 1 and len(next(iter(places.values()))) == len(headers)
+        picks = [F.col(f"_{p}") if whole else F.when(F.col("_head").isin(ks), F.col(f"_{p}")) for p, ks in places.items()]
+        out.append((picks[0] if len(picks) == 1 else F.coalesce(*picks)).alias(c))
+    file = [] if file_col is None else [F.col("_file").alias(file_col)]
+    bad = counted.where(F.col("_fields") > F.col("_expected"))
+    line = F.coalesce(CORRUPT, F.concat_ws(",", *[f"_{i}" for i in range(width)]))
+    return good.select(*out, *file), bad.select(
+        F.col("_file").alias("file"), line.alias("line"), F.col("_fields").alias("fields"), F.col("_expected").alias("expected"))
+
+
+def _no_lines(spark: SparkSession, names: Sequence[str], file_col: str | None) -> tuple[DataFrame, DataFrame]:
+    columns = [*names, *([file_col] if file_col else [])] or ["_c0"]
+    return (spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns)),
+            spark.createDataFrame([], "file string, line string, fields int, expected int"))
+
+
+def first_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = "UTF-8") -> DataFrame:
+    """(file, first): the first line of each file that has one, written once.
+
+    Every piece of a file is a task of its own here, which ends with its first line, so that files aren't read through.
+    """
+    cost, most = "spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(cost)
+
+    def first(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    spark.conf.set(cost, spark.conf.get(most))
+    try:
+        lines = spark.read.schema("value string").option("header", False).option("sep", "\u0001").option("quote", "").option(
+            "encoding", encoding).option("maxCharsPerColumn", -1).csv(paths)
+        lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        return settle(lines.mapInArrow(first, lines.schema).where("start = 0").select("file", F.col("value").alias("first")))
+    finally:
+        spark.conf.set(cost, before)
+
+
+def header_names(line: str) -> list[str]:
+    """The names in a header line; nameless columns and repeated names are told apart by their place."""
+    cells = [c.strip() for c in next(csv.reader([line.removeprefix("\ufeff")], skipinitialspace=True), [])]
+    names = [c or f"_c{i}" for i, c in enumerate(cells)]
+    lowered = [n.lower() for n in names]
+    return [n if lowered.count(n.lower()) == 1 else f"{n}{i}" for i, n in enumerate(names)]
+
+
+def _utf8_if_valid(text: str) -> str:
+    """A line read as Latin-1, as UTF-8 if it is."""
+    try:
+        return text.encode("latin-1").decode("utf-8")
+    except UnicodeDecodeError:
+        return text
 
 
 def signal_csv(spark: SparkSession, path: str) -> DataFrame:
