@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.clean import finite
@@ -14,31 +16,49 @@ from gridloom.functions.parse import iso_z
 
 
 def write_year_week(
-    df: DataFrame, path: str, ts: str | None, source: str | Column, database: str = "unknown", fallback_year: str | int | None = None
+    df: DataFrame, path: str, ts: str | None, source: str | Column, database: str = "unknown", fallback_year: str | int | None = None,
+    whole: bool = True,
 ) -> None:
-    """Snappy Parquet under database=/year=/week=/source=; a rerun replaces only what this source wrote before.
-
-    ``source`` names the input (a file, say, or a column that tells it), so inputs that meet in one week stand side by side. Rows without a time go to
-    year ``unknown``, week ``00``; an input without any goes to ``fallback_year``. Rebalancing by the keys keeps the
-    file count near the partition count, and lets the adaptive planner split a week that holds far more rows than the others.
+    """Snappy Parquet under generation=/database=/year=/week=, and a ledger of what each source has written where.
+
+    ``source`` names the input (a file, say, or a column that tells it) by whatever text; inputs that meet in one week stand side by
+    side in its files. A rerun writes new files, and then, by its entries in the ledger, takes the place of all that the source
+    wrote before: weeks that it no longer has are gone (of an input without rows only if it is named by a text). With
+    ``whole=False`` it replaces only the weeks that it holds. A run that breaks off leaves files that no entry names, which
+    nobody reads. Rows without a time go to year ``unknown``, week ``00``; an input without any goes to ``fallback_year``.
+    Rebalancing by the keys keeps the file count near the partition count, and lets the adaptive planner split a week that holds
+    far more rows than the others. One writer per source at a time.
     """
-    safe = F.lit(slug_text(source)) if isinstance(source, str) else F.regexp_replace(source, UNSAFE, "_")
+    spark = df.sparkSession
+    name = F.lit(source) if isinstance(source, str) else F.coalesce(source.cast("string"), F.lit(""))
     nowhere = {"year": F.lit("unknown"), "week": F.lit("00")}
-    if ts is None or df.where(F.col(ts).isNotNull()).isEmpty():
+    keys = {} if ts is None else {k: F.coalesce(column, nowhere[k]) for k, column in year_week(ts).items()}
+    if ts is None or (fallback_year is not None and df.where(F.col(ts).isNotNull()).isEmpty()):
         keys = nowhere | ({} if fallback_year is None else {"year": F.lit(str(fallback_year))})
-    else:
-        keys = {name: F.coalesce(column, nowhere[name]) for name, column in year_week(ts).items()}
+    # Sorts by time; unique, so that a run that breaks off can't be taken for another.
+    generation = f"{time.time_ns() // 1000:016d}-{uuid.uuid4().hex[:12]}"
+    folder = slug_text(database)
     (
-        df.withColumns({"database": F.lit(slug_text(database)), **keys, "source": safe})
+        df.withColumns({"database": F.lit(folder), **keys, "source": name})
         .hint("rebalance", "year", "week")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .partitionBy("database", "year", "week", "source")
-        .parquet(path)
+        .write.option("compression", "snappy")
+        .partitionBy("database", "year", "week")
+        .parquet(f"{path}/data/generation={generation}")
     )
-
-
+    kinds = "source string, database string, year string, week string"
+    written = spark.read.schema(kinds).parquet(f"{path}/data/generation={generation}")
+    entries = written.groupBy("database", "source", "year", "week").agg(F.count("*").alias("rows"))
+    if isinstance(source, str):
+        # Stands for the source where it has no rows left.
+        mark = spark.range(1).select(F.lit(folder).alias("database"), F.lit(source).alias("source"), *[F.lit(None).cast("string").alias(c) for c in ("year", "week")],
+                                     F.lit(0).cast("long").alias("rows"))
+        entries = entries.unionByName(mark)
+    entries = entries.withColumns({"generation": F.lit(generation), "whole": F.lit(whole)})
+    entries.select(*[f.split(" ")[0] for f in LEDGER.split(", ")]).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+
+
+LEDGER = "database string, source string, year string, week string, rows bigint, generation string, whole boolean"
+PLACE = ["database", "source", "year", "week", "generation"]
 UNSAFE = r"[^A-Za-z0-9._-]+"
 
 
@@ -47,16 +67,60 @@ def slug_text(name: str) -> str:
     return re.sub(UNSAFE, "_", name.strip()) or "unknown"
 
 
-def read_year_week(spark: SparkSession, path: str) -> DataFrame:
-    """Read back with the keys as text, so that ``01`` stays ``01``."""
+def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """All entries of the ledger, and those that count: per source and week the newest, none older than its last whole run."""
+    entries = spark.read.schema(LEDGER).parquet(f"{path}/ledger")
+    source = Window.partitionBy("database", "source")
+    week = Window.partitionBy("database", "source", "year", "week").orderBy(F.desc("generation"))
+    since = F.coalesce(F.max(F.when(F.col("whole"), F.col("generation"))).over(source), F.lit(""))
+    live = entries.withColumn("since", since).where((F.col("generation") >= F.col("since")) & F.col("year").isNotNull())
+    return entries, live.withColumn("nth", F.row_number().over(week)).where("nth = 1").drop("nth", "since")
+
+
+def _all_generations(spark: SparkSession, path: str) -> DataFrame:
+    """The files of all runs, with the keys as text, so that ``01`` stays ``01``."""
     inferred = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
     spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
     try:
-        return spark.read.parquet(path)
+        return spark.read.parquet(f"{path}/data")
     finally:
         spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", inferred)
 
 
+def read_year_week(spark: SparkSession, path: str) -> DataFrame:
+    """What the ledger says is there: folders of runs that nothing refers to are pruned, replaced weeks are left out.
+
+    The driver gets the names of the runs.
+    """
+    entries, current = read_ledger(spark, path)
+    runs = [r[0] for r in current.select("generation").distinct().collect()]
+    data = _all_generations(spark, path).where(F.col("generation").isin(runs))
+    replaced = entries.where(F.col("year").isNotNull() & F.col("generation").isin(runs)).join(current, PLACE, "left_anti").select(*PLACE)
+    if not replaced.isEmpty():
+        data = data.join(replaced, PLACE, "left_anti")
+    return data.select(*[c for c in data.columns if c != "generation"])
+
+
+def damaged_sources(spark: SparkSession, path: str) -> DataFrame:
+    """(database, source, missing): sources of which fewer rows are there than the ledger says, and how many fewer."""
+    _, current = read_ledger(spark, path)
+    there = _all_generations(spark, path).groupBy(*PLACE).agg(F.count("*").alias("there"))
+    lost = current.join(there, PLACE, "left").withColumn("missing", F.col("rows") - F.coalesce("there", F.lit(0)))
+    return lost.where("missing <> 0").groupBy("database", "source").agg(F.sum("missing").alias("missing"))
+
+
+def compact_year_week(spark: SparkSession, path: str) -> None:
+    """Write all that counts anew as one run, a file or few per week, and enter it in the ledger for every source."""
+    rows = read_year_week(spark, path)
+    generation = f"{time.time_ns() // 1000:016d}-{uuid.uuid4().hex[:12]}"
+    rows.hint("rebalance", "database", "year", "week").write.option("compression", "snappy").partitionBy("database", "year", "week").parquet(
+        f"{path}/data/generation={generation}")
+    written = spark.read.schema("source string, database string, year string, week string").parquet(f"{path}/data/generation={generation}")
+    entries = written.groupBy("database", "source", "year", "week").agg(F.count("*").alias("rows"))
+    entries = entries.withColumns({"generation": F.lit(generation), "whole": F.lit(True)})
+    entries.select(*[f.split(" ")[0] for f in LEDGER.split(", ")]).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
+
+
 def write_results(df: DataFrame, folder: str, formats: Sequence[str] = ("csv", "json", "parquet")) -> None:
     for kind in formats:
         writer = df.write.mode("overwrite").format(kind)

@@ -39,7 +39,6 @@ def test_filters_and_columns_reach_the_scan(spark):
     df = QUERIES["scan_year"](spark, FOLDER)
     assert "year" in plan(df).split("PartitionFilters: [")[1].split("]")[0]
     # Only the folders of the two years are read.
-    assert {path.split("year=")[1][:4] for path in df.inputFiles()} >= {"1996", "1998"}
     names = "|".join(str(r[0]) for r in df.select(F.input_file_name()).distinct().collect())
     assert "year=1996" in names and "year=1998" in names and "year=1995" not in names
 
@@ -56,7 +55,7 @@ def test_partition_filter_prunes_files(spark, tmp_path):
     t = Tables(spark, FOLDER)
     sink.write_year_week(t.lineitem.select("l_orderkey", "l_shipdate"), path, "l_shipdate", "lines")
     text = plan(scan.scan_years(sink.read_year_week(spark, path).withColumn("y", F.col("year")), [1996], "year"))
-    assert "PartitionFilters: [" in text and "year" in text.split("PartitionFilters: [")[1][:80]
+    assert "PartitionFilters: [" in text and "year" in text.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_a_cluster_needs_a_shared_folder():
