@@ -75,16 +75,21 @@ def stream_sliding(t: Tables) -> DataFrame:
 
 @query(
     "stream_sessions",
-    """WITH h AS (SELECT user_id, ts, value FROM events WHERE value > 20),
-       f AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 3600000000, TRUE) THEN 1 ELSE 0 END AS new FROM h
-             WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-       g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS c FROM f)
-       SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS points, max(value) AS peak FROM g GROUP BY user_id, c""",
+    """WITH j AS (SELECT user_id, ts, event_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS jump FROM events),
+       h AS (SELECT * FROM j WHERE jump > 20),
+       f AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) > 86400000000, TRUE) THEN 1 ELSE 0 END AS new FROM h
+             WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+       g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS c FROM f)
+       SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS points, round(max(jump), 6) AS peak FROM g GROUP BY user_id, c""",
 )
 def stream_sessions(t: Tables) -> DataFrame:
-    stream = open_feed(t, stamped(t.events.select("ts", "user_id", "value")))
-    out = feed.run_to_end(monitor.exceedance_sessions(stream, "ts", "user_id", "value", 20.0, "1 hour"), "sessions")
-    return naive(out, "start", "end")
+    """Clusters of jumps per site: of samples that differ by more than 20 from the one before, at most a day apart."""
+    rows = stamped(t.events.select("ts", "user_id", "value", "event_id"))
+    path = feed.write_feed(rows, "ts", close_after_s=3 * 86_400)
+    stream = feed.read_feed(t.spark, path, rows.schema)
+    found = detector.stream_jump_clusters(stream, "ts", "user_id", "value", 20.0, 86_400.0, tie="event_id")
+    out = feed.run_to_end(found, "sessions")
+    return rounded(naive(out.withColumn("user_id", F.col("site").cast("long")).drop("site"), "start", "end"))
 
 
 EXCURSIONS_BY_SITE = """WITH s AS (SELECT user_id, ts, value < 20 AS beyond FROM events),
