@@ -1,7 +1,7 @@
 """Work in time order without moving the whole table into one task.
 
 A window ordered by time but without a partition key runs in a single task. Here the time axis
-is cut into *slices* of roughly equal row count. The cut points come from one quantile sketch,
+is cut into *slices* of roughly equal row count. The cut points come from a tree of quantile sketches,
 so a burst holding a third of all rows is spread over a third of the slices. Cut points are
 literals in the plan: every branch and every retry assigns a row to the same slice.
 """
@@ -30,6 +30,8 @@ _FIRST_SKETCH = 1024
 _SMALL_SLICE = 500
 _FEW_SLICES = 8
 _MID_BITS = 33
+#: Shares of the tasks whose sketches are merged apart: a hundredth part of them and less in each.
+_SHARES = 128
 
 
 def micros(column: str | Column) -> Column:
@@ -93,13 +95,23 @@ def _locate(df: DataFrame, key: Column, cuts: Sequence[float], name: str) -> Dat
     return keyed.withColumn(name, F.coalesce(F.col("_cut_slice").cast("int"), F.lit(0))).drop("_cut_key", "_cut_slice")
 
 
-def _marks(column: str, parts: int) -> Column:
+def _tree_marks(df: DataFrame, key: Column, parts: int, by: Sequence[str] = ()) -> DataFrame:
+    """Per group: rows with a key, and ``q``, the keys that cut them into ``parts`` of equal size (null without rows).
+
+    Sketches are merged in two steps, those of a share of the tasks first, so that no task merges all of them.
+    """
+    kind = "bigint" if dict(df.select(key.alias("_k")).dtypes)["_k"] in ("tinyint", "smallint", "int", "bigint") else "double"
+    size = min(65_535, max(1024, 8 * parts))
     shares = ",".join(f"{i / parts:.10f}D" for i in range(1, parts))
-    return F.expr(f"percentile_approx({column}, array({shares}), {parts * 20})")
+    rows = df.select(*by, key.cast(kind).alias("_k"), F.pmod(F.spark_partition_id(), F.lit(_SHARES)).alias("_share"))
+    some = rows.groupBy(*by, "_share").agg(F.count("_k").alias("n"), F.expr(f"kll_sketch_agg_{kind}(_k, {size})").alias("s"))
+    whole = some.groupBy(*by).agg(F.sum("n").alias("n"), F.expr(f"kll_merge_agg_{kind}(s, {size})").alias("s"))
+    found = F.expr(f"CASE WHEN n > 0 THEN kll_sketch_get_quantile_{kind}(s, array({shares})) END")
+    return whole.select(*by, F.coalesce("n", F.lit(0)).alias("n"), found.alias("q"))
 
 
 def _sketch(df: DataFrame, key: Column, parts: int) -> tuple[int, list[int]]:
-    row = df.select(key.alias("_k")).agg(F.count("_k").alias("n"), _marks("_k", parts).alias("q")).first()
+    row = _tree_marks(df, key, parts).first()
     return row["n"], list(row["q"] or [])
 
 
@@ -132,9 +144,10 @@ def plan_slices(
     crowded = []
     if crowds:
         parts = max(seen[v] for v in crowds) + 1
-        found = df.where(key.isin(crowds)).groupBy(key.alias("_k")).agg(_marks(f"`{tie}`", parts).alias("q")).collect()
-        for r in sorted(found, key=lambda r: r["_k"]):
-            crowded.append((cuts.index(r["_k"]) + 1, tuple(float(v) for v in sorted(set(r["q"])))))
+        crowd = df.where(key.isin(crowds)).select(key.alias("_crowd"), F.col(tie).cast("double").alias("_tie"))
+        found = _tree_marks(crowd, F.col("_tie"), parts, ["_crowd"]).where("q is not null").collect()
+        for r in sorted(found, key=lambda r: r["_crowd"]):
+            crowded.append((cuts.index(r["_crowd"]) + 1, tuple(float(v) for v in sorted(set(r["q"])))))
     slices = Slices(cuts, rows, tuple(crowded))
     if not count:
         return slices
