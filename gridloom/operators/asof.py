@@ -198,10 +198,26 @@ def asof_join(
     return fuse(left, left_ts, [source], by, unique_left)
 
 
+#: Reach of the looks around an instant, each wider than the one before.
+_REACHES = ("1 hour", "1 day", "30 days", "1000 days")
+
+
 def nearest_row(df: DataFrame, ts: str, instant: str) -> DataFrame:
-    """The row nearest to one instant; of two equally near rows the later one."""
+    """The row nearest to one instant; of two equally near rows the later one.
+
+    Looks at a narrow interval first, whose bounds reach the scan, and widens it until it holds a row: what lies outside is
+    farther away than anything inside. Rows without a time are never nearest, unless there are no others.
+    """
+    kind = dict(df.dtypes)[ts]
     at = F.lit(instant).cast("timestamp")
-    return df.orderBy(F.abs(micros(ts) - F.unix_micros(at)), F.col(ts).desc()).limit(1)
+    part = df
+    for reach in _REACHES:
+        low, high = ((at + F.expr(f"{sign} INTERVAL {reach}")).cast(kind) for sign in ("-", "+"))
+        near = df.where((F.col(ts) >= low) & (F.col(ts) <= high))
+        if not near.isEmpty():
+            part = near
+            break
+    return part.orderBy(F.abs(micros(ts) - F.unix_micros(at)).asc_nulls_last(), F.col(ts).desc()).limit(1)
 
 
 def context_rows(df: DataFrame, ts: str, instant: str, rows: int) -> DataFrame:

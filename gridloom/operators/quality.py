@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.timeorder import position_in_group
@@ -198,9 +198,10 @@ def header_drift(previous: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def merge_mapping(fresh: DataFrame, earlier: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Automatic mapping with every non-blank earlier value kept, matched on the k-th use of a header."""
-    new = position_in_group(fresh, ["dataset", "header"], ["position"], "nth")
-    old = position_in_group(earlier, ["dataset", "header"], ["position"], "nth").select(
+    """Automatic mapping with every non-blank earlier value kept, matched on the k-th use of a header (few in a file)."""
+    nth = F.row_number().over(Window.partitionBy("dataset", "header").orderBy("position")) - 1
+    new = fresh.withColumn("nth", nth)
+    old = earlier.withColumn("nth", nth).select(
         "dataset", "header", "nth", *[F.col(f).alias(f"_old_{f}") for f in fields]
     )
     joined = new.join(old, ["dataset", "header", "nth"], "left")

@@ -72,3 +72,27 @@ def test_a_cluster_needs_a_shared_folder():
             shared_folder(session(master))
         assert shared_folder(session(master, "file:///shared/")) == "file:///shared"
     assert shared_folder(session("local[4]"))
+
+
+def test_sketches_are_merged_in_two_steps(spark):
+    """No reducer merges the sketches of all tasks: shares of them first, then one sketch per share."""
+    from gridloom.operators import timeorder
+
+    t = Tables(spark, FOLDER)
+    text = plan(timeorder._tree_marks(t.events, timeorder.micros("ts"), 64))
+    assert text.count("Exchange") >= 2 and "kll_merge_agg" in text and "percentile_approx" not in text
+    rows, marks = timeorder._sketch(t.events, timeorder.micros("ts"), 64)
+    assert rows == t.events.count() and marks == sorted(marks) and len(marks) == 63
+    assert timeorder._sketch(t.events.limit(0), timeorder.micros("ts"), 64) == (0, [])
+    assert timeorder._SHARES <= 1000
+
+
+def test_one_instant_reads_a_narrow_interval(spark):
+    from gridloom.operators.asof import nearest_row
+
+    t = Tables(spark, FOLDER)
+    text = plan(nearest_row(t.signal(), "ts", "2024-01-15 12:00:00"))
+    assert "GreaterThanOrEqual(ts" in text and "LessThanOrEqual(ts" in text
+    # Nothing near: the whole table is looked at.
+    far = nearest_row(t.signal(), "ts", "1950-01-01 00:00:00").first()
+    assert far["ts"] == t.signal().agg(F.min("ts")).first()[0]
