@@ -50,7 +50,7 @@ def timestamp_multi(text: str | Column, formats: Sequence[str] = TS_FORMATS, day
     Spark and costs far more than a match against a short pattern.
     """
     text = F.trim(_c(text))
-    named = [F.when(text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
+    named = [F.when(_may_be(text, f) & text.rlike(_shape(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats]
     return F.coalesce(*named, general_timestamp(text, dayfirst))
 
 
@@ -68,6 +68,16 @@ def general_timestamp(text: Column, dayfirst: bool = True) -> Column:
     return F.coalesce(F.when(usual, plain.try_cast("timestamp")), *named)
 
 
+def _may_be(text: Column, layout: str) -> Column:
+    """Whether a text has a length of the layout and its first mark in the same place: one pattern at most is then matched."""
+    plain = layout.replace("'", "")
+    size = len(plain.replace("XXX", ""))
+    zone = ("XXX" in layout) * 1
+    mark = next(i for i, c in enumerate(plain) if not c.isalpha())
+    lengths = [size + 1, size + 6] if zone else [size]
+    return F.length(text).isin(lengths) & (F.substring(text, mark + 1, 1) == plain[mark])
+
+
 def _shape(layout: str) -> str:
     """Pattern of the texts a layout can match."""
     out, i = "", 0

@@ -42,11 +42,12 @@ def write_year_week(
         df.withColumns({"database": F.lit(folder), **keys, "source": name})
         .hint("rebalance", "year", "week")
         .write.option("compression", "snappy")
+        # Tasks put their files in place themselves: nobody reads them before the ledger has its entries.
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
         .partitionBy("database", "year", "week")
         .parquet(f"{path}/data/generation={generation}")
     )
-    kinds = "source string, database string, year string, week string"
-    written = spark.read.schema(kinds).parquet(f"{path}/data/generation={generation}")
+    written = _read_folders(spark, f"{path}/data/generation={generation}", KEYS)
     entries = written.groupBy("database", "source", "year", "week").agg(F.count("*").alias("rows"))
     if isinstance(source, str):
         # Stands for the source where it has no rows left.
@@ -58,6 +59,7 @@ def write_year_week(
 
 
 LEDGER = "database string, source string, year string, week string, rows bigint, generation string, whole boolean"
+KEYS = "source string, database string, year string, week string"
 PLACE = ["database", "source", "year", "week", "generation"]
 UNSAFE = r"[^A-Za-z0-9._-]+"
 
@@ -67,24 +69,30 @@ def slug_text(name: str) -> str:
     return re.sub(UNSAFE, "_", name.strip()) or "unknown"
 
 
-def read_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """All entries of the ledger, and those that count: per source and week the newest, none older than its last whole run."""
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of the ledger with ``current``: per source and week the newest counts, if no later whole run has replaced it."""
     entries = spark.read.schema(LEDGER).parquet(f"{path}/ledger")
     source = Window.partitionBy("database", "source")
     week = Window.partitionBy("database", "source", "year", "week").orderBy(F.desc("generation"))
     since = F.coalesce(F.max(F.when(F.col("whole"), F.col("generation"))).over(source), F.lit(""))
-    live = entries.withColumn("since", since).where((F.col("generation") >= F.col("since")) & F.col("year").isNotNull())
-    return entries, live.withColumn("nth", F.row_number().over(week)).where("nth = 1").drop("nth", "since")
+    newest = (F.row_number().over(week) == 1) & (F.col("generation") >= F.col("since"))
+    return entries.withColumn("since", since).withColumn("current", newest).where("year is not null").drop("since")
 
 
-def _all_generations(spark: SparkSession, path: str) -> DataFrame:
-    """The files of all runs, with the keys as text, so that ``01`` stays ``01``."""
-    inferred = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+#: Tasks that list folders: one each would cost more than the listing.
+_LISTING = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64", "spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
+
+
+def _read_folders(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A table of many folders, with the keys as text, so that ``01`` stays ``01``."""
+    before = {name: spark.conf.get(name) for name in _LISTING}
+    for name, value in _LISTING.items():
+        spark.conf.set(name, value)
     try:
-        return spark.read.parquet(f"{path}/data")
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     finally:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", inferred)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def read_year_week(spark: SparkSession, path: str) -> DataFrame:
@@ -92,19 +100,20 @@ def read_year_week(spark: SparkSession, path: str) -> DataFrame:
 
     The driver gets the names of the runs.
     """
-    entries, current = read_ledger(spark, path)
-    runs = [r[0] for r in current.select("generation").distinct().collect()]
-    data = _all_generations(spark, path).where(F.col("generation").isin(runs))
-    replaced = entries.where(F.col("year").isNotNull() & F.col("generation").isin(runs)).join(current, PLACE, "left_anti").select(*PLACE)
-    if not replaced.isEmpty():
+    entries = read_ledger(spark, path)
+    runs = entries.groupBy("generation").agg(F.count_if("current").alias("live"), F.count_if(~F.col("current")).alias("dead")).where("live > 0").collect()
+    names = [r["generation"] for r in runs]
+    data = _read_folders(spark, f"{path}/data").where(F.col("generation").isin(names))
+    if any(r["dead"] for r in runs):
+        replaced = entries.where(~F.col("current") & F.col("generation").isin(names)).select(*PLACE)
         data = data.join(replaced, PLACE, "left_anti")
     return data.select(*[c for c in data.columns if c != "generation"])
 
 
 def damaged_sources(spark: SparkSession, path: str) -> DataFrame:
     """(database, source, missing): sources of which fewer rows are there than the ledger says, and how many fewer."""
-    _, current = read_ledger(spark, path)
-    there = _all_generations(spark, path).groupBy(*PLACE).agg(F.count("*").alias("there"))
+    current = read_ledger(spark, path).where("current")
+    there = _read_folders(spark, f"{path}/data").groupBy(*PLACE).agg(F.count("*").alias("there"))
     lost = current.join(there, PLACE, "left").withColumn("missing", F.col("rows") - F.coalesce("there", F.lit(0)))
     return lost.where("missing <> 0").groupBy("database", "source").agg(F.sum("missing").alias("missing"))
 
@@ -115,7 +124,7 @@ def compact_year_week(spark: SparkSession, path: str) -> None:
     generation = f"{time.time_ns() // 1000:016d}-{uuid.uuid4().hex[:12]}"
     rows.hint("rebalance", "database", "year", "week").write.option("compression", "snappy").partitionBy("database", "year", "week").parquet(
         f"{path}/data/generation={generation}")
-    written = spark.read.schema("source string, database string, year string, week string").parquet(f"{path}/data/generation={generation}")
+    written = _read_folders(spark, f"{path}/data/generation={generation}", KEYS)
     entries = written.groupBy("database", "source", "year", "week").agg(F.count("*").alias("rows"))
     entries = entries.withColumns({"generation": F.lit(generation), "whole": F.lit(True)})
     entries.select(*[f.split(" ")[0] for f in LEDGER.split(", ")]).coalesce(1).write.mode("append").parquet(f"{path}/ledger")
