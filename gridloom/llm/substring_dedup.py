@@ -100,8 +100,10 @@ def _level(docs: DataFrame, width: int, length: int, narrowed: int | None) -> Da
 
         return work
 
-    # Written as one row of lists per text: they are read twice.
-    out = settle(map_documents(docs, ["id", "x1", "text", *(["alive"] if narrowed is not None else [])], "text", schema, start))
+    out = map_documents(docs, ["id", "x1", "text", *(["alive"] if narrowed is not None else [])], "text", schema, start)
+    if narrowed is not None:
+        # Read twice, and texts were joined for it; the first level, which is the largest, is computed twice instead.
+        out = settle(out)
     each = out.select("id", "x1", F.explode(F.arrays_zip("hashes", "places", "twice")).alias("w"))
     return each.select("id", "x1", *[F.col(f"w.{n}").alias(m) for n, m in (("hashes", "hash"), ("places", "place"), ("twice", "twice"))])
 
