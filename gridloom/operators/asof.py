@@ -129,6 +129,7 @@ def fuse(
     rights = [_compact(s, by) for s in sources]
     if slices is None:
         slices = plan_slices(left, micros(ts), axis=time_axis([(left, ts), *[(s.df, s.ts) for s in sources]]))
+    slices = slices.without_ties()
     keys = slices.assign(keys, F.col(_T))
     renamed = [
         r.withColumnsRenamed({"last": f"_last{i}", "first": f"_first{i}"}) for i, r in enumerate(rights)

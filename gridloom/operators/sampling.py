@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.operators.timeorder import position_in_group, row_index
+from gridloom.operators.timeorder import position_in_group, select_positions
+
+#: Most rows that one task puts together from the best rows of all tasks; larger selections go by counts per slice.
+HEAP_ROWS = 100_000
 
 
 def head_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first n rows in order (a distributed top-k, no full sort)."""
-    return df.orderBy(*order).limit(n)
+    """The first n rows in order (a distributed top-k, no full sort); missing values come first."""
+    if n <= HEAP_ROWS:
+        return df.orderBy(*order).limit(n)
+    first = select_positions(df, order, lambda rows: (lambda start, end: start < n, F.col("_at") < n), "_at", nulls_last=False)
+    return first.drop("_at")
 
 
 def tail_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The newest n rows, oldest first."""
-    return df.orderBy(*[F.col(c).desc() for c in order]).limit(n).orderBy(*order)
+    """The newest n rows, oldest first. Large selections come in range partitions instead of one."""
+    if n <= HEAP_ROWS:
+        return df.orderBy(*[F.col(c).desc() for c in order]).limit(n).orderBy(*order)
+    last = select_positions(
+        df, order, lambda rows: (lambda start, end: end > rows - n, F.col("_at") >= rows - n), "_at", nulls_last=False
+    )
+    return last.orderBy("_at").drop("_at")
 
 
 def top_n(df: DataFrame, by: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
@@ -38,15 +49,21 @@ def row_stride(df: DataFrame, order: Sequence[str], stride: int, source: str | N
 
 def even_downsample(df: DataFrame, order: Sequence[str], k: int) -> DataFrame:
     """k rows at evenly spaced positions, first and last included; all rows when there are fewer."""
-    indexed = row_index(df, order)
-    n = indexed.count()
-    if k <= 0 or n <= k:
-        return indexed
-    # Row p is position floor(i * (n - 1) / (k - 1)) for some i, exactly when the step lands on it.
-    if k == 1:
-        return indexed.where(F.col("row_no") == 0)
-    step = f"((row_no * {k - 1}L + {n - 2}L) div {n - 1}L)"
-    return indexed.where(f"({step} * {n - 1}L) div {k - 1}L = row_no")
+
+    def wanted(n: int) -> tuple[Callable[[int, int], bool], Column]:
+        if k <= 0 or n <= k:
+            return (lambda start, end: True), F.lit(True)
+        if k == 1:
+            return (lambda start, end: start == 0), F.col("row_no") == 0
+        # Row p is position floor(i * (n - 1) / (k - 1)) for some i, exactly when the step lands on it.
+        step = f"((row_no * {k - 1}L + {n - 2}L) div {n - 1}L)"
+
+        def may(start: int, end: int) -> bool:
+            return (start * (k - 1) + n - 2) // (n - 1) * (n - 1) // (k - 1) < end
+
+        return may, F.expr(f"({step} * {n - 1}L) div {k - 1}L = row_no")
+
+    return select_positions(df, order, wanted)
 
 
 def window_slice(df: DataFrame, ts: str, seconds: float, start: str | None = None) -> DataFrame:
@@ -61,12 +78,21 @@ def window_slice(df: DataFrame, ts: str, seconds: float, start: str | None = Non
 def sample_rows(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """n rows chosen by a seeded hash of the key: repeatable whatever the partitioning."""
     drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
-    return df.orderBy(drawn, *key).limit(n)
+    if n <= HEAP_ROWS:
+        return df.orderBy(drawn, *key).limit(n)
+    # The first digits as a number never fall where the whole hash rises.
+    marked = df.withColumns({"_draw": drawn, "_draw_no": F.conv(F.left(drawn, F.lit(12)), 16, 10).cast("bigint")})
+    return head_rows(marked, ["_draw_no", "_draw", *key], n).drop("_draw", "_draw_no")
 
 
 def chronological_split(df: DataFrame, order: Sequence[str], share: float = 0.8) -> DataFrame:
     """Mark the first ``int(n * share)`` rows, at least 1 and at most n - 1, as ``train``."""
-    indexed = row_index(df, order)
-    n = indexed.count()
-    cut = min(max(int(n * share), 1), max(n - 1, 1))
+    cut = 0
+
+    def wanted(n: int) -> tuple[Callable[[int, int], bool], Column]:
+        nonlocal cut
+        cut = min(max(int(n * share), 1), max(n - 1, 1))
+        return (lambda start, end: True), F.lit(True)
+
+    indexed = select_positions(df, order, wanted)
     return indexed.withColumn("part", F.when(F.col("row_no") < cut, "train").otherwise("test"))

@@ -34,20 +34,20 @@ def aligned_rocof(
     back. Both steps use one set of cuts, taken from the raw time columns.
     """
     if slices is None:
-        slices = shared_slices(signal, ts, context, context_ts)
+        slices = shared_slices(signal, ts, context, context_ts, tie)
     rates = rocof(signal, ts, value, stamp, tie, slices)
     source = Source(context, context_ts, columns, "matched_", tolerance=tolerance_s)
     return fuse(rates, "rocof_timestamp", [source], unique_left=True, slices=slices)
 
 
-def shared_slices(signal: DataFrame, ts: str, context: DataFrame, context_ts: str) -> Slices:
+def shared_slices(signal: DataFrame, ts: str, context: DataFrame, context_ts: str, tie: Sequence[str] = ()) -> Slices:
     axis = time_axis([(signal, ts), (context, context_ts)])
-    return plan_slices(signal, micros(ts), count=True, axis=axis)
+    return plan_slices(signal, micros(ts), next(iter(tie), None), count=True, axis=axis)
 
 
 def rocof_report(signal: DataFrame, context: DataFrame, ts: str, value: str, context_ts: str, **how) -> DataFrame:
     """Summary of the aligned rates; only the match itself is carried through the join."""
-    slices = shared_slices(signal, ts, context, context_ts)
+    slices = shared_slices(signal, ts, context, context_ts, how.get("tie", ()))
     aligned = aligned_rocof(signal, context, ts, value, context_ts, [], slices=slices, **how)
     return rate_summary(aligned, matched="matched_ts")
 

@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import events, timeorder, windows
+from gridloom.operators import events, sampling, timeorder, windows
 from gridloom.operators.sampling import chronological_split, even_downsample, row_stride
 from gridloom.operators.timeorder import micros, plan_slices
+from gridloom.plans import alignment
 
 N = 1500
 
@@ -204,3 +205,87 @@ def test_cadence_counts_every_site_and_step(spark):
     few = cadence(spark.createDataFrame(rows, "site int, ts timestamp"), "site", "ts", sites=1, steps=3).first()
     assert few["median_s"] == 600 and few["period_s"] == 1800
     assert cadence(spark.createDataFrame([], "site int, ts timestamp"), "site", "ts").first()["period_s"] == 1800
+
+
+@pytest.fixture(scope="module")
+def named_crowd(crowd, spark):
+    """The same signal with text ties that share a long beginning; some are missing, and so are some times."""
+    pdf, _ = crowd
+    named = pdf.assign(name=[None if i % 50 == 7 else f"site/öst/meter-{i:06d}" for i in range(N)])
+    named = named.assign(ts=[None if i % 9 == 4 else t for i, t in enumerate(named["ts"])])
+    shuffled = named.sample(frac=1, random_state=2)
+    rows = [(None if pd.isna(t) else t.to_pydatetime(), i, v, n) for t, i, v, n in shuffled.itertuples(index=False)]
+    return named, spark.createDataFrame(rows, "ts timestamp, id long, value double, name string").repartition(5)
+
+
+def in_order(pdf, nulls):
+    missing = -1 if nulls == "first" else 1
+    rows = pdf.to_dict("records")
+    rows.sort(key=lambda r: (missing * pd.isna(r["ts"]), 0 if pd.isna(r["ts"]) else r["ts"].value,
+                             missing * (r["name"] is None), r["name"] or "", r["id"]))
+    return [r["id"] for r in rows]
+
+
+def test_text_tie_cuts_a_crowd(named_crowd, many_slices):
+    named, df = named_crowd
+    slices = plan_slices(df, micros("ts"), "name", count=True)
+    assert slices.crowded and all(skip >= len("site/öst/meter-0".encode()) for _, _, skip in slices.crowded)
+    timed = named[named["ts"].notna()]
+    assert sum(slices.counts) == len(timed) and max(slices.counts) < N / 6
+    got = collect(windows.lag_features(df, "ts", "value", (1,), 1, ["name", "id"]), ["id"])
+    values = dict(zip(named["id"], named["value"]))
+    order = [i for i in in_order(named, "first") if pd.notna(named["ts"][i])]
+    before = {b: values[a] for a, b in zip(order, order[1:])}
+    assert len(got) == len(before) and all(before[r.id] == r.lag_1 for r in got.itertuples())
+
+
+def test_positions_with_missing_times_and_ties(named_crowd, many_slices):
+    named, df = named_crowd
+    want = {i: at for at, i in enumerate(in_order(named, "last"))}
+    order = ["ts", "name", "id"]
+    index = timeorder.row_index(df, order).toPandas()
+    assert len(index) == N and all(want[r.id] == r.row_no for r in index.itertuples())
+    by_text = timeorder.row_index(df, ["name", "id"]).toPandas().sort_values("row_no")
+    missing_last = sorted(range(N), key=lambda i: (named["name"][i] is None, named["name"][i] or "", i))
+    assert by_text["id"].tolist() == missing_last
+    groups = df.withColumn("k", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id") % 5)))
+    seen, place = {}, {}
+    keys = {r["id"]: r["k"] for r in groups.select("id", "k").collect()}
+    for i in in_order(named, "last"):
+        place[i] = seen[keys[i]] = seen.get(keys[i], -1) + 1
+    got = timeorder.position_in_group(groups, ["k"], order).toPandas()
+    assert len(got) == N and all(place[r.id] == r.row_no for r in got.itertuples())
+
+
+@pytest.mark.parametrize("n", [0, 1, 333, 1400, N, 5000])
+def test_large_selections_equal_small_ones(named_crowd, many_slices, monkeypatch, n):
+    named, df = named_crowd
+    order, first = ["ts", "name", "id"], in_order(named, "first")
+    drawn = sorted(r["id"] for r in sampling.sample_rows(df, n, ["id"]).collect())
+    monkeypatch.setattr(sampling, "HEAP_ROWS", -1)
+    assert sorted(r["id"] for r in sampling.head_rows(df, order, n).collect()) == sorted(first[:n])
+    assert [r["id"] for r in sampling.tail_rows(df, order, n).collect()] == first[max(N - n, 0):]
+    assert sorted(r["id"] for r in sampling.sample_rows(df, n, ["id"]).collect()) == drawn
+
+
+def test_selections_write_nothing_and_skip_slices(crowd, many_slices, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a selection by counts writes no table")
+
+    _, df = crowd
+    monkeypatch.setattr(timeorder, "settle", refuse)
+    assert chronological_split(df, ["ts", "id"], 0.8).where("part = 'train'").count() == 1200
+    assert row_stride(df.withColumn("k", F.col("id") % 2), ["ts", "id"], 8, "k").count() == 188
+    assert even_downsample(df, ["ts", "id"], 3).count() == 3
+    plan = even_downsample(df, ["ts", "id"], 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert " IN (" in plan or "INSET" in plan
+    assert even_downsample(df.limit(0), ["ts", "id"], 3).count() == 0
+
+
+def test_shared_cuts_take_the_tie(crowd, spark, many_slices):
+    pdf, df = crowd
+    context = spark.createDataFrame(pdf[["ts", "value"]].drop_duplicates("ts").iloc[::7])
+    slices = alignment.shared_slices(df, "ts", context, "ts", ["id"])
+    assert slices.crowded and max(slices.counts) < N / 6
+    aligned = alignment.aligned_rocof(df, context, "ts", "value", "ts", ["value"], tie=["id"]).toPandas()
+    assert len(aligned) == pdf["ts"].nunique() - 1
