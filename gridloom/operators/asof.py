@@ -7,12 +7,25 @@ may lie any number of slices away and no tolerance is needed for the plan to be
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    BooleanType,
+    ByteType,
+    DateType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    ShortType,
+    StructType,
+    TimestampNTZType,
+    TimestampType,
+)
 
 from gridloom.operators.timeorder import SLICE, Slices, micros, plan_slices
 
@@ -52,6 +65,20 @@ def time_axis(tables: Sequence[tuple[DataFrame, str]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), [df.select(micros(ts).alias("_k")) for df, ts in tables])
 
 
+#: Types whose aggregation buffers are updated in place, so that Spark aggregates by hash and sorts nothing.
+_FIXED = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleType, BooleanType, DateType, TimestampType, TimestampNTZType)
+
+
+def _row_at(pick: Callable[[Column, Column], Column], row: Column, kind: StructType, rank: Column, fixed: bool = True) -> Column:
+    """The struct ``row`` at the largest (``F.max_by``) or least rank; null where no rank is known.
+
+    Structs of fixed-size fields are looked up field by field: all fields follow one rank, so they come from one row.
+    """
+    if not fixed or not all(isinstance(f.dataType, _FIXED) for f in kind.fields):
+        return pick(row, rank)
+    return F.when(F.count(rank) > 0, F.struct(*[pick(row[f.name], rank).alias(f.name) for f in kind.fields]))
+
+
 def _compact(source: Source, by: Sequence[str]) -> DataFrame:
     """One row per (by, instant) with the first and the last of the rows sharing it."""
     payload = F.struct(F.col(source.ts).alias("at"), *[F.col(c) for c in source.columns])
@@ -59,16 +86,23 @@ def _compact(source: Source, by: Sequence[str]) -> DataFrame:
     frame = source.df.where(F.col(source.ts).isNotNull())
     if source.unique:
         return frame.select(*by, micros(source.ts).alias(_T), payload.alias("last"), payload.alias("first"))
+    kind = frame.select(payload.alias("_p"), rank.alias("_r")).schema
+    fixed = isinstance(kind["_r"].dataType, _FIXED)
     return frame.groupBy(*by, micros(source.ts).alias(_T)).agg(
-        F.max_by(payload, rank).alias("last"), F.min_by(payload, rank).alias("first")
+        _row_at(F.max_by, payload, kind["_p"].dataType, rank, fixed).alias("last"),
+        _row_at(F.min_by, payload, kind["_p"].dataType, rank, fixed).alias("first"),
     )
 
 
 def _carry(keys: DataFrame, rights: DataFrame, by: Sequence[str], n: int, slices: int) -> DataFrame:
     """For each (by, slice) holding left rows: the rows of every source just before and after it."""
+
+    def edge(pick: Callable[[Column, Column], Column], name: str) -> Column:
+        row = F.col(name)
+        return _row_at(pick, row, rights.schema[name].dataType, F.when(row.isNotNull(), F.col(_T))).alias(name)
+
     edges = rights.groupBy(*by, SLICE).agg(
-        *[F.max_by(f"_last{i}", F.when(F.col(f"_last{i}").isNotNull(), F.col(_T))).alias(f"_last{i}") for i in range(n)],
-        *[F.min_by(f"_first{i}", F.when(F.col(f"_first{i}").isNotNull(), F.col(_T))).alias(f"_first{i}") for i in range(n)],
+        *[edge(F.max_by, f"_last{i}") for i in range(n)], *[edge(F.min_by, f"_first{i}") for i in range(n)]
     )
     # Without by-columns every slice gets its carry row; no need to look which ones hold left rows.
     pairs = keys.select(*by, SLICE).distinct() if by else keys.sparkSession.range(slices).select(F.col("id").cast("int").alias(SLICE))

@@ -96,3 +96,9 @@ def test_one_instant_reads_a_narrow_interval(spark):
     # Nothing near: the whole table is looked at.
     far = nearest_row(t.signal(), "ts", "1950-01-01 00:00:00").first()
     assert far["ts"] == t.signal().agg(F.min("ts")).first()[0]
+
+
+@pytest.mark.parametrize("key", ["asof_nearest", "asof_by_site", "fusion_chain"])
+def test_context_rows_are_combined_without_a_sort(spark, key):
+    """Rows of fixed size are aggregated by hash before they are shuffled."""
+    assert "SortAggregate" not in plan(QUERIES[key](spark, FOLDER))
