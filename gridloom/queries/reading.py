@@ -363,10 +363,9 @@ def append_dedupe(t: Tables) -> DataFrame:
     text = t.events.select(F.col("user_id").cast("string"), "event_type", "props", "event_id")
     first = text.where("event_id % 2 = 0").select("user_id", "event_type")
     second = text.where("event_id % 2 = 1").select("user_id", "event_type", F.col("props").alias("k"))
-    history = sink.append_history(t.spark, path, first, None)
-    history = sink.append_history(t.spark, path, first, history)
-    history = sink.append_history(t.spark, path, second, history)
-    return sink.append_history(t.spark, path, second, history)
+    for batch in (first, first, second, second):
+        history = sink.append_history(t.spark, path, batch, digits=1)
+    return history
 
 
 @query(

@@ -7,12 +7,18 @@ import time
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.functions.clean import finite
 from gridloom.functions.features import year_week
 from gridloom.functions.parse import iso_z
+from gridloom.session import settle
+
+#: Columns of a history table: the signature, and its first digits, which name a folder.
+_SIGNATURE, _PREFIX = "_signature", "_prefix"
 
 
 def write_year_week(
@@ -83,13 +89,13 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 _LISTING = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": "64", "spark.sql.sources.partitionColumnTypeInference.enabled": "false"}
 
 
-def _read_folders(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def _read_folders(spark: SparkSession, path: str, schema: str | None = None, merge: bool = False) -> DataFrame:
     """A table of many folders, with the keys as text, so that ``01`` stays ``01``."""
     before = {name: spark.conf.get(name) for name in _LISTING}
     for name, value in _LISTING.items():
         spark.conf.set(name, value)
     try:
-        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).option("mergeSchema", merge).parquet(path)
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
@@ -169,10 +175,58 @@ def new_rows(history: DataFrame | None, batch: DataFrame) -> DataFrame:
     return signed.drop("signature").select(*header)
 
 
-def append_history(spark: SparkSession, path: str, batch: DataFrame, history: DataFrame | None) -> DataFrame:
-    """Append the new rows to the history table and read it back; a second run adds nothing."""
-    new_rows(history, batch).write.mode("append").parquet(path)
-    return spark.read.option("mergeSchema", True).parquet(path)
+def lasting_signature(columns: Sequence[str]) -> Column:
+    """SHA-1 over the names and trimmed values that aren't blank: a header that grows by a column leaves it as it is."""
+    parts = []
+    for c in sorted(columns):
+        text = F.trim(F.col(f"`{c}`").cast("string"))
+        # Lengths keep names and values apart whatever they hold; concat_ws leaves missing parts out.
+        parts.append(F.when(text != "", F.concat(F.lit(f"{len(c)}:{c}="), F.length(text).cast("string"), F.lit(":"), text)))
+    return F.sha1(F.concat_ws("\x1f", *parts))
+
+
+def append_history(spark: SparkSession, path: str, batch: DataFrame, digits: int = 2) -> DataFrame:
+    """Append the batch rows that the history at ``path`` lacks, each once; gives the history (see :func:`read_history`).
+
+    Every row is stored with its signature, computed once, in folders by the signature's first ``digits`` hex digits. A
+    batch meets only signatures, and only those in folders that it touches; the driver learns at most 16 ** digits names.
+    A repeated or broken-off append can be run again: what is there already is not added twice. The header may grow.
+    """
+    signed = settle(
+        batch.withColumn(_SIGNATURE, lasting_signature(batch.columns)).dropDuplicates([_SIGNATURE])
+        .withColumn(_PREFIX, F.left(F.col(_SIGNATURE), F.lit(digits)))
+    )
+    stored = _read_history(spark, path)
+    if stored is not None:
+        touched = [r[0] for r in signed.select(_PREFIX).distinct().collect()]
+        seen = known_signatures(stored, touched)
+        signed = signed.join(seen, [_PREFIX, _SIGNATURE], "left_anti")
+    placed = signed.repartition(F.col(_PREFIX)).sortWithinPartitions(_PREFIX, _SIGNATURE)
+    placed.write.mode("append").partitionBy(_PREFIX).parquet(path)
+    return read_history(spark, path, batch.columns)
+
+
+def known_signatures(stored: DataFrame, touched: Sequence[str]) -> DataFrame:
+    """Signatures of the stored rows in some of the folders; no other column and no other folder is read."""
+    return stored.where(F.col(_PREFIX).isin(list(touched))).select(_PREFIX, _SIGNATURE)
+
+
+def _read_history(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return _read_folders(spark, path, merge=True)
+    except AnalysisException as error:
+        # Never written, or nothing but empty batches so far.
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_history(spark: SparkSession, path: str, columns: Sequence[str] = ()) -> DataFrame:
+    """All rows of a history under its merged header (``columns`` where nothing was ever stored)."""
+    stored = _read_history(spark, path)
+    if stored is None:
+        return spark.createDataFrame([], StructType([StructField(c, StringType()) for c in columns]))
+    return stored.drop(_PREFIX, _SIGNATURE)
 
 
 def pending_files(listing: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -55,3 +55,39 @@ def test_lost_files_are_noticed(spark, tmp_path):
     for file in glob.glob(f"{path}/data/*/*/year=2024/week=18/*.parquet"):
         os.remove(file)
     assert [tuple(r) for r in sink.damaged_sources(spark, path).collect()] == [("unknown", "y", 1)]
+
+
+def history(spark, path):
+    found = sink.read_history(spark, path, ["a"])
+    return sorted(tuple(sorted((k, v) for k, v in r.asDict().items() if v)) for r in found.collect())
+
+
+def test_history_keeps_each_row_once_while_its_header_grows(spark, tmp_path):
+    path = str(tmp_path / "h")
+    assert sink.append_history(spark, path, spark.createDataFrame([], "a string, b string")).count() == 0
+    first = spark.createDataFrame([("1", " x "), ("1", "x"), ("2", None), ("2", ""), (None, None)], "a string, b string")
+    got = sink.append_history(spark, path, first)
+    assert got.columns == ["a", "b"] and got.count() == 3
+    assert sink.append_history(spark, path, first).count() == 3
+    # A new column, blank or missing in the rows that are there; other order of columns.
+    wider = spark.createDataFrame([("x", "1", None), ("x", "1", "new"), ("", "2", " ")], "b string, a string, c string")
+    got = sink.append_history(spark, path, wider)
+    assert set(got.columns) == {"a", "b", "c"} and got.count() == 4
+    assert sink.append_history(spark, path, first.unionByName(wider, allowMissingColumns=True)).count() == 4
+    assert history(spark, path)[-1] == (("a", "2"),) and (("a", "1"), ("b", "x"), ("c", "new")) in history(spark, path)
+    # Values can't run over into each other.
+    sly = spark.createDataFrame([("1\x1f1:b=1:x", None)], "a string, b string")
+    assert sink.append_history(spark, path, sly).count() == 5
+
+
+def test_a_batch_reads_only_signatures_of_folders_that_it_touches(spark, tmp_path):
+    path = str(tmp_path / "h")
+    sink.append_history(spark, path, spark.range(3000).select(F.col("id").cast("string").alias("a"), F.lit("v").alias("b")))
+    stored = sink._read_history(spark, path)
+    assert stored.select("_prefix").distinct().count() == 256
+    seen = sink.known_signatures(stored, ["0a", "ff"])
+    assert len(set(f.rsplit("/", 2)[1] for f in (r[0] for r in seen.select(F.input_file_name()).distinct().collect()))) == 2
+    text = seen._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<_signature:string>" in text and "PartitionFilters: [" in text and "sha1" not in text
+    again = spark.createDataFrame([("5", "v"), ("3000", "v")], "a string, b string")
+    assert sink.append_history(spark, path, again).count() == 3001
