@@ -194,7 +194,8 @@ def rate_clusters(
     carried = latest.select(SLICE, *restart, F.max("_tail").over(past).alias("_carry"))
     inside = Window.partitionBy(SLICE, *restart).orderBy(ts, *tie)
     previous = F.coalesce(F.lag(ts).over(inside), F.col("_carry"))
-    marked = hits.join(F.broadcast(carried), [SLICE, *restart]).withColumn("_prev", previous)
+    # One row per slice; with restart values there are more, and their size is for Spark to judge.
+    marked = hits.join(carried if restart else F.broadcast(carried), [SLICE, *restart]).withColumn("_prev", previous)
     starts = F.when(F.col("_prev").isNull() | (seconds_between("_prev", ts) > gap_s), 1).otherwise(0)
     numbered = running_total(marked.withColumn("_new", starts), [ts, *tie], F.col("_new"), "cluster")
     found = numbered.groupBy("cluster", *restart).agg(
