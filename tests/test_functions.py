@@ -80,6 +80,27 @@ def test_snake(spark, text, want):
     assert one(spark, quality.snake("v"), text) == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("  no NO num# (Dt) dttm no! no", "id_timestamp_no_id"),
+        ("\tA\n\n a  B.b_c\u00a0d é e\u0130", "a_b_b_cd_ei"),
+        ("% %", "percent"),
+        (None, None),
+    ],
+)
+def test_snake_odd_words(spark, text, want):
+    assert one(spark, quality.snake("v"), text) == want
+
+
+def test_header_expressions_are_computed_once(spark):
+    """The words of a header stood in the plan once more for every look at the word before, which ran them for each word again."""
+    raw = spark.createDataFrame([("Meter No.",)], "v string")
+    for column in (quality.snake("v"), quality.dtype_hint("v", quality.snake("v"))):
+        plan = raw.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1
+
+
 def test_unique_headers(spark):
     rows = spark.createDataFrame([("d", i, h) for i, h in enumerate(["a", "b", "a", "", "a", None])], "d string, p int, h string")
     got = quality.unique_headers(rows, "d", "h", "p").orderBy("p").collect()
