@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -83,6 +84,22 @@ def test_radix_passes():
     assert sorted(suffix_dedup.equal_suffixes(data, starts, 30, digit=7).tolist()) == want
 
 
+def test_steps_are_bounded():
+    """Two tasks of an executor, with its heap, have to fit: a step of the local sort held over 100 MB."""
+    data = np.random.default_rng(5).integers(97, 105, suffix_dedup.SORT_BYTES).astype(np.uint8)
+    data[-50_000:] = data[:50_000]
+    texts = [bytes(d).decode() for d in np.array_split(data, 64)]
+    for step in (
+        lambda: suffix_dedup.equal_suffixes(data, np.arange(len(data) - 200), 200),
+        lambda: suffix_dedup._Segments(texts, 200, 48),
+    ):
+        tracemalloc.start()
+        step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 48 << 20
+
+
 def test_empty(spark):
     assert suffix_dedup.remove_repeats(documents(spark, ["x"]).limit(0)).count() == 0
     assert suffix_dedup.remove_repeats(documents(spark, [None, "", "a b"])).count() == 3
